@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from . import license_scan
+from .common import read_table, shared_dir
+from .packing import pack
 from .simhash_dedup import simhash_groups
+from .token_counts import TokenRollup, counted, inserts, production_tokenizers
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in one batch, which is sent twice and counts once."""
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/larkspur/rollup-{uuid.uuid4().hex}")
+    arrive = inserts(counted(read_table(spark, sf_dir, "documents"), production_tokenizers()))
+    rollup.commit("arrival-1", arrive)
+    rollup.commit("arrival-1", arrive)
+    return rollup.totals()
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +35,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_license_scan": op3_license_scan,
+    "op4_token_counts": op4_token_counts,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.oracle(),
+}
