@@ -105,7 +105,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     lines = canon.select("doc_id", F.filter(F.split("canon", "\n"), lambda x: x != "").alias("lines"))
     whole = lines.select("doc_id", "lines", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"))
     units = whole.select("doc_id", "canonical_sha256", F.posexplode(F.concat(F.array("canonical_sha256"), F.transform("lines", lambda x: F.sha2(x, 256)))).alias("nth", "digest"))
-    bit = F.when(F.col("number").isNotNull(), F.shiftleft(F.lit(1).cast("long"), F.col("number")))
+    bit = F.expr("shiftleft(1L, number)")
     found = units.join(F.broadcast(known), "digest", "left").select("doc_id", "canonical_sha256", F.when(F.col("nth") == 0, bit).alias("whole"), F.when(F.col("nth") > 0, bit).alias("line"))
     sums = found.groupBy("doc_id", "canonical_sha256").agg(F.bit_or("whole").alias("whole"), F.bit_or("line").alias("line"), F.count("line").alias("n_license_lines"))
 
