@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan
 from .common import read_table, shared_dir
+from .language_id import identify
 from .packing import pack
 from .simhash_dedup import simhash_groups
 from .token_counts import TokenRollup, counted, inserts, production_tokenizers
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
