@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan
 from .common import read_table, shared_dir
+from .decontaminate import contamination
+from .html_extract import extract_main_text
 from .language_id import identify
 from .packing import pack
 from .simhash_dedup import simhash_groups
@@ -31,10 +33,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +53,9 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_html_extraction": op5_html_extraction,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
