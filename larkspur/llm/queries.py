@@ -13,9 +13,14 @@ from .html_extract import extract_main_text
 from .language_id import identify
 from .packing import pack
 from .simhash_dedup import simhash_groups
+from .suffix_dedup import dedup_substrings
 from .token_counts import TokenRollup, counted, inserts, production_tokenizers
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
