@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import license_scan
 from .common import read_table, shared_dir
 from .decontaminate import contamination
+from .embedding_dedup import embedding_groups
 from .html_extract import extract_main_text
 from .language_id import identify
 from .packing import pack
@@ -42,6 +43,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
