@@ -29,73 +29,79 @@ _BLOCK = 2 << 20
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _soft(x: np.ndarray) -> np.ndarray:
+    """The squashing function x / (1 + |x|): like tanh, at a fraction of its time."""
+    return x / (1 + np.abs(x))
 
 
 @dataclass
 class ByteNetwork:
-    """Weights for both directions: byte table, recurrence, and the output layer; languages in output order."""
+    """Weights for both directions and the output layer; languages in output order.
+
+    table[way][part] has a row for each byte, recur[way][part] is the recurrence; parts are the gate that keeps the
+    state, the gate that resets it, and the candidate. They are separate arrays so that all work is on whole ones.
+    """
 
     languages: list[str]
-    table: list[np.ndarray]
-    recur: list[np.ndarray]
-    out: np.ndarray
+    table: list[list[np.ndarray]]
+    recur: list[list[np.ndarray]]
+    out: list[np.ndarray]
     bias: np.ndarray
 
     @classmethod
     def fresh(cls, languages: list[str], seed: int = 7) -> ByteNetwork:
-        rng, h = np.random.default_rng(seed), HIDDEN
-        table = [rng.normal(0, 0.5, (256, 3 * h)).astype(np.float32) for _ in range(2)]
-        recur = [rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)).astype(np.float32) for _ in range(2)]
-        return cls(languages, table, recur, rng.normal(0, 0.3, (2 * h, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
+        rng, h, n = np.random.default_rng(seed), HIDDEN, len(languages)
+
+        def draw(scale: float, *shape: int) -> np.ndarray:
+            return rng.normal(0, scale, shape).astype(np.float32)
+
+        table = [[draw(0.5, 256, h) for _ in range(3)] for _ in range(2)]
+        recur = [[draw(1 / np.sqrt(h), h, h) for _ in range(3)] for _ in range(2)]
+        return cls(languages, table, recur, [draw(0.3, h, n) for _ in range(2)], np.zeros(n, np.float32))
 
     def weights(self) -> list[np.ndarray]:
-        return [*self.table, *self.recur, self.out, self.bias]
+        return [*self.table[0], *self.table[1], *self.recur[0], *self.recur[1], *self.out, self.bias]
 
     def _step(self, way: int, chars: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
         """One position of one direction: gates keep and reset, candidate, its recurrent part, and the new state."""
-        h = HIDDEN
-        x, a = self.table[way][chars], state @ self.recur[way]
-        gates = _sigmoid(x[:, : 2 * h] + a[:, : 2 * h])
-        keep, reset, past = gates[:, :h], gates[:, h:], a[:, 2 * h :]
-        new = np.tanh(x[:, 2 * h :] + reset * past)
+        (tk, tr, tn), (uk, ur, un) = self.table[way], self.recur[way]
+        keep = _soft(np.take(tk, chars, 0) + state @ uk) * 0.5 + 0.5
+        reset = _soft(np.take(tr, chars, 0) + state @ ur) * 0.5 + 0.5
+        past = state @ un
+        new = _soft(np.take(tn, chars, 0) + reset * past)
         return keep, reset, new, past, new + keep * (state - new)
 
-    def states(self, way: int, chars: np.ndarray) -> np.ndarray:
+    def states(self, way: int, chars: np.ndarray) -> list[np.ndarray]:
         """States after each position of chars [time, row], seen from the left (0) or the right (1)."""
         state = np.zeros((chars.shape[1], HIDDEN), np.float32)
-        out = np.empty((*chars.shape, HIDDEN), np.float32)
+        out: list[np.ndarray] = [state] * len(chars)
         for t in range(len(chars))[:: -1 if way else 1]:
-            state = self._step(way, chars[t], state)[-1]
-            out[t] = state
+            out[t] = state = self._step(way, chars[t], state)[-1]
         return out
 
     def pooled(self, chars: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Sums over the positions inside of each row of the languages' probabilities there."""
-        h = HIDDEN
-        left, total = self.states(0, chars), np.zeros((chars.shape[1], len(self.languages)), np.float64)
-        state = np.zeros((chars.shape[1], h), np.float32)
+        left, total = self.states(0, chars), np.zeros((chars.shape[1], len(self.languages)), np.float32)
+        state, ones = np.zeros((chars.shape[1], HIDDEN), np.float32), np.ones((len(self.languages), 1), np.float32)
         for t in range(len(chars) - 1, -1, -1):
             state = self._step(1, chars[t], state)[-1]
-            logits = left[t] @ self.out[:h] + state @ self.out[h:] + self.bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            total += p * (inside[t] / p.sum(1))[:, None]
+            p = np.exp(left[t] @ self.out[0] + state @ self.out[1] + self.bias)  # states are within 1, so this can't overflow
+            total += p * (inside[t][:, None] / (p @ ones))
         return total
 
     def gradients(self, chars: np.ndarray, inside: np.ndarray, label: np.ndarray) -> tuple[list[np.ndarray], float]:
         """Mean cross entropy over all positions inside, and its gradients by backpropagation through time."""
         h, (steps, rows) = HIDDEN, chars.shape
-        kept = []
-        both = np.empty((steps, rows, 2 * h), np.float32)
+        kept, both = [], []
         for way in (0, 1):
-            state, trail = np.zeros((rows, h), np.float32), [None] * steps
+            state, trail, after = np.zeros((rows, h), np.float32), [None] * steps, np.empty((steps, rows, h), np.float32)
             for t in range(steps)[:: -1 if way else 1]:
-                keep, reset, new, past, after = self._step(way, chars[t], state)
+                keep, reset, new, past, nxt = self._step(way, chars[t], state)
                 trail[t] = (state, keep, reset, new, past)
-                both[t, :, way * h : (way + 1) * h] = state = after
+                after[t] = state = nxt
             kept.append(trail)
-        logits = both @ self.out + self.bias
+            both.append(after)
+        logits = both[0] @ self.out[0] + both[1] @ self.out[1] + self.bias
         p = np.exp(logits - logits.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
         n = max(1, inside.sum())
@@ -103,25 +109,26 @@ class ByteNetwork:
         loss = float(-(np.log(right + 1e-9) * inside).sum() / n)
         p[:, np.arange(rows), label] -= 1
         d_logits = p * (inside / n)[:, :, None]
-        d_out = both.reshape(-1, 2 * h).T @ d_logits.reshape(-1, p.shape[2])
-        d_both = d_logits @ self.out.T
+        d_out = [b.reshape(-1, h).T @ d_logits.reshape(-1, p.shape[2]) for b in both]
         tables, recurs = [], []
         for way in (0, 1):
-            d_x, d_recur, d_state = np.empty((steps, rows, 3 * h), np.float32), np.zeros_like(self.recur[way]), np.zeros((rows, h), np.float32)
+            d_both, (uk, ur, un) = d_logits @ self.out[way].T, self.recur[way]
+            d_x, d_recur, d_state = [np.empty((steps, rows, h), np.float32) for _ in range(3)], [np.zeros((h, h), np.float32) for _ in range(3)], np.zeros((rows, h), np.float32)
             for t in range(steps)[:: 1 if way else -1]:
                 before, keep, reset, new, past = kept[way][t]
-                d = d_both[t, :, way * h : (way + 1) * h] + d_state
-                d_new = d * (1 - keep) * (1 - new * new)
-                d_keep = d * (before - new) * keep * (1 - keep)
-                d_reset = d_new * past * reset * (1 - reset)
-                d_a = np.concatenate([d_keep, d_reset, d_new * reset], 1)
-                d_x[t] = np.concatenate([d_keep, d_reset, d_new], 1)
-                d_recur += before.T @ d_a
-                d_state = d * keep + d_a @ self.recur[way].T
+                d = d_both[t] + d_state
+                d_new = d * (1 - keep) * (1 - np.abs(new)) ** 2
+                d_keep = d * (before - new) * 0.5 * (1 - np.abs(2 * keep - 1)) ** 2
+                d_reset = d_new * past * 0.5 * (1 - np.abs(2 * reset - 1)) ** 2
+                d_past = d_new * reset
+                for k, (x, a) in enumerate(((d_keep, d_keep), (d_reset, d_reset), (d_new, d_past))):
+                    d_x[k][t] = x
+                    d_recur[k] += before.T @ a
+                d_state = d * keep + d_keep @ uk.T + d_reset @ ur.T + d_past @ un.T
             flat = chars.ravel()
-            tables.append(np.stack([np.bincount(flat, d_x[:, :, k].ravel(), 256) for k in range(3 * h)], 1).astype(np.float32))
-            recurs.append(d_recur)
-        return [*tables, *recurs, d_out, d_logits.sum((0, 1))], loss
+            tables += [np.stack([np.bincount(flat, x[:, :, j].ravel(), 256) for j in range(h)], 1).astype(np.float32) for x in d_x]
+            recurs += d_recur
+        return [*tables, *recurs, *d_out, d_logits.sum((0, 1))], loss
 
 
 def fit(crops: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> ByteNetwork:
