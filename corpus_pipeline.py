@@ -1,11 +1,24 @@
-"""A corpus pipeline of the operators in larkspur.llm; filled stage by stage."""
+"""A corpus pipeline: language, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept. All but the last return the
+columns of documents. A document without an id can't be told from others and leaves with the near-duplicates.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.common import read_table, store
+from larkspur.llm.decontaminate import drop_contaminated
+from larkspur.llm.language_id import keep_identified
+from larkspur.llm.packing import pack
 from larkspur.llm.simhash_dedup import drop_near_duplicates
+from larkspur.llm.suffix_dedup import remove_repeats
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language that was learned stay."""
+    return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +26,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 100 that start earlier too are cut out; the documents stay."""
+    return remove_repeats(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item stay."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("best_fit_packing", packed),
+]
 
-#: SimHash, byte-level n-grams and packing are beyond SQL: tests/llm checks the stages by brute force instead.
+#: A network, SimHash, byte-level suffixes, alignments and packing are beyond SQL: tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 

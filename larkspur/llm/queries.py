@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .embedding_dedup import embedding_groups
 from .html_extract import extract_main_text
 from .language_id import identify
+from .lm_score import score_texts
 from .packing import pack
 from .simhash_dedup import simhash_groups
 from .suffix_dedup import dedup_substrings
@@ -43,6 +44,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read_table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
