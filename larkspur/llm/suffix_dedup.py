@@ -26,7 +26,7 @@ _CHOICES = SPAN - GRAM + 1
 #: Contexts of an anchor beyond which they are dealt to several shards.
 CROWD = 10_000
 #: Bytes of contexts in a shard, about, and the number of ranges of digests in which windows are merged.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 RANGE_BITS = 6
 #: One in so many documents is looked at to find anchors with at least the share 1/HOT of all contexts; this only decides where rows go.
 SAMPLE, HOT = 64, 20_000
@@ -56,11 +56,14 @@ def _window_digests(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return _mix(parts, 1), _mix(parts, 2)
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts of one text of at most 4 MB: digest of the anchor, first and last window start, digest of the context."""
-    n = len(raw) - SPAN + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
+def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts of texts that lie end to end in at most 4 MB, given their n+1 bounds.
+
+    Returns the text of each context, the digest of its anchor, its first and last window start (in raw), and its own
+    digest. A window has its leftmost smallest gram as anchor, so contexts are runs of windows.
+    """
+    if len(raw) < SPAN:
+        return (np.zeros(0, np.int64),) * 5
     words = words_at(raw)
     grams = len(raw) - GRAM + 1
     digest = _mix([words[k : k + grams] for k in range(0, GRAM, 8)], 0)
@@ -69,34 +72,46 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     while 2 * width <= _CHOICES:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    rest = _CHOICES - width
+    n, rest = len(raw) - SPAN + 1, _CHOICES - width
     least = np.minimum(least[:n], least[rest : rest + n])
     place = (least & _LOW).astype(np.int64)
-    first = np.nonzero(np.append(True, place[1:] != place[:-1]))[0]
-    last = np.append(first[1:], n) - 1
-    anchor = digest[place[first]]
-    # the context's digest: its windows at every 8th start and the last one cover it, with the place of the anchor
+    size = np.maximum(np.diff(bounds) - SPAN + 1, 0)  # windows of each text; those across two texts don't count
+    text = np.repeat(np.arange(len(size)), size)
+    window = np.arange(len(text)) + np.repeat(bounds[:-1] - (np.cumsum(size) - size), size)
+    place = place[window]
+    new = np.ones(len(window), bool)
+    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    at = np.nonzero(new)[0]
+    first, last = window[at], window[np.append(at[1:], len(window))[: len(at)] - 1]
+    place, text = place[at], text[at]
+    anchor = digest[place]
+    # the context's digest: words at every 8th byte and the last one cover it, with the place of the anchor
     size = last - first
-    at = first.copy()
-    out = _mix([anchor, (place[first] - first).astype(np.uint64), size.astype(np.uint64)], 3)
+    out = _mix([anchor, (place - first).astype(np.uint64), size.astype(np.uint64)], 3)
+    order = np.argsort(-size, kind="stable")
+    start, size, sums = first[order], size[order], out[order]
     for k in range(0, _CHOICES + SPAN, 8):
-        here = k <= size + SPAN - 8
-        if not here.any():
+        here = int(np.searchsorted(-size, SPAN - 8 - k, "right"))  # contexts that reach so far come first
+        if not here:
             break
-        out = np.where(here, _mix([out, words[np.minimum(at + k, len(words) - 1)]], 4), out)
+        sums[:here] = _mix([sums[:here], words[start[:here] + k]], 4)
+    out[order] = sums
     out = _mix([out, words[last + SPAN - 8]], 5)
-    return anchor.view(np.int64), first, last, out.view(np.int64)
+    return text, anchor.view(np.int64), first, last, out.view(np.int64)
 
 
-def _contexts_of(raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same for a text of any length: in stretches that overlap by SPAN - 1 bytes, so each window is seen once."""
-    if len(raw) <= 2 * _BLOCK:
-        return anchors(raw)
-    parts = []
-    for at in range(0, len(raw) - SPAN + 1, _BLOCK):
-        a, first, last, d = anchors(raw[at : at + _BLOCK + SPAN - 1])
-        parts.append((a, first + at, last + at, d))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def _stretches(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts in groups of about _BLOCK bytes: their numbers and bounds. A longer text comes alone, in stretches that
+    overlap by SPAN - 1 bytes, so that each of its windows is seen once."""
+    at, n = 0, len(bounds) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _BLOCK, "right")) - 1)
+        if bounds[to] - bounds[at] <= 2 * _BLOCK:
+            yield np.arange(at, to), bounds[at : to + 1]
+        else:
+            for a in range(bounds[at], bounds[to] - SPAN + 1, _BLOCK):
+                yield np.array([at]), np.array([a, min(a + _BLOCK + SPAN - 1, bounds[to])])
+        at = to
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,18 +119,19 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks_of(batches, "text", _BLOCK):
         raw, bounds = text_bytes(block.column("text").combine_chunks())
         ids = block.column("doc_id").to_numpy()
-        found = [_contexts_of(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        doc = np.repeat(ids, [len(f[0]) for f in found])
-        if not len(doc):
-            continue
-        anchor, first, last, digest = (np.concatenate([f[k] for f in found]) for k in range(4))
-        order = np.lexsort((first, doc, digest, anchor))
-        a, g, d, s = anchor[order], digest[order], doc[order], first[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        again = (d != d[head]) | (s != s[head])
-        yield record_batch(_MARKS, np.where(again, _mix([d.view(np.uint64), s.astype(np.uint64)], 6).view(np.int64), a), g, d, s, last[order] + SPAN, again)
+        for texts, edges in _stretches(bounds):
+            text, a, first, last, g = anchors(raw[edges[0] : edges[-1]], edges - edges[0])
+            if not len(text):
+                continue
+            text = texts[text]
+            d, s, e = ids[text], first + edges[0] - bounds[text], last + edges[0] - bounds[text] + SPAN
+            order = np.lexsort((s, d, g))  # equal digests have equal anchors
+            a, g, d, s, e = a[order], g[order], d[order], s[order], e[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            again = (d != d[head]) | (s != s[head])
+            yield record_batch(_MARKS, np.where(again, _mix([d.view(np.uint64), s.astype(np.uint64)], 6).view(np.int64), a), g, d, s, e, again)
 
 
 _MARKS_SQL = "anchor long, digest long, doc_id long, start long, stop long, again boolean"
