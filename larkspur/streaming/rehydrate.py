@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators.vault import CASE
 
-OUT_SQL = "tenant_id string, case_id string, thread_id string, chunk string, last boolean"
+OUT_SQL = "tenant_id string, case_id string, thread_id string, chunk_seq long, chunk string, last boolean"
 STATE_SQL = "buffer string, next_seq long, waiting string"
 
 
@@ -74,14 +74,14 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         state.update((buffer, due, json.dumps({str(k): list(v) for k, v in late.items()})))
     text = "".join(out)
     if text or ended:
-        yield pd.DataFrame([(*key, text, ended)], columns=["tenant_id", "case_id", "thread_id", "chunk", "last"])
+        yield pd.DataFrame([(*key, due - 1, text, ended)], columns=["tenant_id", "case_id", "thread_id", "chunk_seq", "chunk", "last"])
 
 
 def rehydrate_streaming(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
     """Rehydrate a stream of (tenant_id, case_id, thread_id, chunk_seq, chunk, last) with the mappings of its threads.
 
     chunk_seq counts from 0; chunks that arrive early wait in the state. The last chunk of a thread empties its buffer
-    and ends its state.
+    and ends its state. A row of the result has the chunk_seq of the last chunk that it holds.
     """
     entries = mappings.select(*CASE, F.map_entries("mapping").alias("mapping"))
     none = F.array().cast("array<struct<key:string,value:string>>")
