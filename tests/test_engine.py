@@ -231,9 +231,9 @@ def test_plugins_join_in(spark):
         return [[(m.start(), m.end(), "PER", 0.99) for m in re.finditer("Ana García|A. García", t)] + [(0, 999, "PER", 0.9)] for t in texts]
 
     wall = Firewall.create(language="es", plugins=[backends.SpanPlugin("fake", find)])
-    rows = spark.createDataFrame([("t", "c", "h", 1, None, "Ana García y A. García, ana@x.org")], MESSAGE)
+    rows = spark.createDataFrame([("t", "c", "h", 1, None, "Ana García visita a A. García, ana@x.org")], MESSAGE)
     made = wall.anonymize(rows)
-    assert made.messages.first()["sanitized_text"] == "[PERSON_001] y [PERSON_001], [EMAIL_001]"
+    assert made.messages.first()["sanitized_text"] == "[PERSON_001] visita a [PERSON_001], [EMAIL_001]"
 
 
 def test_reference_profile_scope_copy():
