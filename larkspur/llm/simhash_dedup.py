@@ -95,7 +95,8 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     own: Stored = store(fingerprints(docs), "fingerprints")
     marks = own.df.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     groups = connected_components(near_pairs(marks))
-    named = marks.join(groups.df, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    # stored, so that the join below has an exchange of its own on either side and a hot fingerprint can be split
+    named = store(marks.join(groups.df, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), "named").df
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return own.df.join(named, "fingerprint").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
