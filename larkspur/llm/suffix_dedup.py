@@ -241,7 +241,8 @@ def _merge_runs(table: pa.Table) -> pa.Table:
 
 def _shard_contexts(contested: DataFrame, texts: DataFrame) -> DataFrame:
     """The bytes of contested contexts with the shard that each goes to."""
-    crowd = contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    # stored, so that the join has exchanges of its own and a crowded anchor can be split
+    crowd = store(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "crowds").df
     counts = contested.agg(F.count(F.lit(1))).first()[0]
     shards = counts * 3 * SPAN // 2 // SHARD_BYTES + 1
     dealt = contested.join(crowd, "anchor", "left")
