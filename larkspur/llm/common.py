@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,12 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done: it does so once nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(spark: SparkSession) -> int:
     """Number of partitions for a shuffle that is dealt out by hand."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

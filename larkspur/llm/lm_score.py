@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, id_crc, record_batch, small_batches, store
+from .common import blocks_of, free_shuffles, id_crc, record_batch, small_batches, store
 
 SINGLES = 151
 SHARED = 40
@@ -29,7 +29,7 @@ WIDTH = 16
 SMOOTH = 0.1
 NOISE = 32
 RATE = 0.3
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _TOGETHER = 1024
 _BLOCK = 4 << 20
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("part", pa.int32()), ("n", pa.int64())])
@@ -172,6 +172,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, part int, n long")
     same = Window.partitionBy("word")
     counted = store(counts.withColumn("c", F.sum("n").over(same)).withColumn("lead", F.min("shard").over(same) == F.col("shard")), "words").df
+    del counts
+    free_shuffles(spark)  # the texts are dealt to the shards once more below
     lead = counted.where("lead and c > 0")
     top = lead.orderBy(F.desc("c"), "word").limit(SINGLES).select("word", "c").collect()
     singles = {bytes(r["word"]): i for i, r in enumerate(top)}
