@@ -53,14 +53,15 @@ def pattern_spans(pattern: Pattern, ordinal: int, text: str = "text", lowered: s
 
 def detect_sql(catalog: Catalog, locales: Iterable[str] | None = None, text: str = "text", locale: str = "locale", prefilter: bool = True) -> str:
     """SQL for the raw spans of a text in its locale, in order of start and then of the catalogue."""
-    cases = []
-    for where in [x for x in catalog.locales() if x != "GLOBAL"] if locales is None else locales:
-        own = [pattern_spans(p, i, text) for i, p in enumerate(catalog.for_locale(where))]
-        cases.append(f"when {quoted(where)} then concat({', '.join(own) or no_spans()})")
-    rest = [pattern_spans(p, i, text) for i, p in enumerate(catalog.for_locale("GLOBAL"))]
-    found = f"concat({', '.join(rest) or no_spans()})"
-    if cases:
-        found = f"case {locale} {' '.join(cases)} else {found} end"
+    order = {id(p): i for i, p in enumerate(catalog.all())}
+
+    def part(where: str) -> str:
+        own = [pattern_spans(p, order[id(p)], text) for p in catalog.all() if p.locale == where]
+        return f"concat({', '.join(own)})" if own else no_spans()
+
+    found = part("GLOBAL")
+    if cases := " ".join(f"when {quoted(x)} then {part(x)}" for x in ([y for y in catalog.locales() if y != "GLOBAL"] if locales is None else locales)):
+        found = f"concat({found}, case {locale} {cases} else {no_spans()} end)"
     found = f"array_sort({_bind(f'lower({text})', 'low', found)})"
     some = f"{text} is not null" + (f" and {text} rlike {quoted(PREFILTER)}" if prefilter and not catalog.custom else "")
     return f"case when {some} then {found} else {no_spans()} end"

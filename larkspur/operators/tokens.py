@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.names import normalize_name, similarity
+from larkspur.functions.shared import store
 from larkspur.sources.profiles import SCOPES
 
 REGISTRY = ["tenant_id", "scope", "entity_type"]
@@ -37,8 +38,9 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "or
     """Number rows from 1 within keys. One key may hold most rows: it is cut into ranges that are numbered apart.
 
     The order columns must tell rows of a key apart. A range's numbers start behind the counts of the ranges before.
+    The ranges are stored, since a second run of the shuffle might cut them elsewhere.
     """
-    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    ranged = store(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges").df
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys, "_range").count().select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)

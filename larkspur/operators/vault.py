@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.shared import path_exists
+
 KEYS = ["tenant_id", "case_id", "thread_id", "token"]
 CASE = KEYS[:3]
 DEFAULT_TTL = 86_400
@@ -59,9 +61,7 @@ class VaultTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     def log(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], ROW_SQL)
         return self.spark.read.schema(ROW_SQL).parquet(f"{self.path}/*")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import actions, spans
+from larkspur.functions.shared import store
 from larkspur.operators import tokens, vault
 from larkspur.operators.backends import SpanPlugin, check_backend, merge_backends
 from larkspur.operators.payload import leaves, walk
@@ -116,9 +117,12 @@ class Firewall:
         return known, told
 
     def anonymize(self, messages: DataFrame, now: int = 0, registry: DataFrame | None = None) -> Anonymized:
-        """Rewrite messages. now: the time that expiry counts from; registry: tokens of earlier runs."""
+        """Rewrite messages. now: the time that expiry counts from; registry: tokens of earlier runs.
+
+        The spans that get pseudonyms are found and stored at once; the rewriting itself is lazy.
+        """
         detected = self.with_spans(self._checked(messages))
-        known, told = self._tokens(self.mentions(detected), registry)
+        known, told = self._tokens(store(self.mentions(detected), "mentions").df, registry)
         given = told.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("start", "token"))).alias("_tokens"))
         rows = detected.join(given, KEY, "left")
         token = "coalesce(try_element_at(_tokens, x.start), x.text)"
