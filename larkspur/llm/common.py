@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.shared import Stored, path_exists, shared_dir, store
+
+__all__ = ["Stored", "ascii_words", "blocks_of", "free_shuffles", "id_crc", "path_exists", "read_table", "record_batch", "shared_dir", "small_batches", "spread", "store", "text_bytes"]
+
 #: Rows of one Arrow batch that goes to Python; texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 1000
 
@@ -27,52 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. On one machine a temporary one, if it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark.sparkContext, "_larkspur_shared", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext._larkspur_shared = own
-    return own
-
-
-@dataclass
-class Stored:
-    """A table in the shared folder."""
-
-    df: DataFrame
-    path: str
-
-    def drop(self) -> None:
-        """Delete the files; the table must not be read afterwards."""
-        delete_path(self.df.sparkSession, self.path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where))
-
-
-def store(df: DataFrame, name: str) -> Stored:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that are done: it does so once nothing refers to them any more."""
     gc.collect()
