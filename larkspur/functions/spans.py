@@ -17,8 +17,6 @@ from larkspur.sources.profiles import Profile
 
 CONTEXT_CHARS = 100
 CONTEXT_BOOST = 0.25
-#: What any text has that a built-in pattern can match: a digit, or a mark of those seven that need none.
-PREFILTER = r"(?U)\d|@|://|eyJ|gh[psorhtu]_|AKIA|[0-9A-Fa-f][:-][0-9A-Fa-f]"
 #: Characters on which Java's and Python's classes differ; texts with them can go through Python instead.
 GUARD = r"[\p{M}\p{No}\p{Nl}\x1c-\x1f]|[\x{10000}-\x{10FFFF}]"
 
@@ -51,6 +49,17 @@ def pattern_spans(pattern: Pattern, ordinal: int, text: str = "text", lowered: s
     return _bind(f"regexp_extract_all({text}, {regex}, 0)", "m", f"if(size(m) = 0, {no_spans()}, cast({found} as {SPANS_SQL}))")
 
 
+def prefilter_sql(text: str = "text") -> str:
+    """SQL for what any text has in which a built-in pattern can match: a digit, or a mark of those seven that need none.
+
+    One character class and plain searches: much faster over long texts than one expression with alternatives.
+    """
+    plain = " or ".join(f"contains({text}, {quoted(x)})" for x in ("://", "eyJ", "AKIA"))
+    token = f"(contains({text}, 'gh') and {text} rlike {quoted('gh[psorhtu]_')})"
+    pairs = f"((contains({text}, ':') or contains({text}, '-')) and {text} rlike {quoted('[0-9A-Fa-f][:-][0-9A-Fa-f]')})"
+    return f"({text} rlike {quoted(r'[\p{Nd}@]')} or {plain} or {token} or {pairs})"
+
+
 def detect_sql(catalog: Catalog, locales: Iterable[str] | None = None, text: str = "text", locale: str = "locale", prefilter: bool = True) -> str:
     """SQL for the raw spans of a text in its locale, in order of start and then of the catalogue."""
     order = {id(p): i for i, p in enumerate(catalog.all())}
@@ -63,7 +72,7 @@ def detect_sql(catalog: Catalog, locales: Iterable[str] | None = None, text: str
     if cases := " ".join(f"when {quoted(x)} then {part(x)}" for x in ([y for y in catalog.locales() if y != "GLOBAL"] if locales is None else locales)):
         found = f"concat({found}, case {locale} {cases} else {no_spans()} end)"
     found = f"array_sort({_bind(f'lower({text})', 'low', found)})"
-    some = f"{text} is not null" + (f" and {text} rlike {quoted(PREFILTER)}" if prefilter and not catalog.custom else "")
+    some = f"{text} is not null" + (f" and {prefilter_sql(text)}" if prefilter and not catalog.custom else "")
     return f"case when {some} then {found} else {no_spans()} end"
 
 
