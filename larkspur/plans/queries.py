@@ -76,7 +76,7 @@ def _boosted(name: str) -> str:
     near = " or ".join(f"contains(around, {sql_text(w)})" for w in _NAMED[name].context_words)
     return f"""{_matches_sql(name)},
 near as (select *, substring(lower(whole), greatest(start - 100, 0) + 1, "end" + 100 - greatest(start - 100, 0)) as around from placed)
-select doc_id, start, "end", text, case when {near} then least(1.0, {_NAMED[name].confidence} + 0.25) else {_NAMED[name].confidence} end as confidence from near"""
+select doc_id, start, "end", text, case when {near} then least(1e0, {_NAMED[name].confidence}e0 + 0.25e0) else {_NAMED[name].confidence}e0 end as confidence from near"""
 
 
 @query(_boosted("GLOBAL_CREDIT_CARD"))
@@ -213,7 +213,7 @@ def splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 # profiles
 
 _PRESETS = [preset(n) for n in preset_names()]
-_DISPOSITIONS = ", ".join(f"({sql_text(n)}, {sql_text(t)}, {sql_text(a)}, {c})" for p in _PRESETS for n, t, a, c, _ in p.rows())
+_DISPOSITIONS = ", ".join(f"({sql_text(n)}, {sql_text(t)}, {sql_text(a)}, {c}e0)" for p in _PRESETS for n, t, a, c, _ in p.rows())
 
 
 @query(f"select profile, action, count(*) as n_types, min(confidence_threshold) as least, max(confidence_threshold) as most from (values {_DISPOSITIONS}) d(profile, entity_type, action, confidence_threshold) group by all")
@@ -223,7 +223,7 @@ def profile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED_TYPES = ["EMAIL", "PHONE_NUMBER", "DATE_TIME", "DATE", "LICENSE_PLATE", "DIAGNOSIS", "PERSON", "DOI"]
-_SCORED = f"select o_orderkey, list_value({', '.join(map(sql_text, _SCORED_TYPES))})[cast(o_orderkey % {len(_SCORED_TYPES)} as int) + 1] as entity_type, (o_orderkey % 20) / 20.0 as confidence from orders"
+_SCORED = f"select o_orderkey, list_value({', '.join(map(sql_text, _SCORED_TYPES))})[cast(o_orderkey % {len(_SCORED_TYPES)} as int) + 1] as entity_type, (o_orderkey % 20) / 20e0 as confidence from orders"
 
 
 @query(f"""with scored as ({_SCORED}), d(profile, entity_type, action, confidence_threshold) as (values {_DISPOSITIONS})
@@ -235,7 +235,7 @@ def profile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(dims, "entity_type").where("confidence >= confidence_threshold").groupBy("profile", "entity_type", "action").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-_PATTERN_ROWS = ", ".join(f"({sql_text(p.locale)}, {sql_text(p.entity_type)}, {p.confidence})" for p in _CATALOG.all())
+_PATTERN_ROWS = ", ".join(f"({sql_text(p.locale)}, {sql_text(p.entity_type)}, {p.confidence}e0)" for p in _CATALOG.all())
 
 
 @query(f"select locale, entity_type, count(*) as n_patterns, max(confidence) as most from (values {_PATTERN_ROWS}) p(locale, entity_type, confidence) group by all")
@@ -432,7 +432,7 @@ def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("entity_type", mapped)
 
 
-@query("select o_orderkey, 'EMAIL' as entity_type, 5 as start, 5 + length(concat('u', o_orderkey, '@x.org')) as \"end\", concat('u', o_orderkey, '@x.org') as text, 0.5 as confidence from orders")
+@query("select o_orderkey, 'EMAIL' as entity_type, 5 as start, 5 + length(concat('u', o_orderkey, '@x.org')) as \"end\", concat('u', o_orderkey, '@x.org') as text, 0.5e0 as confidence from orders")
 def remote_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a remote model in its three shapes."""
     rows = table(spark, sf_dir, "orders").withColumn("text", F.concat(F.lit("mail u"), "o_orderkey", F.lit("@x.org now")))
