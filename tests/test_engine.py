@@ -239,3 +239,18 @@ def test_plugins_join_in(spark):
 def test_reference_profile_scope_copy():
     base = Profile("mine", {"EMAIL": Disposition("EMAIL")})
     assert Firewall.create(profile=base, token_scope="thread").profile.token_scope == "thread" and base.token_scope == "tenant"
+
+
+# queries
+
+
+def test_secure_call_answers_every_document(spark, tmp_path):
+    from larkspur.plans.queries import QUERIES
+
+    texts = ["nothing personal", "card 4111-1111-1111-1111", "visit https://x.com/u?id=1, now", "mail a@x.com", None]
+    rows = [(i, text, "en", "s") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r["msg_seq"]: r for r in QUERIES["secure_call"](spark, f"file://{tmp_path}").collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert got[0]["final_text"] == "[mock-model] nothing personal" and got[2]["sanitized_text"] == "visit [URL_001], now"
+    assert "4111-1111" not in got[1]["sanitized_text"] and got[3]["final_text"] == "[mock-model] mail a@x.com"
