@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment as the judge."""
+"""Benchmark decontamination: word pairs as seeds that no copy can lack, Smith-Waterman alignment as the judge."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import record_batch, small_batches
 
-SEED_WORDS = 3
-#: A seed is rare if at most this share of the items of a block have it, and one item at least.
-RARE_SHARE = 0.02
-#: Items of which fewer seeds than this are rare use all of theirs.
-LEAST_SEEDS = 3
+#: Shorter items aren't searched.
+LEAST_WORDS = 3
+#: Pairs in more places of a block than this are common; COMMON_SHARE of an item's places may go without seeds for that.
+COMMON = 64
+COMMON_SHARE = 0.2
+#: Words of a document that are searched at once, besides the reach of the longest item.
+SLICE = 1 << 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score as a share of a whole copy's, from which a document counts as contaminated.
 THRESHOLD = 0.4
@@ -48,64 +51,104 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Matcher:
-    """The items of one block of a benchmark, with their seeds. Items of fewer than SEED_WORDS words have no seed."""
+    """The items of one block of a benchmark, with their seeds. Items of fewer than LEAST_WORDS words have none.
+
+    Seeds are pairs of words, next to each other or with one word between, in the item as in the document. They can't
+    miss a copy: between two matches that follow each other, an alignment skips i words of the item and j of the
+    document at a cost of max(i, j) at least, so k matches with a score of s leave k - 1 steps of costs c with
+    sum(2 - c) >= s - 2. A step of cost 0 is a seed of weight 2 and one of cost 1 a seed of weight 1, all others count
+    nothing or less: the seeds of an alignment weigh s - 2 or more. Its length in the document is below 3 k - s, with
+    k at most the item's length. A place of the item without seeds takes 2 from the weight that is asked, at most.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.numbers: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= SEED_WORDS:
+            if len(words) >= LEAST_WORDS:
                 self.items.append((item_id, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)))
-        grams = [self._mixed(words, np.arange(len(words) - SEED_WORDS + 1)) for _, words in self.items]
-        spread = Counter(g for own in grams for g in set(own.tolist()))
-        most = max(1, int(RARE_SHARE * len(self.items)))
-        self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, own in enumerate(grams):
-            rare = [(g, at) for at, g in enumerate(own.tolist()) if spread[g] <= most]
-            for g, at in rare if len(rare) >= LEAST_SEEDS else [(g, at) for at, g in enumerate(own.tolist())]:
-                self.seeds[g].append((i, at))
-        self.sorted = np.array(sorted(self.seeds), np.uint64)
-
-    @staticmethod
-    def _mixed(words: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """A hash of the SEED_WORDS words from each place on."""
-        out = np.zeros(len(places), np.uint64)
-        for k in range(SEED_WORDS):
-            out = (out ^ words[places + k].astype(np.uint64)) * np.uint64(_MIX)
-            out ^= out >> np.uint64(29)
-        return out
+        self.base = len(self.numbers) + 1
+        sizes = np.array([len(words) for _, words in self.items], np.int64)
+        least = np.ceil(THRESHOLD * MATCH * sizes - 1e-6).astype(np.int64)
+        self.reach = 3 * sizes - least
+        pairs = [self._pairs(words) for _, words in self.items]
+        keys = np.concatenate([k for k, _, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(pairs)), [len(k) for k, _, _ in pairs])
+        known, which, spread = np.unique(keys, return_inverse=True, return_counts=True)
+        stays, dropped, at = np.ones(len(keys), bool), np.zeros(len(pairs), np.int64), 0
+        for i, (own, places, _) in enumerate(pairs):
+            part = slice(at, at + len(own))
+            at += len(own)
+            most = int(COMMON_SHARE * sizes[i]) if 2 * int(COMMON_SHARE * sizes[i]) < least[i] - 2 else 0
+            common = np.zeros(sizes[i], np.int64)
+            np.maximum.at(common, places, spread[which[part]])
+            gone = [w for w in np.argsort(-common, kind="stable")[:most].tolist() if common[w] > COMMON]
+            stays[part] = ~np.isin(places, gone)
+            dropped[i] = len(gone)
+        self.least = np.maximum(least - 2 - 2 * dropped, 1)
+        order = np.argsort(which[stays], kind="stable")
+        self.keys, counts = np.unique(keys[stays], return_counts=True)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.post_item = item[stays][order]
+        self.post_next = np.concatenate([n for _, _, n in pairs])[stays][order] if pairs else np.zeros(0, bool)
+        self.shift = 64 - min(26, max(10, int(8 * len(self.keys)).bit_length()))
+        self.maybe = np.zeros(1 << (64 - self.shift), bool)
+        self.maybe[self._slot(self.keys)] = True
+
+    def _pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, place of its first word, are they next to each other) of all pairs of words at most one word apart."""
+        n = len(words)
+        first = words * self.base
+        keys = np.concatenate([first[:-1] + words[1:], first[:-2] + words[2:]])
+        return keys, np.concatenate([np.arange(n - 1), np.arange(n - 2)]), np.arange(2 * n - 3) < n - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(_MIX)) >> np.uint64(self.shift)).view(np.int64)
+
+    def _candidates(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first word of a stretch) for the stretches of an item's reach in which its seeds weigh enough."""
+        none = np.zeros(0, np.int64)
+        n = len(coded)
+        if n < 2:
+            return none, none
+        keys, places, near = self._pairs(coded)
+        some = np.nonzero(self.maybe[self._slot(keys)])[0]
+        key = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        hit = self.keys[key] == keys[some]
+        key, some = key[hit], some[hit]
+        if not len(key):
+            return none, none
+        counts = self.starts[key + 1] - self.starts[key]
+        each = np.repeat(np.arange(len(key)), counts)
+        post = np.arange(len(each)) + (self.starts[key] - np.cumsum(counts) + counts)[each]
+        light = ~(self.post_next[post] & near[some][each])
+        marks = np.sort((self.post_item[post] * n + places[some][each]) * 2 + light)
+        marks = marks[np.concatenate([[True], marks[1:] >> 1 != marks[:-1] >> 1])]  # a word counts once, by its best pair
+        weight, where = 2 - (marks & 1), marks >> 1
+        item = where // n
+        total = np.concatenate([[0], np.cumsum(weight)])
+        end = np.searchsorted(where, np.minimum(where + self.reach[item], (item + 1) * n))
+        enough = total[end] - total[:-1] >= self.least[item]
+        return item[enough], where[enough] % n
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item_id, score, first and last word of the passage) of the items that a whole text contains.
 
-        An alignment starts from every passage around seeds of an item, with room for insertions on both sides; the
-        score is the best over its passages, and counts from THRESHOLD on.
+        The score is that of the best alignment with the whole text, and counts from THRESHOLD on: every alignment
+        that counts has seeds enough, and lies within the item's reach of each of them.
         """
         if not self.items or not text:
             return []
-        get = self.numbers.get
         words = words_of(text)
-        coded = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        known = coded > 0
-        n = len(coded) - SEED_WORDS + 1
-        if n < 1:
-            return []
-        full = known[:n].copy()
-        for k in range(1, SEED_WORDS):
-            full &= known[k : k + n]
-        places = np.nonzero(full)[0]
-        if not len(places):
-            return []
-        grams = self._mixed(coded, places)
-        at = np.minimum(np.searchsorted(self.sorted, grams), len(self.sorted) - 1)
-        hit = self.sorted[at] == grams
+        coded = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        over = int(self.reach.max()) + 2
+        step = max(SLICE, over)
         passages: dict[int, list[list[int]]] = defaultdict(list)
-        for place, gram in zip(places[hit].tolist(), grams[hit].tolist(), strict=True):
-            for i, offset in self.seeds[gram]:
-                size = len(self.items[i][1])
-                room = size // 2 + 4
-                a, b = max(0, place - offset - room), min(len(coded), place - offset + size + room)
+        for start in range(0, len(coded), step):
+            for i, place in zip(*(x.tolist() for x in self._candidates(coded[start : start + step + over])), strict=True):
+                reach = int(self.reach[i])
+                a, b = max(0, start + place - reach), min(len(coded), start + place + reach + 2)
                 last = passages[i]
                 if last and a <= last[-1][1]:
                     last[-1][1] = max(last[-1][1], b)
@@ -150,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Returns a row for each document: doc_id, n_items (items found), best_item and best_score (the item with the best
     alignment, the smallest id of equals, and its share of a whole copy's score; null and 0 if none), first_word and
     last_word (its passage, counted in words from 0), contaminated. The whole text is searched for every item with
-    SEED_WORDS words or more. Null and empty texts contain nothing; repeated rows get a row each; an item that occurs
+    LEAST_WORDS words or more. Null and empty texts contain nothing; repeated rows get a row each; an item that occurs
     twice in the benchmark counts twice; other columns are ignored; an empty benchmark leaves all clean. The items
     go to the documents in blocks of a fixed size, so no document moves and a popular item skews nothing.
     """

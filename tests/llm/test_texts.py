@@ -235,3 +235,28 @@ def test_licences():
     mit = KNOWN["MIT"][0]
     assert canonical_text(mit) == canonical_text(mit.upper().replace("LICENSE", "LICENCE").replace("<YEAR> <HOLDER>", "2020 X"))
     assert zlib.crc32(b"") == 0
+
+
+def test_every_alignment_over_the_threshold_is_found(monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(400)]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared = pick(24)
+    items = [pick(30), shared + pick(12), shared + pick(12), pick(3), pick(5), pick(60)]
+    m = Matcher([(i, " ".join(words)) for i, words in enumerate(items)])
+    third = ["zz" if k % 3 == 2 else w for k, w in enumerate(items[0])]
+    apart = [x for w in items[5] for x in (w, "zz")]
+    assert [f[:2] for f in m.matches(" ".join(pick(90) + third + pick(90)))] == [(0, pytest.approx(0.5, abs=0.02))]
+    assert [f[0] for f in m.matches(" ".join(pick(90) + apart + pick(90)))] == [5]
+    assert sorted(f[0] for f in m.matches(" ".join(pick(90) + shared + pick(90)))) == [1, 2]
+    for common in (64, 0):
+        monkeypatch.setattr("larkspur.llm.decontaminate.COMMON", common)
+        m = Matcher([(i, " ".join(words)) for i, words in enumerate(items)])
+        for _ in range(150):
+            doc = pick(20)
+            for words in rng.sample(items, 2):
+                wrong = rng.choice([0.1, 0.25, 0.33, 0.4])
+                doc += [x for w in words for x in ([w] if rng.random() > wrong else rng.choice([[], ["zz"], [w, "zz"]]))] + pick(5)
+            coded = np.array([m.numbers.get(w, 0) for w in doc])
+            scores = {i: align(words, coded)[0] / (2 * len(words)) for i, words in m.items}
+            assert {f[0]: f[1] for f in m.matches(" ".join(doc))} == {i: s for i, s in scores.items() if s >= 0.4}
