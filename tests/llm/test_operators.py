@@ -219,6 +219,17 @@ def test_pages(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_a_host_with_two_layouts(spark):
+    one = "<html><body><div class=a><p>Hello from one</p><div class=b><h1>T{0}</h1><p>Own {0}</p></div>{1}</div></body></html>"
+    two = "<html><body><section class=c><div>Hello from two</div><table><tr><td>Own {0}</td></tr></table></section>{1}</body></html>"
+    hint = "<section class=hint>Closed in winter</section>"
+    rows = [(i, f"https://a.example/{i}", one.format(i, hint * (i % 2))) for i in range(8)] + [(i, f"https://a.example/{i}", two.format(i, "")) for i in range(10, 14)]
+    rows += [(i, f"https://a.example/{i}", f"<html><body><p>Error {i}</p></body></html>") for i in range(20, 22)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: f"T{i}\nOwn {i}" for i in range(8)} | {i: f"Own {i}" for i in range(10, 14)} | {20: "Error 20", 21: "Error 21"}
+    assert got == want
+
+
 # 6
 
 
