@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,53 @@ Redistribution and use in source and binary forms, with or without modification,
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    ],
+    "BSD-3-Clause": [
+        """BSD 3-Clause License
+Copyright (c) <year>, <holder>
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+        """Copyright (c) The Regents of the University of California.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.  IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.""",
     ],
     "Unlicense": [
-        """This is free and unencumbered software released into the public domain.
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+        """The Unlicense
+This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
     ],
 }
+# Long licences, each a file with its whole text as published.
+KNOWN |= {f.name.removesuffix(".txt"): [f.read_text("utf-8")] for f in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 # Spellings that count as one; the pairs apply in this order to the text in lower case.
 SPELLINGS = [
@@ -57,6 +99,10 @@ SPELLINGS = [
 _NOTICE = r"(^|\n)[ \t*#/;-]*(?:copyright|\(c\)|©)[^\n]*"
 _MARKS = r"[^\p{L}\p{N}\n]+"
 _EDGES = r" *\n[ \n]*"
+_TITLE_WORDS = 20
+_BLANK = r"\n[ \t]*\n"
+_END = r"(?i)end of terms and conditions"
+_OWNER = re.compile(r"\s*copyright (?:\(c\)|[\[<])", re.I)
 
 
 def canonical(text: Column) -> Column:
@@ -75,7 +121,7 @@ def canonical_text(text: str) -> str:
     for a, b in SPELLINGS:
         out = out.replace(a, b)
     out = re.sub(_NOTICE, r"\1", out)
-    out = re.sub(r"[^\w\n]+|_", " ", out)
+    out = re.sub(r"(?:[^\w\n]|_)+", " ", out)
     return re.sub(_EDGES, "\n", out).strip(" ")
 
 
@@ -83,9 +129,36 @@ def _digest(canon: str) -> str:
     return hashlib.sha256(canon.strip("\n").replace("\n", " ").encode()).hexdigest()
 
 
+def _flowed(text: str, apart: bool) -> str:
+    """A wrapped text with a line for each paragraph. apart: copyright notices stay lines of their own."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        if out and out[-1].strip() and line.strip() and not (apart and (_OWNER.match(line) or _OWNER.match(out[-1]))):
+            out[-1] += " " + line.strip()
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def forms(text: str) -> set[str]:
+    """A licence as it is met: with and without its title and what follows its terms, wrapped or a line a paragraph.
+
+    The title is the first paragraph or, in a text without blank lines, a first line of few words. Wrapping matters
+    since a line that begins with the word copyright isn't part of a canonical text.
+    """
+    text = text.strip()
+    head = re.match(r"[^\n]+(?:\n[^\n]+)*?" + _BLANK if re.search(_BLANK, text) else r"[^\n]+\n", text)
+    titled = {text}
+    if head and len(head[0].split()) <= _TITLE_WORDS:
+        titled.add(text[head.end() :])
+    ended = titled | {t[: m.end()] for t in titled for m in [re.search(_END, t)] if m}
+    linked = ended | {t.replace("https://", "http://") for t in ended}
+    return linked | {_flowed(t, apart) for t in linked if re.search(_BLANK, t) for apart in (True, False)}
+
+
 def catalogue() -> list[tuple[str, str, int]]:
-    """(digest, licence, its number) of every known text."""
-    return sorted({(_digest(canonical_text(t)), name, i) for i, (name, texts) in enumerate(KNOWN.items()) for t in texts})
+    """(digest, licence, its number) of every known text in all its forms."""
+    return sorted({(_digest(canonical_text(form)), name, i) for i, (name, texts) in enumerate(KNOWN.items()) for t in texts for form in forms(t)})
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -174,6 +174,24 @@ def test_licences(spark, awkward, nothing):
     assert "Python" not in scan_licenses(awkward)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_whole_licences(spark):
+    from larkspur.llm.license_scan import KNOWN, catalogue
+
+    digests = [d for d, _, _ in catalogue()]
+    assert len(digests) == len(set(digests)) and hashlib.sha256(b"").hexdigest() not in digests
+    whole = {n: t for n, texts in KNOWN.items() for t in texts if len(t) > 500}
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "MIT", "MPL-2.0", "Unlicense"} <= set(whole)
+    untitled = {n: t.strip().split("\n\n" if "\n\n" in t else "\n", 1)[1] for n, t in whole.items() if n != "BSD-3-Clause"}
+    flowed = {n: "\n\n".join(p.replace("\n", " ") for p in whole[n].split("\n\n")) for n in ("Apache-2.0", "MPL-2.0", "LGPL-2.1")}
+    unlicense = "This is free and unencumbered software released into the public domain.\n\n" + whole["Unlicense"].split("\n", 2)[2].replace("\n", "\n\n")
+    cases = [*whole.items(), *untitled.items(), *flowed.items(), ("Unlicense", unlicense), ("BSD-3-Clause", KNOWN["BSD-3-Clause"][0].replace("<year>, <holder>", "2020, X"))]
+    rows = [(i, text) for i, (_, text) in enumerate(cases)]
+    got = {r["doc_id"]: r["whole_license"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, name) for i, (name, _) in enumerate(cases)} == set(got.items())
+    cut = whole["Unlicense"].split("\nIn jurisdictions")[0]
+    assert scan_licenses(spark.createDataFrame([(1, cut)], "doc_id long, text string")).first()["whole_license"] is None
+
+
 # 4
 
 
