@@ -167,3 +167,17 @@ def check_backend(name: str) -> str:
     if name not in BACKENDS:
         raise ValueError(f"unknown backend {name!r}; there are {', '.join(BACKENDS)}")
     return name
+
+
+#: Label sets of the plug-ins that a back end needs; medical ones come on top if the profile asks for medical types.
+NEEDED = {"presidio": ["conll"], "hybrid": ["conll"], "opf": ["opf"], "gliner": ["gliner"], "nemotron": ["nemotron"], "transformers": ["conll"]}
+#: Back ends that add the ready recognisers, and those that run medical models.
+WITH_RECOGNIZERS = ["presidio", "hybrid"]
+WITH_MEDICAL = ["presidio", "hybrid", "transformers"]
+MEDICAL_TYPES = {"DIAGNOSIS", "DRUG", "PROCEDURE", "SYMPTOM", "LAB_VALUE", "VITAL_SIGN", "ANATOMICAL_SITE", "MEDICAL_RECORD"}
+
+
+def missing_models(backend: str, plugins: list[SpanPlugin], types: list[str]) -> list[str]:
+    """Label sets that a back end needs for these types and no plug-in has."""
+    needed = NEEDED.get(backend, []) + (["medical"] if backend in WITH_MEDICAL and MEDICAL_TYPES & {*types} else [])
+    return [n for n in needed if n not in {p.labels for p in plugins}]

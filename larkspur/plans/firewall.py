@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from larkspur.functions import actions, spans
 from larkspur.functions.shared import store
 from larkspur.operators import tokens, vault
-from larkspur.operators.backends import SpanPlugin, check_backend, merge_backends
+from larkspur.operators.backends import WITH_RECOGNIZERS, SpanPlugin, check_backend, merge_backends, missing_models, recognizers
 from larkspur.operators.payload import leaves, walk
 from larkspur.operators.rehydrate import rehydrate
 from larkspur.sources.catalog import Catalog, Pattern
-from larkspur.sources.languages import Router
+from larkspur.sources.languages import LOCALES, Router
 from larkspur.sources.profiles import Disposition, Profile, preset
 
 CONTEXT = ["tenant_id", "case_id", "thread_id"]
@@ -33,7 +33,11 @@ PAYLOAD_LEAVES = 100_000
 
 @dataclass
 class Firewall:
-    """A profile with its detectors. plugins: further detectors, in the order in which ties go."""
+    """A profile with its detectors. plugins: further detectors, in the order in which ties go.
+
+    backend: what is run besides the catalogue. All but regex need plug-ins with the labels of their models, and raise
+    an error without them; presidio and hybrid also add the ready recognisers.
+    """
 
     profile: Profile = field(default_factory=lambda: preset("generic"))
     catalog: Catalog = field(default_factory=Catalog.default)
@@ -83,14 +87,22 @@ class Firewall:
     def with_spans(self, messages: DataFrame, filtered: bool = True) -> DataFrame:
         """The messages with locale and spans: overlaps resolved, neighbouring persons joined, the profile applied."""
         rows = messages.withColumn("locale", F.expr(self.router.locale_sql("_lang"))) if "_lang" in messages.columns else self._checked(messages).withColumn("locale", F.expr(self.router.locale_sql("_lang")))
+        if missing := missing_models(self.backend, self.plugins, list(self.profile.dispositions)):
+            raise ValueError(f"backend {self.backend!r} needs plug-ins with the labels {', '.join(missing)}")
         rows = rows.withColumn("_0", spans.detect(self.catalog))
         found = ["_0"]
+        if self.backend in WITH_RECOGNIZERS:
+            spanish = F.col("locale") == LOCALES["es"]
+            rows = rows.withColumn("_r", F.when(spanish, spans.detect(recognizers("es"))).otherwise(spans.detect(recognizers())))
+            found.append("_r")
         for k, plugin in enumerate(self.plugins, 1):
             rows = plugin.add_spans(rows, out=f"_{k}")
             found.append(f"_{k}")
         merged = merge_backends(*found) if len(found) > 1 else F.col("_0")
         rows = rows.withColumn("_m", merged)
         resolved = spans._bind(spans.dedupe_sql("_m"), "d", spans.merge_persons_sql("d") if self.plugins else "d")
+        if self.profile.linguistic_filter and (self.plugins or "PERSON" in self.catalog.entity_types()):
+            resolved = spans._bind(resolved, "h", spans.heuristic_filter_sql("h"))
         if filtered:
             resolved = spans.profile_filter_sql(resolved, self.profile)
         return rows.withColumn("spans", F.expr(resolved)).drop("_m", "_lang", *found)

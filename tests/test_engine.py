@@ -254,3 +254,27 @@ def test_secure_call_answers_every_document(spark, tmp_path):
     assert sorted(got) == [0, 1, 2, 3, 4]
     assert got[0]["final_text"] == "[mock-model] nothing personal" and got[2]["sanitized_text"] == "visit [URL_001], now"
     assert "4111-1111" not in got[1]["sanitized_text"] and got[3]["final_text"] == "[mock-model] mail a@x.com"
+
+
+def _person_in(word):
+    return lambda model, texts: [[(t.find(word), t.find(word) + len(word), "PER", 0.99)] if word in t else [] for t in texts]
+
+
+def test_backend_chooses_detectors(spark):
+    rows = spark.createDataFrame([("t", "c", "h", 1, "en", "Seen by Anna B. in town with carl"), ("t", "c", "h", 2, "es", "el 3 de mayo de 2020 con Ana Ruiz")], MESSAGE)
+    for backend in ("presidio", "hybrid", "opf", "gliner", "nemotron", "transformers"):
+        with pytest.raises(ValueError, match="needs plug-ins"):
+            Firewall.create(backend=backend).anonymize(rows)
+    with pytest.raises(ValueError, match="medical"):
+        Firewall.create("healthcare", backend="presidio", plugins=[backends.SpanPlugin("m", _person_in("x"))]).anonymize(rows)
+
+    def found(wall):
+        return {(r["msg_seq"], s["entity_type"], s["text"]) for r in wall.with_spans(rows, filtered=False).collect() for s in r["spans"]}
+
+    wall = Firewall.create(backend="presidio", plugins=[backends.SpanPlugin("m", _person_in("carl")), backends.SpanPlugin("d", lambda model, texts: [[] for _ in texts], labels="medical")])
+    got = found(wall)
+    assert {(1, "PERSON", "Anna B."), (2, "DATE_TIME", "3 de mayo de 2020"), (2, "PERSON", "Ana Ruiz")} <= got
+    assert (1, "PERSON", "carl") not in got
+    wall.profile.linguistic_filter = False
+    assert (1, "PERSON", "carl") in found(wall)
+    assert not any(kind == "PERSON" for _, kind, _ in found(Firewall.create()))
