@@ -1,3 +1,11 @@
-"""Larkspur: a Spark-native engine for text de-identification and corpus work."""
+"""Text de-identification and corpus preparation on Spark."""
 
-__version__ = "0.1.0"
+from larkspur.operators.backends import SpanPlugin
+from larkspur.operators.vault import VaultTable
+from larkspur.plans.firewall import Anonymized, Firewall, mock_model
+from larkspur.sdk import Sdk
+from larkspur.sources.catalog import Catalog, Pattern
+from larkspur.sources.profiles import Disposition, Profile, custom_profile, preset, preset_names
+
+__version__ = "0.2.0"
+__all__ = ["Anonymized", "Catalog", "Disposition", "Firewall", "Pattern", "Profile", "Sdk", "SpanPlugin", "VaultTable", "custom_profile", "mock_model", "preset", "preset_names"]

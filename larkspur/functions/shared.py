@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,4 +56,38 @@ def store(df: DataFrame, name: str) -> Stored:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
+    made = Stored(spark.read.schema(df.schema).parquet(path), path)
+    for kept in _OPEN:
+        kept.append(made)
+    return made
+
+
+_OPEN: list[list[Stored]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, what was stored inside: for work whose result has been written by then."""
+    kept: list[Stored] = []
+    _OPEN.append(kept)
+    try:
+        yield
+    finally:
+        _OPEN.remove(kept)
+        for made in kept:
+            made.drop()
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names, in which null equals null; the keys of the left side stay."""
+    own = {k: f"_right_{k}" for k in keys}
+    on: Column = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(own[k])) for k in keys])
+    joined = left.join(right.withColumnsRenamed(own), on, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*own.values())
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores behind as it takes to be none of the columns'."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

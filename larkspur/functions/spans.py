@@ -6,7 +6,7 @@ runs the patterns of its own locale only and everything stays in one narrow proj
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,8 +17,12 @@ from larkspur.sources.profiles import Profile
 
 CONTEXT_CHARS = 100
 CONTEXT_BOOST = 0.25
-#: Characters on which Java's and Python's classes differ; texts with them can go through Python instead.
+#: Characters on which Java's and Python's classes differ. Texts with them are matched with the classes spelled out, and
+#: with a stand-in of the same kind, one for one, for each character beyond the first plane, which Java reads as two.
 GUARD = r"[\p{M}\p{No}\p{Nl}\x1c-\x1f]|[\x{10000}-\x{10FFFF}]"
+_BEYOND = r"[\x{10000}-\x{10FFFF}&&"
+# Stand-ins for a digit, another number, a letter and anything else.
+STAND_INS = [(_BEYOND + r"[\p{Nd}]]", "\u0660"), (_BEYOND + r"[\p{N}]]", "\u00bd"), (_BEYOND + r"[\p{L}]]", "\u02ac"), (r"[\x{10000}-\x{10FFFF}]", "\ue000")]
 
 
 def quoted(value: str) -> str:
@@ -35,18 +39,37 @@ def no_spans() -> str:
     return f"cast(array() as {SPANS_SQL})"
 
 
-def pattern_spans(pattern: Pattern, ordinal: int, text: str = "text", lowered: str = "low") -> str:
-    """SQL for all spans of a pattern in a text: the matches, and the gaps between them for the offsets."""
-    regex, source = quoted(pattern.java), quoted(f"pattern:{pattern.locale}")
+def flattened_sql(text: str) -> str:
+    """A text with stand-ins for its characters beyond the first plane."""
+    for regex, char in STAND_INS:
+        text = f"regexp_replace({text}, {quoted(regex)}, {quoted(char)})"
+    return text
+
+
+def pattern_spans(pattern: Pattern, ordinal: int, text: str = "text", lowered: str = "low", seen: str | None = None, odd: str | None = None) -> str:
+    """SQL for all spans of a pattern in a text: the matches, and the gaps between them for the offsets.
+
+    seen, odd: the text with stand-ins, and whether it has characters of GUARD; without them a text is taken as plain.
+    """
+    plain, source = quoted(pattern.java), quoted(f"pattern:{pattern.locale}")
+    regex = f"if({odd}, {quoted(pattern.strict)}, {plain})" if odd else plain
+    searched = seen or text
     start = "aggregate(slice(g, 1, i + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + length(x))"
     confidence = f"{pattern.confidence!r}D"
     if pattern.context_words:
         around = f"substring({lowered}, greatest(s - {CONTEXT_CHARS}, 0) + 1, s + length(x) + {CONTEXT_CHARS} - greatest(s - {CONTEXT_CHARS}, 0))"
         near = " or ".join(f"contains(w, {quoted(word.lower())})" for word in pattern.context_words)
         confidence = _bind(around, "w", f"if({near}, least(1.0D, {confidence} + {CONTEXT_BOOST}D), {confidence})")
-    span = f"struct(s as start, {ordinal} as ord, s + length(x) as end, x as text, {quoted(pattern.entity_type)} as entity_type, {confidence} as confidence, {source} as source)"
-    found = _bind(f"split({text}, {regex}, -1)", "g", f"transform(m, (x, i) -> {_bind(start, 's', span)})")
-    return _bind(f"regexp_extract_all({text}, {regex}, 0)", "m", f"if(size(m) = 0, {no_spans()}, cast({found} as {SPANS_SQL}))")
+    own = f"if({odd}, substring({text}, s + 1, length(x)), x)" if odd else "x"
+    span = f"struct(s as start, {ordinal} as ord, s + length(x) as end, {own} as text, {quoted(pattern.entity_type)} as entity_type, {confidence} as confidence, {source} as source)"
+    found = _bind(f"split({searched}, {regex}, -1)", "g", f"transform(m, (x, i) -> {_bind(start, 's', span)})")
+    return _bind(f"regexp_extract_all({searched}, {regex}, 0)", "m", f"if(size(m) = 0, {no_spans()}, cast({found} as {SPANS_SQL}))")
+
+
+def spans_of_sql(patterns: Callable[[str, str], str], text: str = "text") -> str:
+    """SQL that runs an expression over a text with what it needs bound: low, and what patterns gets as seen and odd."""
+    inner = _bind(f"if(odd, {flattened_sql(text)}, {text})", "seen", _bind(f"lower({text})", "low", patterns("seen", "odd")))
+    return _bind(f"coalesce({text} rlike {quoted(GUARD)}, false)", "odd", inner)
 
 
 def prefilter_sql(text: str = "text") -> str:
@@ -65,13 +88,13 @@ def detect_sql(catalog: Catalog, locales: Iterable[str] | None = None, text: str
     order = {id(p): i for i, p in enumerate(catalog.all())}
 
     def part(where: str) -> str:
-        own = [pattern_spans(p, order[id(p)], text) for p in catalog.all() if p.locale == where]
+        own = [pattern_spans(p, order[id(p)], text, "low", "seen", "odd") for p in catalog.all() if p.locale == where]
         return f"concat({', '.join(own)})" if own else no_spans()
 
-    found = part("GLOBAL")
+    listed = part("GLOBAL")
     if cases := " ".join(f"when {quoted(x)} then {part(x)}" for x in ([y for y in catalog.locales() if y != "GLOBAL"] if locales is None else locales)):
-        found = f"concat({found}, case {locale} {cases} else {no_spans()} end)"
-    found = f"array_sort({_bind(f'lower({text})', 'low', found)})"
+        listed = f"concat({listed}, case {locale} {cases} else {no_spans()} end)"
+    found = f"array_sort({spans_of_sql(lambda *_: listed, text)})"
     some = f"{text} is not null" + (f" and {prefilter_sql(text)}" if prefilter and not catalog.custom else "")
     return f"case when {some} then {found} else {no_spans()} end"
 

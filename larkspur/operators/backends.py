@@ -158,8 +158,8 @@ class SpanPlugin:
 
 
 def merge_backends(*spans: str) -> Column:
-    """Spans of several detectors in order of start; on equal starts the earlier detector's first."""
-    parts = [f"transform({s}, x -> named_struct('start', x.start, 'ord', x.ord + {k * 1000}, 'end', x.end, 'text', x.text, 'entity_type', x.entity_type, 'confidence', x.confidence, 'source', x.source))" for k, s in enumerate(spans)]
+    """Spans of several detectors in order of start; on equal starts the earlier detector's first, in its own order."""
+    parts = [f"transform({s}, (x, i) -> named_struct('start', x.start, 'ord', i + {k << 24}, 'end', x.end, 'text', x.text, 'entity_type', x.entity_type, 'confidence', x.confidence, 'source', x.source))" for k, s in enumerate(spans)]
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.shared import join_null_safe, unused
 from larkspur.operators.vault import CASE
 
 
@@ -14,10 +15,17 @@ def rehydrate_sql(text: str = "text", mapping: str = "mapping") -> str:
     return f"if({mapping} is null, {text}, aggregate({longest_first}, {text}, (t, e) -> replace(t, e.key, e.value)))"
 
 
+def restored(text: Column, mapping: Column) -> Column:
+    """rehydrate_sql for columns; the mapping isn't null."""
+    longest = F.array_sort(F.map_entries(mapping), lambda a, b: F.when(F.length(a["key"]) != F.length(b["key"]), F.length(b["key"]) - F.length(a["key"])).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return F.aggregate(longest, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
 def rehydrate(messages: DataFrame, mappings: DataFrame, text: str = "text", out: str = "final_text") -> DataFrame:
     """Rehydrate messages by the mappings of their threads; messages of threads without one stay as they are."""
-    joined = messages.join(mappings.select(*CASE, F.col("mapping").alias("_mapping")), CASE, "left")
-    return joined.withColumn(out, F.expr(rehydrate_sql(text, "_mapping"))).drop("_mapping")
+    name = unused("_mapping", messages.columns)
+    joined = join_null_safe(messages, mappings.select(*CASE, F.col("mapping").alias(name)), CASE, "left")
+    return joined.withColumn(out, F.expr(rehydrate_sql(text, name))).drop(name)
 
 
 def rehydrate_chunks(chunks: DataFrame, mappings: DataFrame) -> DataFrame:

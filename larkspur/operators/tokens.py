@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.names import normalize_name, similarity
-from larkspur.functions.shared import store
+from larkspur.functions.shared import join_null_safe, store
 from larkspur.sources.profiles import SCOPES
 
 REGISTRY = ["tenant_id", "scope", "entity_type"]
@@ -44,7 +44,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "or
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(*keys, "_range").count().select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    joined = ranged.join(offsets, [*keys, "_range"])
+    joined = join_null_safe(ranged, offsets, [*keys, "_range"])
     return joined.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
@@ -57,37 +57,54 @@ def resolve_exact(mentions: DataFrame, scope: str = "tenant", registry: DataFram
     named = mentions.withColumn("scope", scope_key(scope)).withColumn("canonical", canonical())
     first = named.groupBy(*REGISTRY, "canonical").agg(F.min(F.struct(F.col("msg_seq"), (-F.col("start")).alias("back"))).alias("first"))
     if registry is not None:
-        first = first.join(registry.select(*REGISTRY, "canonical"), [*REGISTRY, "canonical"], "left_anti")
+        first = join_null_safe(first, registry.select(*REGISTRY, "canonical"), [*REGISTRY, "canonical"], "left_anti")
     flat = first.select(*REGISTRY, "canonical", F.col("first.msg_seq").alias("_seq"), F.col("first.back").alias("_back"))
     made = numbered(flat, REGISTRY, ["_seq", "_back", "canonical"]).drop("_seq", "_back")
     if registry is not None:
         top = registry.groupBy(*REGISTRY).agg(F.max("ordinal").alias("_top"))
-        made = made.join(top, REGISTRY, "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("_top", F.lit(0))).drop("_top")
+        made = join_null_safe(made, top, REGISTRY, "left").withColumn("ordinal", F.col("ordinal") + F.coalesce("_top", F.lit(0))).drop("_top")
     made = made.withColumn("token", token_of()).select(*REGISTRY, "token", "canonical", "ordinal")
     return made if registry is None else registry.select(*made.columns).unionByName(made)
 
 
-def resolve_persons(mentions: DataFrame, scope: str = "tenant", threshold: float = 0.75) -> DataFrame:
+_PERSONS = "tenant_id string, scope string, text string, canonical string, token string, ordinal long"
+
+
+def resolve_persons(mentions: DataFrame, scope: str = "tenant", threshold: float = 0.75, registry: DataFrame | None = None) -> DataFrame:
     """(tenant_id, scope, text, canonical, token, ordinal) of every distinct PERSON surface form.
 
     Names match greedily in order of mention: the best known name at the threshold or above, the first of equals. The
-    order matters, so a scope is worked through in one place; it sees each surface form once. Prefer the thread or
-    case scope where a tenant has very many names.
+    persons of an earlier registry are known from the start, and new ones count on from the highest number. The order
+    matters, so a scope is worked through in one place; it sees each surface form once. Prefer the thread or case
+    scope where a tenant has very many names.
     """
 
-    def match(batches: pd.DataFrame) -> pd.DataFrame:
-        known: list[str] = []
+    def match(forms: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        told = earlier.sort_values("ordinal")
+        known: list[str] = told["canonical"].tolist()
+        numbers: list[int] = [int(n) for n in told["ordinal"]]
+        exact = {k: i for i, k in reversed(list(enumerate(known)))}
         out = []
-        for tenant, where, text in batches.sort_values(["seq", "back", "text"])[["tenant_id", "scope", "text"]].itertuples(index=False):
+        for tenant, where, text in forms.sort_values(["seq", "back", "text"])[["tenant_id", "scope", "text"]].itertuples(index=False):
             name = normalize_name(text)
-            scores = [1.0 if name == k else similarity(name, k) for k in known]
-            best = max(range(len(known)), key=lambda i: (scores[i], -i), default=None)
-            if best is None or scores[best] < threshold:
-                known.append(name)
-                best = len(known) - 1
-            out.append((tenant, where, text, known[best], f"[PERSON_{best + 1:03d}]", best + 1))
+            best = exact.get(name)
+            if best is None:
+                scores = [similarity(name, k) for k in known]
+                best = max(range(len(known)), key=lambda i: (scores[i], -i), default=None)
+                if best is None or scores[best] < threshold:
+                    best = exact[name] = len(known)
+                    known.append(name)
+                    numbers.append(max(numbers, default=0) + 1)
+            out.append((tenant, where, text, known[best], f"[PERSON_{numbers[best]:03d}]", numbers[best]))
         return pd.DataFrame(out, columns=["tenant_id", "scope", "text", "canonical", "token", "ordinal"])
 
     named = mentions.where("entity_type = 'PERSON'").withColumn("scope", scope_key(scope))
-    first = named.groupBy("tenant_id", "scope", "text").agg(F.min(F.struct(F.col("msg_seq").alias("seq"), (-F.col("start")).alias("back"))).alias("first")).select("tenant_id", "scope", "text", "first.seq", "first.back")
-    return first.groupBy("tenant_id", "scope").applyInPandas(match, "tenant_id string, scope string, text string, canonical string, token string, ordinal long")
+    first = named.groupBy("tenant_id", "scope", "text").agg(F.min(F.struct(F.col("msg_seq").alias("seq"), (-F.col("start")).alias("back"))).alias("first"))
+    # ordered before it goes to Python, where message numbers of any type would have to sort alike
+    ranked = numbered(first.select("tenant_id", "scope", "text", "first.seq", "first.back"), ["tenant_id", "scope"], ["seq", "back", "text"], "seq_nth").select("tenant_id", "scope", "text", F.col("seq_nth").alias("seq"), F.lit(0).alias("back"))
+    if registry is None:
+        known = mentions.sparkSession.createDataFrame([], "tenant_id string, scope string, canonical string, ordinal long")
+    else:  # columns of their own, since an earlier registry may come from the same tables
+        known = registry.where("entity_type = 'PERSON'").select(*[F.col(c).cast(t).alias(c) for c, t in (("tenant_id", "string"), ("scope", "string"), ("canonical", "string"), ("ordinal", "long"))])
+    keys = [F.coalesce("tenant_id", F.lit("")).alias("_t"), F.coalesce("scope", F.lit("")).alias("_s"), F.isnull("tenant_id").alias("_n"), F.isnull("scope").alias("_m")]
+    return ranked.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(match, _PERSONS)

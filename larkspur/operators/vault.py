@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.shared import path_exists
+from larkspur.functions.shared import join_null_safe, path_exists
 
 KEYS = ["tenant_id", "case_id", "thread_id", "token"]
 CASE = KEYS[:3]
@@ -26,12 +26,13 @@ def expiry(now: int | Column, ttl: Column | int | None) -> Column:
 def latest(log: DataFrame) -> DataFrame:
     """One row for each token of a thread from a log of puts: the last put wins.
 
-    The log has seq, its order, and if it has deletions a column deleted: a forgotten thread's earlier puts go.
+    The log has seq, its order (of any type that sorts), and if it has deletions a column deleted: a forgotten
+    thread's earlier puts go. A null tenant, case or thread is one like others.
     """
     puts = log
     if "deleted" in log.columns:
         gone = log.where("deleted").groupBy(*CASE).agg(F.max("seq").alias("_gone"))
-        puts = log.where("not deleted").join(gone, CASE, "left").where("_gone is null or seq > _gone").drop("_gone")
+        puts = join_null_safe(log.where("not deleted"), gone, CASE, "left").where("_gone is null or seq > _gone").drop("_gone")
     last = puts.groupBy(*KEYS).agg(F.max(F.struct("seq", "original", "expires_at")).alias("last"))
     return last.select(*KEYS, "last.original", "last.expires_at")
 
@@ -45,7 +46,7 @@ def purge(vault: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
 def forget(vault: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of other threads, the count of rows by forgotten thread)."""
     named = cases.select(*CASE).distinct()
-    return vault.join(named, CASE, "left_anti"), vault.join(named, CASE, "left_semi").groupBy(*CASE).agg(F.count(F.lit(1)).alias("forgotten"))
+    return join_null_safe(vault, named, CASE, "left_anti"), join_null_safe(vault, named, CASE, "left_semi").groupBy(*CASE).agg(F.count(F.lit(1)).alias("forgotten"))
 
 
 def mapping(vault: DataFrame, now: int | None = None) -> DataFrame:
@@ -76,12 +77,16 @@ class VaultTable:
         base = self._next()
         self._append(rows.withColumn("expires_at", expiry(now, ttl)).withColumn("seq", F.col("order") + base).withColumn("deleted", F.lit(False)))
 
+    def append(self, rows: DataFrame) -> None:
+        """Write rows of another vault (KEYS, original, expires_at): they win over what was there before."""
+        self._append(rows.withColumn("seq", F.lit(self._next())).withColumn("deleted", F.lit(False)))
+
     def get(self, now: int) -> DataFrame:
         return purge(latest(self.log()), now)[0]
 
-    def forget(self, tenant_id: str, case_id: str, thread_id: str) -> int:
+    def forget(self, tenant_id: str | None, case_id: str | None, thread_id: str | None) -> int:
         """Hide a thread's rows; how many there were."""
-        mine = latest(self.log()).where((F.col("tenant_id") == tenant_id) & (F.col("case_id") == case_id) & (F.col("thread_id") == thread_id))
+        mine = latest(self.log()).where(F.col("tenant_id").eqNullSafe(tenant_id) & F.col("case_id").eqNullSafe(case_id) & F.col("thread_id").eqNullSafe(thread_id))
         n = mine.count()
         self._append(self.spark.createDataFrame([(tenant_id, case_id, thread_id, None, None, None, self._next(), True)], ROW_SQL))
         return n

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.spans import pattern_spans, quoted
+from larkspur.functions.spans import pattern_spans, prefilter_sql, quoted, spans_of_sql
 from larkspur.sources.catalog import Catalog, Pattern
 from larkspur.sources.profiles import Profile
 
@@ -13,16 +15,28 @@ from larkspur.sources.profiles import Profile
 AUDITED = [r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\+?\d[\d\s().-]{7,}\d", r"\b[A-Z0-9]{8,}\b"]
 
 
+_BUILT_IN = set(Catalog.default().all())
+
+
+def possible_sql(pattern: Pattern, text: str = "text") -> str:
+    """A cheap SQL test that every text with a match passes: a mark that the expression can't do without, else the prefilter."""
+    marks = [chr(value) for kind, value in re._parser.parse(pattern.regex) if str(kind) == "LITERAL" and not chr(value).isalnum()]
+    if marks:
+        return " and ".join(f"contains({text}, {quoted(m)})" for m in dict.fromkeys(marks))
+    return prefilter_sql(text) if pattern in _BUILT_IN else f"{text} is not null"
+
+
 def pattern_matches(docs: DataFrame, pattern: Pattern, key: str = "doc_id", *more: str) -> DataFrame:
     """A row for each match of a pattern: key, start, end, text, confidence."""
-    found = F.expr(f"element_at(transform(array(lower(text)), low -> {pattern_spans(pattern, 0)}), 1)")
-    return docs.select(key, *more, F.explode(found).alias("s")).select(key, *more, "s.start", "s.end", "s.text", "s.confidence")
+    found = F.expr(spans_of_sql(lambda seen, odd: pattern_spans(pattern, 0, seen=seen, odd=odd)))
+    return docs.where(possible_sql(pattern)).select(key, *more, F.explode(found).alias("s")).select(key, *more, "s.start", "s.end", "s.text", "s.confidence")
 
 
 def type_counts(docs: DataFrame, patterns: list[Pattern], *by: str) -> DataFrame:
     """Matches by some columns and entity type, without offsets."""
-    counts = F.array(*[F.struct(F.lit(p.entity_type).alias("entity_type"), F.size(F.expr(f"regexp_extract_all(coalesce(text, ''), {quoted(p.java)}, 0)")).alias("n")) for p in patterns])
-    rows = docs.select(*by, F.explode(counts).alias("c")).where("c.n > 0")
+    counts = F.array(*[F.struct(F.lit(p.entity_type).alias("entity_type"), F.size(F.expr(f"regexp_extract_all(text, {quoted(p.java)}, 0)")).alias("n")) for p in patterns])
+    able = docs.where(prefilter_sql("text") if _BUILT_IN.issuperset(patterns) else "text is not null")
+    rows = able.select(*by, F.explode(counts).alias("c")).where("c.n > 0")
     return rows.groupBy(*by, F.col("c.entity_type").alias("entity_type")).agg(F.sum("c.n").cast("long").alias("n_matches"))
 
 

@@ -60,7 +60,7 @@ PRESETS: dict[str, tuple[float, dict[str, tuple[str, float, dict[str, Any]]]]] =
 
 @dataclass(frozen=True)
 class Disposition:
-    """What happens to spans of a type from a confidence on."""
+    """What happens to spans of a type from a confidence on. parameters of pseudonyms: ttl_seconds, none or 0 for ever."""
 
     entity_type: str
     action: str = "pseudonymize"
@@ -123,7 +123,9 @@ class Profile:
 
     @classmethod
     def from_dict(cls, config: dict[str, Any]) -> Profile:
-        own = {t: Disposition(t, d.get("action", "pseudonymize"), float(d.get("confidence_threshold", THRESHOLD)), dict(d.get("parameters") or {}), d.get("description", "")) for t, d in config.get("dispositions", {}).items()}
+        # an action that isn't known is the safe one: a pseudonym
+        acts = {t: d.get("action", "pseudonymize") for t, d in config.get("dispositions", {}).items()}
+        own = {t: Disposition(t, acts[t] if acts[t] in ACTIONS else "pseudonymize", float(d.get("confidence_threshold", THRESHOLD)), dict(d.get("parameters") or {}), d.get("description", "")) for t, d in config.get("dispositions", {}).items()}
         rest = {k: config[k] for k in ("defensive_cleanup", "token_scope", "similarity_threshold", "linguistic_filter", "description") if k in config}
         return cls(config["name"], own, **rest)
 
