@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.shared import Stored, path_exists, shared_dir, store
 
-__all__ = ["Stored", "ascii_words", "blocks_of", "free_shuffles", "id_crc", "path_exists", "read_table", "record_batch", "shared_dir", "small_batches", "spread", "store", "text_bytes"]
+__all__ = ["Stored", "ascii_words", "change_rows", "blocks_of", "free_shuffles", "id_crc", "path_exists", "read_table", "record_batch", "shared_dir", "small_batches", "spread", "store", "text_bytes"]
 
 #: Rows of one Arrow batch that goes to Python; texts may be long, so this is far below Spark's default.
 BATCH_ROWS = 1000
@@ -74,3 +74,21 @@ def blocks_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iter
 def id_crc(column: str = "doc_id"):
     """crc32 of an id as text, which deals rows into folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def change_rows(docs: DataFrame, change: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], drop: str | None = None) -> DataFrame:
+    """The rows after a function on their Arrow batches, with all their columns, whatever their names.
+
+    Columns go by numbers on the way, since some names (with dots) can't pass; the function sees their own names.
+    drop: a column that the function sees last and doesn't give back.
+    """
+    names = [c for c in docs.columns if c != drop]
+    seen = [*names, drop] if drop else names
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(seen)])
+    schema = inner.drop(f"_{len(names)}").schema if drop else inner.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in change(pa.RecordBatch.from_arrays(b.columns, names=seen) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=[f"_{i}" for i in range(len(names))])
+
+    return inner.mapInArrow(run, schema).toDF(*names)

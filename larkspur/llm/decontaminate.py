@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, small_batches
+from .common import change_rows, record_batch, small_batches
 
 #: Shorter items aren't searched.
 LEAST_WORDS = 3
@@ -226,4 +226,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             clean = [not any(b.value.matches(t) for b in blocks) for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return change_rows(docs, keep)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, id_crc, record_batch, small_batches, text_bytes
+from .common import blocks_of, change_rows, id_crc, record_batch, small_batches, text_bytes
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the network is fitted on: documents of each language, and pieces of each.
@@ -242,4 +242,4 @@ def keep_identified(docs: DataFrame, learn_from: Callable[[DataFrame], ByteNetwo
             stays = [n != UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, score, strict=True)]
             yield from block.filter(pa.array(stays, pa.bool_())).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return change_rows(docs, keep)

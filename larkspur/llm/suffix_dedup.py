@@ -10,14 +10,18 @@ merged by binary search.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import heapq
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, record_batch, small_batches, spread, store, text_bytes
+from larkspur.functions.shared import join_null_safe, unused
+
+from .common import blocks_of, change_rows, record_batch, small_batches, store, text_bytes
 from .suffix_array import window_groups, words_at
 
 SPAN = 100
@@ -25,23 +29,29 @@ GRAM = 24
 _CHOICES = SPAN - GRAM + 1
 #: Contexts of an anchor beyond which they are dealt to several shards.
 CROWD = 10_000
-#: Bytes of contexts in a shard, about, and the number of ranges of digests in which windows are merged.
+#: Bytes of contexts in a shard, about, and windows in a range of digests in which crowded shards are merged, about.
 SHARD_BYTES = 2 << 20
-RANGE_BITS = 6
+RANGE_WINDOWS = 100_000
+#: Parts in which the contexts of a hot anchor are compared before those that are first in their part meet.
+PARTS = 64
 #: One in so many documents is looked at to find anchors with at least the share 1/HOT of all contexts; this only decides where rows go.
 SAMPLE, HOT = 64, 20_000
 _BLOCK = 2 << 20
 _LOW = np.uint64((1 << 22) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-_MARKS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("again", pa.bool_())])
-_CUTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-_CONTEXTS = pa.schema([("shard", pa.int64()), ("crowded", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("range", pa.int64()), ("run", pa.binary())])
-_RUN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("start", "<i8")])
+_MARKS = pa.schema([("anchor", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("again", pa.bool_())])
+_MARKS_SQL = "anchor long, g1 long, g2 long, doc_id long, row long, start long, stop long, again boolean"
+_PLACE = ["doc_id", "row", "start"]
+_CUTS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_CUTS_SQL = "doc_id long, row long, start long, stop long"
+_CONTEXTS = pa.schema([("shard", pa.int64()), ("crowded", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+_FOUND = pa.schema([*_CUTS, ("range", pa.int64()), ("run", pa.binary())])
+_RUN = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("row", "<i8"), ("start", "<i8")])
 
 
 def _mix(words: list[np.ndarray], seed: int) -> np.ndarray:
+    """A number that says where rows go; nothing is cut because two of these are equal."""
     out = np.full(len(words[0]), np.uint64(seed))
     for w in words:
         out = (out ^ w) * _A
@@ -50,20 +60,21 @@ def _mix(words: list[np.ndarray], seed: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _window_digests(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of the SPAN bytes from each place."""
-    parts = [words[at + k] for k in range(0, SPAN - 7, 8)] + [words[at + SPAN - 8]]
-    return _mix(parts, 1), _mix(parts, 2)
+def digests(raw: bytes, first: np.ndarray, stop: np.ndarray, salt: bytes) -> np.ndarray:
+    """BLAKE2b digests of 128 bits of stretches, as two numbers each. The salt is drawn for every run."""
+    blake = hashlib.blake2b
+    joined = b"".join([blake(raw[a:b], digest_size=16, salt=salt).digest() for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(joined, "<u8").reshape(-1, 2)
 
 
 def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Contexts of texts that lie end to end in at most 4 MB, given their n+1 bounds.
 
-    Returns the text of each context, the digest of its anchor, its first and last window start (in raw), and its own
-    digest. A window has its leftmost smallest gram as anchor, so contexts are runs of windows.
+    Returns the text of each context, the number of its anchor, its first and last window start (in raw). A window has
+    its leftmost smallest gram as anchor, so contexts are runs of windows, and equal bytes are cut up alike.
     """
     if len(raw) < SPAN:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 4
     words = words_at(raw)
     grams = len(raw) - GRAM + 1
     digest = _mix([words[k : k + grams] for k in range(0, GRAM, 8)], 0)
@@ -83,21 +94,7 @@ def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     at = np.nonzero(new)[0]
     first, last = window[at], window[np.append(at[1:], len(window))[: len(at)] - 1]
-    place, text = place[at], text[at]
-    anchor = digest[place]
-    # the context's digest: words at every 8th byte and the last one cover it, with the place of the anchor
-    size = last - first
-    out = _mix([anchor, (place - first).astype(np.uint64), size.astype(np.uint64)], 3)
-    order = np.argsort(-size, kind="stable")
-    start, size, sums = first[order], size[order], out[order]
-    for k in range(0, _CHOICES + SPAN, 8):
-        here = int(np.searchsorted(-size, SPAN - 8 - k, "right"))  # contexts that reach so far come first
-        if not here:
-            break
-        sums[:here] = _mix([sums[:here], words[start[:here] + k]], 4)
-    out[order] = sums
-    out = _mix([out, words[last + SPAN - 8]], 5)
-    return text, anchor.view(np.int64), first, last, out.view(np.int64)
+    return text[at], digest[place[at]].view(np.int64), first, last
 
 
 def _stretches(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -114,32 +111,35 @@ def _stretches(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = to
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of a task's documents. Of those equal within a block the earliest stands for all; the rest is known."""
-    for block in blocks_of(batches, "text", _BLOCK):
-        raw, bounds = text_bytes(block.column("text").combine_chunks())
-        ids = block.column("doc_id").to_numpy()
-        for texts, edges in _stretches(bounds):
-            text, a, first, last, g = anchors(raw[edges[0] : edges[-1]], edges - edges[0])
-            if not len(text):
-                continue
-            text = texts[text]
-            d, s, e = ids[text], first + edges[0] - bounds[text], last + edges[0] - bounds[text] + SPAN
-            order = np.lexsort((s, d, g))  # equal digests have equal anchors
-            a, g, d, s, e = a[order], g[order], d[order], s[order], e[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (g[1:] != g[:-1])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-            again = (d != d[head]) | (s != s[head])
-            yield record_batch(_MARKS, np.where(again, _mix([d.view(np.uint64), s.astype(np.uint64)], 6).view(np.int64), a), g, d, s, e, again)
-
-
-_MARKS_SQL = "anchor long, digest long, doc_id long, start long, stop long, again boolean"
-
-
-def _hot_anchors(texts: DataFrame) -> DataFrame:
+def _marker(salt: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of a task's documents. Of those equal within a block the earliest stands for all; the rest is known."""
+        for block in blocks_of(batches, "text", _BLOCK):
+            raw, bounds = text_bytes(block.column("text").combine_chunks())
+            ids, rows = block.column("doc_id").to_numpy(), block.column("row").to_numpy()
+            for texts, edges in _stretches(bounds):
+                part = raw[edges[0] : edges[-1]]
+                text, a, first, last = anchors(part, edges - edges[0])
+                if not len(text):
+                    continue
+                g = digests(part.tobytes(), first, last + SPAN, salt)
+                text = texts[text]
+                d, r, s, e = ids[text], rows[text], first + edges[0] - bounds[text], last + edges[0] - bounds[text] + SPAN
+                order = np.lexsort((s, r, d, g[:, 1], g[:, 0]))
+                a, g, d, r, s, e = a[order], g[order], d[order], r[order], s[order], e[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (g[1:] != g[:-1]).any(1)
+                head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+                again = (d != d[head]) | (r != r[head]) | (s != s[head])
+                to = np.where(again, _mix([d.view(np.uint64), s.astype(np.uint64)], 6).view(np.int64), a)
+                yield record_batch(_MARKS, to, g[:, 0].view(np.int64), g[:, 1].view(np.int64), d, r, s, e, again)
+
+    return mark
+
+
+def _hot_anchors(texts: DataFrame, mark: Callable) -> DataFrame:
     """Anchors with a large share of the contexts of a sample of documents: at most HOT of them, by the share's size."""
-    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_mark, _MARKS_SQL).where("not again").groupBy("anchor").count().where("count >= 5")
+    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(mark, _MARKS_SQL).where("not again").groupBy("anchor").count().where("count >= 5")
     seen = store(seen, "anchors").df
     least = (seen.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]) / HOT
     return seen.where(F.col("count") >= max(5, least)).select("anchor")
@@ -148,134 +148,177 @@ def _hot_anchors(texts: DataFrame) -> DataFrame:
 def _contested(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cuts, contested): contexts that are repeats as a whole, and those to be compared with others of their anchor.
 
-    One shuffle deals contexts by anchor. A hot anchor's are dealt by their own digest too; they count as contested.
+    One shuffle deals contexts by anchor. A hot anchor's are dealt by their own digest and in PARTS; those that are
+    first in their part meet in a second, small shuffle. All of them count as contested.
     """
-    hot = F.broadcast(_hot_anchors(texts).withColumn("hot", F.lit(True)))
-    marks = texts.mapInArrow(_mark, _MARKS_SQL).join(hot, "anchor", "left")
-    routed = marks.withColumn("to", F.when(F.col("hot"), F.xxhash64("anchor", "digest")).otherwise(F.col("anchor")))
+    mark = _marker(os.urandom(16))
+    hot = F.broadcast(_hot_anchors(texts, mark).withColumn("hot", F.lit(True)))
+    marks = texts.mapInArrow(mark, _MARKS_SQL).join(hot, "anchor", "left").withColumn("hot", F.col("hot").isNotNull())
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    routed = marks.withColumn("to", F.when(F.col("hot"), F.xxhash64("anchor", "g1", part)).otherwise(F.col("anchor")))
     by_anchor = Window.partitionBy("to")
-    same = Window.partitionBy("to", "digest").orderBy("doc_id", "start")
-    told = routed.select("anchor", "digest", "doc_id", "start", "stop", (F.col("again") | (F.rank().over(same) > 1)).alias("again"), (F.col("hot").isNotNull() | (F.min("digest").over(by_anchor) != F.max("digest").over(by_anchor))).alias("contested"))
+    same = Window.partitionBy("to", "g1", "g2").orderBy(*_PLACE)
+    several = (F.min("g1").over(by_anchor) != F.max("g1").over(by_anchor)) | (F.min("g2").over(by_anchor) != F.max("g2").over(by_anchor))
+    told = routed.select("anchor", "g1", "g2", *_PLACE, "stop", "hot", (F.col("again") | (F.rank().over(same) > 1)).alias("again"), (F.col("hot") | several).alias("contested"))
     kept = store(told.where("again or contested"), "contexts").df
-    return kept.where("again").select("doc_id", "start", "stop"), kept.where("not again").select("anchor", "digest", "doc_id", "start", "stop")
+    rivals = Window.partitionBy("anchor", "g1", "g2").orderBy(*_PLACE)
+    met = kept.where("hot and not again").withColumn("again", F.rank().over(rivals) > 1)
+    kept = store(kept.where("again or not hot").unionByName(met), "contested").df
+    return kept.where("again").select("doc_id", "row", "start", "stop"), kept.where("not again").select("anchor", "g1", *_PLACE, "stop")
+
 
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
-def _merge_starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows to maximal stretches (doc, start, stop)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)
+
+def _merge_starts(doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows to maximal stretches (doc, row, start, stop)."""
+    order = np.lexsort((start, row, doc))
+    doc, row, start = doc[order], row[order], start[order]
+    new = _new(doc, row)
+    new[1:] |= start[1:] > start[:-1] + SPAN
     ends = np.append(new[1:], True)[: len(new)]
-    return doc[new], start[new], start[ends] + SPAN
+    return doc[new], row[new], start[new], start[ends] + SPAN
 
 
-def _not_first(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _not_first(group: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by group, document and start, and which of it isn't at the group's earliest place."""
-    order = np.lexsort((start, doc, group))
-    g, d, s = group[order], doc[order], start[order]
-    new = np.ones(len(g), bool)
-    new[1:] = g[1:] != g[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    return order, (d != d[head]) | (s != s[head])
+    order = np.lexsort((start, row, doc, group))
+    d, r, s = doc[order], row[order], start[order]
+    head = np.maximum.accumulate(np.where(_new(group[order]), np.arange(len(order)), 0))
+    return order, (d != d[head]) | (r != r[head]) | (s != s[head])
 
 
-def _search_shard(table: pa.Table, range_bits: int) -> Iterator[pa.RecordBatch]:
+def _search_shard(table: pa.Table, range_bits: int, salt: bytes) -> Iterator[pa.RecordBatch]:
     """Repeats inside a shard; of a crowded anchor's shard also its distinct windows, sorted, in ranges of their digests."""
     texts = table.column("bytes").combine_chunks()
     raw, bounds = text_bytes(texts.cast(pa.large_binary()).view(pa.large_string()))
     size = np.diff(bounds)
     valid = np.zeros(len(raw), bool)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        valid[a : b - SPAN + 1] = True
-    doc = np.repeat(table.column("doc_id").to_numpy(), size)
+        valid[a : max(a, b - SPAN + 1)] = True  # a stretch shorter than a window has none
+    doc, row = np.repeat(table.column("doc_id").to_numpy(), size), np.repeat(table.column("row").to_numpy(), size)
     place = np.repeat(table.column("start").to_numpy() - bounds[:-1], size) + np.arange(len(raw))
     at, group = window_groups(raw, valid, SPAN)
-    order, late = _not_first(group, doc[at], place[at])
+    order, late = _not_first(group, doc[at], row[at], place[at])
     cut = at[order[late]]
-    d, a, b = _merge_starts(doc[cut], place[cut])
-    nothing = [None] * len(d)
-    yield record_batch(_FOUND, d, a, b, nothing, nothing)
+    found = _merge_starts(doc[cut], row[cut], place[cut])
+    nothing = [None] * len(found[0])
+    yield record_batch(_FOUND, *found, nothing, nothing)
     if table.column("crowded")[0].as_py():
         kept = at[order[~late]]
         run = np.empty(len(kept), _RUN)
-        run["a"], run["b"] = _window_digests(words_at(raw), kept)
-        run["doc_id"], run["start"] = doc[kept], place[kept]
+        run["a"], run["b"] = digests(raw.tobytes(), kept, kept + SPAN, salt).T
+        run["doc_id"], run["row"], run["start"] = doc[kept], row[kept], place[kept]
         run = run[np.lexsort((run["b"], run["a"]))]
-        edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits)
+        edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits) if range_bits else np.zeros(0, np.uint64)
         parts = np.split(run, np.searchsorted(run["a"], edges))
         parts = [(k, p.tobytes()) for k, p in enumerate(parts) if len(p)]
         nothing = [None] * len(parts)
-        yield record_batch(_FOUND, nothing, nothing, nothing, [k for k, _ in parts], [p for _, p in parts])
+        yield record_batch(_FOUND, nothing, nothing, nothing, nothing, [k for k, _ in parts], [p for _, p in parts])
+
+
+def _merged(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs as one, and the windows that are in both, at the later of their places.
+
+    Each window of the shorter run is looked up in the longer one by binary search.
+    """
+    if len(one) < len(two):
+        one, two = two, one
+    lo = np.searchsorted(one["a"], two["a"], "left")
+    there = np.zeros(len(two), bool)
+    while True:  # equal first halves are next to each other; nearly always there is one at most
+        ok = (lo < len(one)) & ~there
+        ok[ok] = one["a"][lo[ok]] == two["a"][ok]
+        if not ok.any():
+            break
+        there[ok] = one["b"][lo[ok]] == two["b"][ok]
+        lo[ok & ~there] += 1
+    old, own = one[lo[there]], two[there]
+    keys = [(own[c], old[c]) for c in _PLACE]
+    less, equal = np.zeros(len(own), bool), np.ones(len(own), bool)
+    for x, y in keys:
+        less |= equal & (x < y)
+        equal &= x == y
+    late = np.concatenate([old[less], own[~less & ~equal]])
+    if less.any():
+        one = one.copy()
+        one[lo[there][less]] = own[less]
+    fresh = two[~there]
+    return np.insert(one, np.searchsorted(one["a"], fresh["a"], "left"), fresh), late
 
 
 def _merge_runs(table: pa.Table) -> pa.Table:
-    """One range of all crowded shards: each run is looked up in what was merged before by binary search."""
-    merged, late = np.empty(0, _RUN), []
-    for blob in table.column("run").to_pylist():
-        run = np.frombuffer(blob, _RUN)
-        lo = np.searchsorted(merged["a"], run["a"], "left")
-        there = np.zeros(len(run), bool)
-        while True:  # equal first digests are next to each other; nearly always there is one at most
-            ok = (lo < len(merged)) & ~there
-            ok[ok] = merged["a"][lo[ok]] == run["a"][ok]
-            if not ok.any():
-                break
-            there[ok] = merged["b"][lo[ok]] == run["b"][ok]
-            lo[ok & ~there] += 1
-        old = merged[lo[there]]
-        own = run[there]
-        earlier = (own["doc_id"] < old["doc_id"]) | ((own["doc_id"] == old["doc_id"]) & (own["start"] < old["start"]))
-        equal = (own["doc_id"] == old["doc_id"]) & (own["start"] == old["start"])
-        late += [old[earlier], own[~earlier & ~equal]]
-        if earlier.any():
-            merged = merged.copy()
-            merged[lo[there][earlier]] = own[earlier]
-        fresh = run[~there]
-        where = np.searchsorted(merged["a"], fresh["a"], "left")
-        merged = np.insert(merged, where, fresh)
-    gone = np.concatenate(late) if late else np.empty(0, _RUN)
-    d, a, b = _merge_starts(gone["doc_id"], gone["start"])
-    return pa.table([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_CUTS)
-
-
-def _shard_contexts(contested: DataFrame, texts: DataFrame) -> DataFrame:
-    """The bytes of contested contexts with the shard that each goes to."""
+    """One range of all crowded shards: runs are merged two at a time, the shortest first."""
+    heap = [(len(r), k, r) for k, r in enumerate(np.frombuffer(blob, _RUN) for blob in table.column("run").to_pylist())]
+    heapq.heapify(heap)
+    late, n = [np.empty(0, _RUN)], len(heap)
+    while len(heap) > 1:
+        one, two = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both, gone = _merged(one, two)
+        late.append(gone)
+        heapq.heappush(heap, (len(both), n, both))
+        n += 1
+    gone = np.concatenate(late)
+    return pa.table([pa.array(c, pa.int64()) for c in _merge_starts(gone["doc_id"], gone["row"], gone["start"])], schema=_CUTS)
+
+
+def _shard_contexts(contested: DataFrame, texts: DataFrame) -> tuple[DataFrame, int]:
+    """The bytes of contested contexts with the shard that each goes to, and in how many ranges crowded shards meet (log2)."""
     # stored, so that the join has exchanges of its own and a crowded anchor can be split
     crowd = store(contested.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "crowds").df
+    crowded = crowd.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = contested.agg(F.count(F.lit(1))).first()[0]
     shards = counts * 3 * SPAN // 2 // SHARD_BYTES + 1
     dealt = contested.join(crowd, "anchor", "left")
-    own = F.concat(F.lit("c"), F.col("anchor"), F.lit("-"), F.pmod("digest", F.ceil(F.col("n") / CROWD).cast("long")))
+    own = F.concat(F.lit("c"), F.col("anchor"), F.lit("-"), F.pmod("g1", F.ceil(F.col("n") / CROWD).cast("long")))
     shard = F.when(F.col("n").isNull(), F.pmod("anchor", F.lit(shards))).otherwise(F.xxhash64(own).bitwiseOR(F.lit(1 << 62)))
-    wanted = dealt.select("doc_id", F.struct("start", "stop", shard.alias("shard"), F.col("n").isNotNull().alias("crowded")).alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("w"))
+    wanted = dealt.select("doc_id", "row", F.struct("start", "stop", shard.alias("shard"), F.col("n").isNotNull().alias("crowded")).alias("w")).groupBy("doc_id", "row").agg(F.collect_list("w").alias("w"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, row, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode()
-                rows += [(w["shard"], w["crowded"], doc, w["start"], raw[w["start"] : w["stop"]]) for w in wants]
+                rows += [(w["shard"], w["crowded"], doc, row, w["start"], raw[w["start"] : w["stop"]]) for w in wants]
             if rows:
                 yield record_batch(_CONTEXTS, *zip(*rows, strict=True))
 
-    return texts.join(wanted, "doc_id").mapInArrow(cut, "shard long, crowded boolean, doc_id long, start long, bytes binary")
+    found = texts.join(wanted, ["doc_id", "row"]).mapInArrow(cut, "shard long, crowded boolean, doc_id long, row long, start long, bytes binary")
+    return found, (crowded * _CHOICES // 2 // RANGE_WINDOWS).bit_length()
 
 
-def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop) of bytes that lie in strings of SPAN bytes which start earlier too; stretches may touch."""
-    small_batches(docs.sparkSession)
-    texts = docs.where(F.col("doc_id").isNotNull() & (F.octet_length(F.col("text").cast("string")) >= SPAN)).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    whole, contested = _contested(texts)
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): row is 0, and where rows with unlike texts have one id, a number that tells the texts apart."""
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    mark = F.xxhash64("text")
+    unlike = store(small.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id"), "unlike").df
+    if unlike.isEmpty():
+        return small.withColumn("row", F.lit(0).cast("long"))
+    return small.join(unlike.withColumn("several", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), mark).otherwise(F.lit(0)).cast("long").alias("row"))
 
-    bits = max(RANGE_BITS, (spread(docs.sparkSession) - 1).bit_length() + 1)
+
+def repeated_stretches(rows: DataFrame) -> DataFrame:
+    """(doc_id, row, start, stop) of bytes that lie in strings of SPAN bytes which start earlier too; stretches may touch.
+
+    rows: doc_id, text, row; see _with_rows. Whole contexts are repeats if their 128-bit cryptographic digests under
+    this run's salt are equal; all others are compared byte by byte in suffix arrays.
+    """
+    small_batches(rows.sparkSession)
+    texts = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN)).select("doc_id", "row", "text")
+    whole, contested = _contested(texts)
+    contexts, bits = _shard_contexts(contested, texts)
+    salt = os.urandom(16)
 
     def search(shard: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_search_shard(shard, bits))
+        return pa.Table.from_batches(_search_shard(shard, bits, salt))
 
-    found = store(_shard_contexts(contested, texts).groupBy("shard").applyInArrow(search, "doc_id long, start long, stop long, range long, run binary"), "repeats").df
-    inside = found.where("run is null").select("doc_id", "start", "stop")
-    across = found.where("run is not null").select("range", "run").groupBy("range").applyInArrow(_merge_runs, "doc_id long, start long, stop long")
+    found = store(contexts.groupBy("shard").applyInArrow(search, f"{_CUTS_SQL}, range long, run binary"), "repeats").df
+    inside = found.where("run is null").select("doc_id", "row", "start", "stop")
+    across = found.where("run is not null").select("range", "run").groupBy("range").applyInArrow(_merge_runs, _CUTS_SQL)
     return whole.union(inside).union(across)
 
 
@@ -299,9 +342,8 @@ def _kept(text: str | None, spans: list | None) -> tuple[bytes, list]:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), cuts
 
 
-def _with_cuts(docs: DataFrame) -> DataFrame:
-    cuts = repeated_stretches(docs).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    return docs.join(cuts.withColumnRenamed("doc_id", "cut_doc_id"), F.col("doc_id").cast("long") == F.col("cut_doc_id"), "left").drop("cut_doc_id")
+def _cuts(rows: DataFrame) -> DataFrame:
+    return repeated_stretches(rows).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
 
 
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -312,9 +354,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. Strings are judged on the input;
     matches never cross documents. Texts under 100 bytes, empty and null ones lose nothing. Rows that repeat a doc_id
-    are one document to this rule: equal places in them count as one place, and each row loses what any of them
-    would. Rows without an id keep all and are compared with nothing. Other columns are ignored; an empty table gives
-    an empty one. Digests of 128 bits stand for contexts that are equal as a whole, and for windows in the merge.
+    and its text are one document, so each keeps what the document keeps; rows that repeat a doc_id with another text
+    are documents of their own, in the order of a hash of their texts. Rows without an id keep all and are compared
+    with nothing. Other columns are ignored; an empty table gives an empty one. Salted BLAKE2b digests of 128 bits
+    stand for contexts that are equal as a whole, and for windows in the merge; all else is compared by its bytes.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,14 +370,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             if rows:
                 yield record_batch(_DIGESTS, *zip(*rows, strict=True))
 
-    small = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return _with_cuts(small).select("doc_id", "text", "cuts").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_rows(docs)
+    return join_null_safe(rows, _cuts(rows), ["doc_id", "row"], "left").select("doc_id", "text", "cuts").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents without their repeated stretches, with all their columns; n_chars follows the text.
 
-    A character of which only a part is removed goes whole. A text that loses all stays as an empty one.
+    A character of which only a part is removed goes whole. A text that loses all stays as an empty one. Rows with
+    null or repeated ids as in dedup_substrings.
     """
     names = docs.columns
 
@@ -345,5 +389,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = _with_cuts(docs).mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
+    keys = {"doc_id": unused("cut_doc_id", names), "row": unused("cut_row", names), "cuts": unused("cuts", names)}
+    rows = _with_rows(docs)
+    cuts = _cuts(rows).withColumnsRenamed(keys)
+    several = rows.where("row <> 0").select("doc_id").distinct()
+    row = F.lit(0).cast("long")
+    if not several.isEmpty():
+        own = unused("several", names)
+        docs = docs.join(several.withColumn(own, F.lit(True)).withColumnRenamed("doc_id", f"{own}_id"), F.col("doc_id").cast("long") == F.col(f"{own}_id"), "left")
+        row = F.when(F.col(own), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0))
+    same = (F.col("doc_id").cast("long") == F.col(keys["doc_id"])) & (row == F.col(keys["row"]))
+    out = change_rows(docs.join(cuts, same, "left").select(*[F.col(f"`{n}`") for n in names], keys["cuts"]), cut, keys["cuts"])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

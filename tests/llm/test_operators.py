@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,65 @@ def test_repeats_in_long_texts(spark, monkeypatch):
     check_cuts(spark, [(1, words(8, 3000)), (2, words(9, 900) + words(8, 3000)[5000:9000])])
 
 
+def test_nothing_is_cut_that_occurs_once(spark, monkeypatch):
+    """Texts that differ in bits which a weak digest would not see, in a crowd of contexts of one anchor."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
+    rng = random.Random(11)
+    base = [rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(100)]
+    rows, seen = [], set()
+    for k in range(600):
+        own = base.copy()
+        for p in (0, 8, 12, 16, 24, 40, 48, 64, 88):
+            if rng.random() < 0.5:
+                own[p] ^= 0x40 if own[p] < 96 else 0x01
+        own[96] = 97 + k % 26
+        if bytes(own) not in seen:
+            seen.add(bytes(own))
+            rows.append((k, bytes(own).decode("ascii", "replace").replace(chr(127), "~")))
+    check_cuts(spark, list({t: (k, t) for k, t in rows}.values()))
+
+
+def test_a_crowd_of_one_anchor(spark):
+    """Over 10,000 contexts that all choose the same anchor, some of which repeat windows of others."""
+    rng = random.Random(3)
+    least = min((bytes(rng.choice(b"abcdefgh") for _ in range(24)) for _ in range(60_000)), key=lambda g: int(suffix_dedup._mix([np.array([int.from_bytes(g[k : k + 8], "big")], np.uint64) for k in (0, 8, 16)], 0)[0]) << 22 & (1 << 64) - 1)
+    rows = [(i, f"{rng.randrange(10**9):09d}" * 5 + least.decode() + f"{rng.randrange(10**9):09d}" * 5) for i in range(10_400)]
+    rows += [(20_000 + i, "x" + rows[i * 7][1][3:] + "y") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = frame.withColumn("row", F.lit(0).cast("long"))
+    crowd = suffix_dedup._contested(texts)[1].groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert crowd > suffix_dedup.CROWD == 10_000
+    check_cuts(spark, rows)
+
+
+def test_short_stretches_match_nothing_across_texts():
+    texts = [b"a" * 30, b"b" * 120, b"a" * 30 + b"c" * 120]
+    table = pa.table({"bytes": pa.array(texts, pa.binary()), "doc_id": [1, 2, 3], "row": [0, 0, 0], "start": [0, 0, 0], "crowded": [False] * 3})
+    found = pa.Table.from_batches(suffix_dedup._search_shard(table, 0, b"s" * 16)).to_pylist()
+    assert {r["doc_id"] for r in found} == {2, 3} and all(r["start"] == (1 if r["doc_id"] == 2 else 31) for r in found)
+
+
+def test_rows_with_one_id_and_unlike_texts(spark):
+    a, z = words(1, 30), words(2, 30)
+    frame = spark.createDataFrame([(1, a, 0), (2, z[:200] + a, 0), (2, "short", 0), (2, a[50:] + z, 0), (3, "q" + z, 0), (None, a, 0), (None, a, 0), (2, "short", 0)], "doc_id long, text string, n_chars int")
+    rows = suffix_dedup._with_rows(frame).collect()
+    order = sorted({(r["doc_id"], r["row"], r["text"]) for r in rows if r["doc_id"] is not None})
+    want = {k: np.frombuffer(raw, np.uint8)[~gone].tobytes() for k, (raw, gone) in brute_cuts([((d, r), t) for d, r, t in order]).items()}
+    got = sorted(r["kept_sha256"] for r in dedup_substrings(frame).collect() if r["doc_id"] is not None)
+    twice = [hashlib.sha256(want[d, r]).hexdigest() for d, r, t in order] + [hashlib.sha256(b"short").hexdigest()]
+    assert got == sorted(twice)
+    kept = remove_repeats(frame)
+    assert sorted(r["text"].encode() for r in kept.where("doc_id is not null").collect()) == sorted([*want.values(), b"short"])
+    assert [r["text"] for r in kept.where("doc_id is null").collect()] == [a, a] and kept.columns == frame.columns
+
+
+def test_clashing_names_in_cuts(spark):
+    a = words(1, 30)
+    frame = spark.createDataFrame([(1, a), (2, a)], "doc_id long, text string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(("cut_doc_id", "cut_row", "cuts", "row", "start", "a.b"))])
+    kept = {r["doc_id"]: r for r in remove_repeats(frame).collect()}
+    assert kept[2]["text"] == "" and kept[1]["text"] == a and tuple(kept[2])[2:] == (0, 1, 2, 3, 4, 5)
+
+
 def test_repeats_of_awkward_rows(awkward, nothing):
     got = dedup_substrings(awkward).collect()
     assert len(got) == 13
