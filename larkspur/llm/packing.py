@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 yield record_batch(_PIECES, *zip(*rows, strict=True))
 
     small_batches(docs.sparkSession)
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
@@ -164,7 +164,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end id
     alone; a text of capacity ids gives a second piece with the end id. Repeated rows are packed each time; rows
-    without a doc_id are left out; other columns are ignored; an empty table gives an empty one. The driver sees the
+    without a doc_id too, with a null there; other columns are ignored; an empty table gives an empty one. The driver sees the
     count of each length, at most capacity numbers, and its plan has a size that follows from the capacity.
     """
     path = path or tokenizer_path()

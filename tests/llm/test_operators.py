@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import embedding_dedup, language_id, suffix_dedup
+from larkspur.llm import embedding_dedup, language_id, simhash_dedup, suffix_dedup
 from larkspur.llm.common import ascii_words, store
 from larkspur.llm.components import connected_components
 from larkspur.llm.decontaminate import contamination, drop_contaminated
@@ -431,6 +431,59 @@ def test_simhash_against_brute_force(spark, awkward, nothing):
     assert simhash_groups(nothing).count() == 0 and drop_near_duplicates(nothing).count() == 0
 
 
+def test_links_of_fingerprints_against_brute_force(spark):
+    """Dense groups, chains and lone fingerprints: groups equal those over all pairs."""
+    rng = random.Random(4)
+    marks = {0, (1 << 64) - 1}
+    for _ in range(12):
+        chain = rng.getrandbits(64)
+        for _ in range(25):
+            marks.add(chain)
+            for _ in range(rng.randint(1, 3)):
+                chain ^= 1 << rng.randrange(64)
+    centre = rng.getrandbits(64)
+    marks |= {centre ^ 1 << a ^ 1 << b for a in range(12) for b in range(12)} | {rng.getrandbits(64) for _ in range(200)}
+    signed = sorted(m - (1 << 64) if m >> 63 else m for m in marks)
+    parent = {m: m for m in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame([(m,) for m in signed], "fingerprint long")
+    for size in (0, 1 << 30, 1 << 40):
+        positions = simhash_dedup.index_positions(size)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash_dedup, "index_positions", lambda n, own=positions: own)
+            got = {r["node"]: r["component"] for r in simhash_dedup.linked_fingerprints(frame).df.collect()}
+        assert got == {m: find(m) for m in signed}
+
+
+def test_near_duplicates_keep_a_row_of_every_group(spark):
+    a, b, c = words(1, 50), words(2, 50), words(3, 50)
+    rows = [(None, a, "x"), (None, a, "x"), (None, b, "x"), (5, b, "x"), (7, a + " more", "x"), (7, c, "x"), (7, c, "x"), (None, None, "x"), (9, "", "y"), (8, None, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(3)
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash_groups(frame).collect())
+    assert sum(got.values()) == len(rows)
+    near = (fingerprint_of(a) ^ fingerprint_of(a + " more")).bit_count() <= 3
+    assert got[(None, 5)] == 1 and got[(5, 5)] == 1 and got[(None, 8)] == 1 and got[(9, 8)] == 1 and got[(8, 8)] == 1
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in drop_near_duplicates(frame).collect())
+    assert kept == sorted([(5, b), (7, c), (8, ""), *([(7, a + " more")] if near else [(0, a), (7, a + " more")])])
+    only = drop_near_duplicates(spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in only) == sorted([a, b])
+
+
+def test_packing_keeps_rows_without_ids(spark):
+    got = pack(spark.createDataFrame([(None, "a b c"), (None, None), (1, "a")], "doc_id long, text string")).collect()
+    assert Counter(r["doc_id"] for r in got) == {None: 2, 1: 1}
+
+
 # the pipeline
 
 

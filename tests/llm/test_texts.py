@@ -16,7 +16,7 @@ from larkspur.llm.language_id import UNKNOWN, ByteNetwork, _padded, classify, fi
 from larkspur.llm.license_scan import KNOWN, canonical_text, catalogue
 from larkspur.llm.lm_score import CLASSES, LogBilinear, coded_words, sequences
 from larkspur.llm.packing import _slots, plan_sequences
-from larkspur.llm.simhash_dedup import INDEX_POSITIONS, LEAST_EQUAL_BYTES, fingerprint_of
+from larkspur.llm.simhash_dedup import LEAST_EQUAL_BYTES, fingerprint_of, index_positions
 from larkspur.llm.suffix_array import common_prefixes, suffix_array, window_groups
 from larkspur.llm.suffix_dedup import SPAN, anchors, digests
 from larkspur.llm.tokens import WordIds, tokenizer_path
@@ -95,7 +95,10 @@ def test_fingerprints(text):
 def test_index_reaches_all_pairs_to_be_found():
     from itertools import combinations
 
-    assert all(any(set(t) <= set(equal) for t in INDEX_POSITIONS) for equal in combinations(range(8), LEAST_EQUAL_BYTES))
+    for n, size in ((0, 3), (1 << 24, 3), (1 << 30, 4), (1 << 40, 5)):
+        sets = index_positions(n)
+        assert {len(t) for t in sets} == {size} and len(sets) <= 56
+        assert all(any(set(t) <= set(equal) for t in sets) for equal in combinations(range(8), LEAST_EQUAL_BYTES))
 
 
 @settings(max_examples=80, deadline=None)
