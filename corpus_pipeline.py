@@ -1,13 +1,14 @@
 """A corpus pipeline: language, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept. All but the last return the
-columns of documents. A document without an id can't be told from others and leaves with the near-duplicates.
+columns of documents. Rows without an id, and rows that share one, are judged by their texts like all others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.functions.shared import scratch
 from larkspur.llm.common import read_table, store
 from larkspur.llm.decontaminate import drop_contaminated
 from larkspur.llm.language_id import keep_identified
@@ -22,7 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
+    """One row of each SimHash group stays: the one with the smallest doc_id, rows without one last."""
     return drop_near_duplicates(docs)
 
 
@@ -55,7 +56,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder, each written as Parquet and read again by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), name).df
+        with scratch() as made:  # what the stage has put aside goes once its result is written
+            after = store(stage(spark, docs, sf_dir), name)
+            made.remove(after)
+        if before:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)

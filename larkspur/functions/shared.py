@@ -66,12 +66,12 @@ _OPEN: list[list[Stored]] = []
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Delete, at the end, what was stored inside: for work whose result has been written by then."""
+def scratch() -> Iterator[list[Stored]]:
+    """Delete, at the end, what was stored inside and is still in the list: for work whose result has been written by then."""
     kept: list[Stored] = []
     _OPEN.append(kept)
     try:
-        yield
+        yield kept
     finally:
         _OPEN.remove(kept)
         for made in kept:
