@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, record_batch, small_batches
+from .common import change_rows, small_batches, store
 
-#: Shorter items aren't searched.
+#: Items of fewer words count only as exact copies: of two words anywhere in a text, of one word as the whole text.
 LEAST_WORDS = 3
+#: Score that an alignment needs besides its share of a whole copy's: five matching words, or the whole of a shorter item.
+LEAST_SCORE = 9
 #: Pairs in more places of a block than this are common; COMMON_SHARE of an item's places may go without seeds for that.
 COMMON = 64
 COMMON_SHARE = 0.2
@@ -24,11 +26,10 @@ SLICE = 1 << 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score as a share of a whole copy's, from which a document counts as contaminated.
 THRESHOLD = 0.4
-#: Text of benchmark items that goes to the workers at once; larger benchmarks are searched block by block.
+#: Text of benchmark items that goes to the workers at once; larger benchmarks are searched in as many rounds as they have blocks.
 BLOCK_BYTES = 8 << 20
 _WORDS = re.compile(r"\w+")
 _MIX = 0x9E3779B97F4A7C15
-_ROWS = pa.schema([("doc_id", pa.int64()), ("n_items", pa.int64()), ("best_item", pa.int64()), ("best_score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,7 +52,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Matcher:
-    """The items of one block of a benchmark, with their seeds. Items of fewer than LEAST_WORDS words have none.
+    """The items of one block of a benchmark, with their seeds: (item_id, text, how often the benchmark has it).
 
     Seeds are pairs of words, next to each other or with one word between, in the item as in the document. They can't
     miss a copy: between two matches that follow each other, an alignment skips i words of the item and j of the
@@ -61,16 +62,22 @@ class Matcher:
     k at most the item's length. A place of the item without seeds takes 2 from the weight that is asked, at most.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None, int]]):
         self.numbers: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for item_id, text in items:
+        self.items: list[tuple[int | None, np.ndarray]] = []
+        self.often: list[int] = []
+        self.short: dict[tuple[str, ...], list[tuple[int | None, int]]] = defaultdict(list)
+        for item_id, text, often in items:
             words = words_of(text)
-            if len(words) >= LEAST_WORDS:
+            if 0 < len(words) < LEAST_WORDS:
+                self.short[tuple(words)].append((item_id, often))
+            elif words:
+                self.often.append(often)
                 self.items.append((item_id, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)))
         self.base = len(self.numbers) + 1
         sizes = np.array([len(words) for _, words in self.items], np.int64)
-        least = np.ceil(THRESHOLD * MATCH * sizes - 1e-6).astype(np.int64)
+        least = np.maximum(np.ceil(THRESHOLD * MATCH * sizes - 1e-6).astype(np.int64), np.minimum(MATCH * sizes, LEAST_SCORE))
+        self.scores = least
         self.reach = 3 * sizes - least
         pairs = [self._pairs(words) for _, words in self.items]
         keys = np.concatenate([k for k, _, _ in pairs]) if pairs else np.zeros(0, np.int64)
@@ -132,15 +139,29 @@ class Matcher:
         enough = total[end] - total[:-1] >= self.least[item]
         return item[enough], where[enough] % n
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item_id, score, first and last word of the passage) of the items that a whole text contains.
+    def _short_copies(self, words: list[str]) -> list[tuple[int | None, float, int, int, int]]:
+        """Exact copies of the items of one or two words, at their first places."""
+        found = [(i, 1.0, 0, 0, often) for i, often in self.short.get(tuple(words), [])] if len(words) == 1 else []
+        seen = set()
+        for k, pair in enumerate(pairwise(words)):
+            if pair in self.short and pair not in seen:
+                seen.add(pair)
+                found += [(i, 1.0, k, k + 1, often) for i, often in self.short[pair]]
+        return found
+
+    def matches(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
+        """(item_id, score, first and last word of the passage, how often) of the items that a whole text contains.
 
-        The score is that of the best alignment with the whole text, and counts from THRESHOLD on: every alignment
-        that counts has seeds enough, and lies within the item's reach of each of them.
+        The score is that of the best alignment with the whole text, as a share of a whole copy's. It counts from
+        THRESHOLD and LEAST_SCORE on: every alignment that counts has seeds enough, and lies within the item's reach
+        of each of them.
         """
-        if not self.items or not text:
+        if not text or not (self.items or self.short):
             return []
         words = words_of(text)
+        found = self._short_copies(words) if self.short else []
+        if not self.items:
+            return found
         coded = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         over = int(self.reach.max()) + 2
         step = max(SLICE, over)
@@ -155,14 +176,12 @@ class Matcher:
                     last[-1][0] = min(last[-1][0], a)
                 else:
                     last.append([a, b])
-        found = []
         for i, spans in passages.items():
             item_id, item = self.items[i]
             score, (a, _), end = self._best(item, coded, spans)
-            share = score / (MATCH * len(item))
-            if share >= THRESHOLD:
+            if score >= self.scores[i]:
                 _, back = align(item[::-1], coded[a : a + end + 1][::-1])
-                found.append((item_id, share, a + end - back, a + end))
+                found.append((item_id, score / (MATCH * len(item)), a + end - back, a + end, self.often[i]))
         return found
 
     @staticmethod
@@ -175,16 +194,40 @@ class Matcher:
         return best
 
 
-def matchers(benchmark: DataFrame) -> list[Matcher]:
-    """The benchmark in blocks of about BLOCK_BYTES text, dealt by a hash; rows without an id or text have no seeds."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:
+    """The benchmark in blocks of about BLOCK_BYTES text, dealt by a hash, one at a time. Equal rows are one, counted."""
+    rows = benchmark.where("text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).agg(F.count(F.lit(1)).alias("often"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
-    found = []
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else rows.collect()
-        found.append(Matcher(sorted((r["item_id"], r["text"]) for r in part)))
-    return found
+        part = (rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows).collect()
+        yield Matcher(sorted(((r["item_id"], r["text"], r["often"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+
+
+def _in_rounds(rows: DataFrame, benchmark: DataFrame, search: Callable[[DataFrame, Callable[[str | None], list]], DataFrame]) -> DataFrame:
+    """Apply a search to the rows for each block of the benchmark; between rounds the rows are stored.
+
+    So a worker holds one block at a time, however large the benchmark.
+    """
+    before = None
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block:
+        held = rows.sparkSession.sparkContext.broadcast(block)
+        rows = search(rows, lambda text, held=held: held.value.matches(text))
+        block = next(blocks, None)
+        if block:
+            after = store(rows, "searched")
+            held.destroy()
+            if before:
+                before.drop()
+            rows, before = after.df, after
+    return rows
+
+
+def _order(hit: tuple) -> tuple:
+    """Hits from the best on: by score, then the smallest id, one without an id last."""
+    return (-hit[1], hit[0] is None, hit[0] or 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -192,38 +235,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns a row for each document: doc_id, n_items (items found), best_item and best_score (the item with the best
     alignment, the smallest id of equals, and its share of a whole copy's score; null and 0 if none), first_word and
-    last_word (its passage, counted in words from 0), contaminated. The whole text is searched for every item with
-    LEAST_WORDS words or more. Null and empty texts contain nothing; repeated rows get a row each; an item that occurs
-    twice in the benchmark counts twice; other columns are ignored; an empty benchmark leaves all clean. The items
-    go to the documents in blocks of a fixed size, so no document moves and a popular item skews nothing.
+    last_word (its passage, counted in words from 0), contaminated. The whole text is searched for every item; an item
+    counts if an alignment has THRESHOLD of a whole copy's score and five matching words, or, of items with fewer
+    words, if all its words are there. An item of two words counts as an exact copy anywhere, one of a single word only as the
+    whole text, since a lone word inside a text is no copy. Null and empty texts contain nothing; repeated rows get a
+    row each; an item that occurs twice in the benchmark counts twice, one without an id counts without a name; items
+    without a word are no items; other columns are ignored; an empty benchmark leaves all clean. The items go to the
+    documents in blocks of a fixed size, so no document moves and a popular item skews nothing.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers(benchmark)]
+    none = [F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_score"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
+    schema = rows.schema
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = [h for b in blocks for h in b.value.matches(text)]
-                best = min(hits, key=lambda h: (-h[1], h[0])) if hits else (None, 0.0, None, None)
-                out.append((doc, len(hits), *best))
-            if out:
-                yield record_batch(_ROWS, *zip(*out, strict=True))
+    def search(rows: DataFrame, matches: Callable[[str | None], list]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                old = zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)
+                out = []
+                for text, (n, item, score, first, last) in zip(batch.column(1).to_pylist(), old, strict=True):
+                    hits = matches(text)
+                    best = min([*hits, *([(item, score, first, last, 0)] if n else [])], key=_order, default=(None, 0.0, None, None, 0))
+                    out.append((n + sum(h[4] for h in hits), *best[:4]))
+                if out:
+                    made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=schema.names)
 
-    found = rows.mapInArrow(search, "doc_id long, n_items long, best_item long, best_score double, first_word long, last_word long")
-    return found.withColumn("contaminated", F.col("n_items") > 0)
+        return rows.mapInArrow(run, schema)
+
+    found = _in_rounds(rows, benchmark, search)
+    return found.drop("text").withColumn("contaminated", F.col("n_items") > 0)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark item, with all their columns; no row moves."""
     small_batches(docs.sparkSession)
-    blocks = [docs.sparkSession.sparkContext.broadcast(m) for m in matchers(benchmark)]
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            clean = [not any(b.value.matches(t) for b in blocks) for t in texts]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    def search(rows: DataFrame, matches: Callable[[str | None], list]) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([not matches(t) for t in texts], pa.bool_()))
+
+        return change_rows(rows, keep)
 
-    return change_rows(docs, keep)
+    return _in_rounds(docs, benchmark, search)

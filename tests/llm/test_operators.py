@@ -434,6 +434,17 @@ def test_contamination(spark, awkward, nothing):
     assert not any(r["contaminated"] for r in contamination(awkward, items.limit(0)).collect())
 
 
+def test_contamination_does_not_depend_on_blocks(spark, monkeypatch):
+    """A benchmark in many blocks, each searched in a round of its own, gives what one block gives."""
+    items = spark.createDataFrame([(i % 9 or None, words(500 + i % 20, 5 + i % 20)) for i in range(40)] + [(50, "two words"), (51, "w")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words(500 + j, 5 + j) for j in (i % 20, 3 * i % 20)) + (" two words" if i % 4 == 0 else "")) for i in range(12)] + [(12, "w"), (None, words(503, 8)), (None, None)], "doc_id long, text string").withColumn("a.b", F.lit(1))
+    rows = lambda frame: sorted(tuple(str(x) for x in r) for r in frame.collect())
+    whole, kept = rows(contamination(docs, items)), rows(drop_contaminated(docs, items))
+    assert any(r[0] == "12" and r[1] == "1" for r in whole)
+    monkeypatch.setattr("larkspur.llm.decontaminate.BLOCK_BYTES", 700)
+    assert rows(contamination(docs, items)) == whole and rows(drop_contaminated(docs, items)) == kept
+
+
 # 10
 
 

@@ -198,12 +198,12 @@ def test_edited_copies_are_found_and_others_left():
     rng = random.Random(2)
     vocabulary = ["w%d" % i for i in range(300)]
     item = " ".join(rng.choice(vocabulary) for _ in range(40))
-    m = Matcher([(7, item), (8, " ".join(rng.choice(vocabulary) for _ in range(40))), (9, "ab"), (10, None)])
+    m = Matcher([(7, item, 1), (8, " ".join(rng.choice(vocabulary) for _ in range(40)), 1), (9, "ab", 1), (10, None, 1)])
     noise = " ".join(rng.choice(vocabulary) for _ in range(500))
     edited = " ".join("zz" if rng.random() < 0.2 else w for w in item.split())
     assert m.matches(noise) == [] and m.matches(None) == [] and m.matches("") == []
     found = m.matches(f"{noise} {item} {noise}")
-    assert found == [(7, 1.0, 500, 539)]
+    assert found == [(7, 1.0, 500, 539, 1)]
     assert [f[0] for f in m.matches(f"{noise} {edited}")] == [7]
 
 
@@ -247,7 +247,7 @@ def test_every_alignment_over_the_threshold_is_found(monkeypatch):
     pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     shared = pick(24)
     items = [pick(30), shared + pick(12), shared + pick(12), pick(3), pick(5), pick(60)]
-    m = Matcher([(i, " ".join(words)) for i, words in enumerate(items)])
+    m = Matcher([(i, " ".join(words), 1) for i, words in enumerate(items)])
     third = ["zz" if k % 3 == 2 else w for k, w in enumerate(items[0])]
     apart = [x for w in items[5] for x in (w, "zz")]
     assert [f[:2] for f in m.matches(" ".join(pick(90) + third + pick(90)))] == [(0, pytest.approx(0.5, abs=0.02))]
@@ -255,7 +255,7 @@ def test_every_alignment_over_the_threshold_is_found(monkeypatch):
     assert sorted(f[0] for f in m.matches(" ".join(pick(90) + shared + pick(90)))) == [1, 2]
     for common in (64, 0):
         monkeypatch.setattr("larkspur.llm.decontaminate.COMMON", common)
-        m = Matcher([(i, " ".join(words)) for i, words in enumerate(items)])
+        m = Matcher([(i, " ".join(words), 1) for i, words in enumerate(items)])
         for _ in range(150):
             doc = pick(20)
             for words in rng.sample(items, 2):
@@ -263,4 +263,13 @@ def test_every_alignment_over_the_threshold_is_found(monkeypatch):
                 doc += [x for w in words for x in ([w] if rng.random() > wrong else rng.choice([[], ["zz"], [w, "zz"]]))] + pick(5)
             coded = np.array([m.numbers.get(w, 0) for w in doc])
             scores = {i: align(words, coded)[0] / (2 * len(words)) for i, words in m.items}
-            assert {f[0]: f[1] for f in m.matches(" ".join(doc))} == {i: s for i, s in scores.items() if s >= 0.4}
+            assert {f[0]: f[1] for f in m.matches(" ".join(doc))} == {i: s for i, s in scores.items() if s >= 0.4 and 2 * len(items[i]) * s >= min(2 * len(items[i]), 9)}
+
+
+def test_short_items_and_lone_phrases():
+    m = Matcher([(1, "yes please", 1), (2, "Yes", 2), (3, "red green blue", 1), (4, "what is the capital of old rome", 1), (None, "on and on", 1)])
+    ids = lambda text: [(f[0], f[2], f[3], f[4]) for f in m.matches(text)]
+    assert ids("well, yes please do") == [(1, 1, 2, 1)] and ids("yes, and please") == [] and ids("YES!") == [(2, 0, 0, 2)]
+    assert ids("a red green blue b") == [(3, 1, 3, 1)] and ids("a red green x blue") == []
+    assert ids("this is the capital of a country") == [] and ids("what is the capital of new rome") == [(4, 0, 6, 1)]
+    assert ids("and on and on it goes") == [(None, 1, 3, 1)]
