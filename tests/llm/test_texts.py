@@ -234,6 +234,55 @@ def test_tree_matching_keeps_order_and_inserts():
     assert size == len(pairs) == 5 and [x.tag for x, _ in pairs] == ["#page", "div", "p", "ul", "li"]
 
 
+def brute_match(a, b):
+    """Simple tree matching as it is written down: children aligned by a table of their own matches."""
+    if a.label != b.label:
+        return 0
+    xs, ys = a.elements(), b.elements()
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs, 1):
+        for j, y in enumerate(ys, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_match(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_tree_matching_against_the_plain_recursion():
+    rng = random.Random(8)
+
+    def tree(depth):
+        kids = "" if depth == 0 else "".join(tree(depth - 1) for _ in range(rng.randint(0, 4)))
+        tag = rng.choice(["div", "section", "b"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(150):
+        a, b = H.parse(tree(3) + tree(2)), H.parse(tree(3) + tree(2))
+        pairs = []
+        assert H.match_trees(a, b, pairs) == brute_match(a, b) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    one, two = H.parse("<div>x</div><div><p>a</p><p>b</p><p>c</p></div>"), H.parse("<div><p>a</p><p>b</p><p>c</p></div>")
+    assert H.match_trees(one, two, []) == 5
+
+
+def test_hostile_pages_take_linear_time_and_no_recursion():
+    import time
+
+    deep = "<div>" * 100_000 + "deep text" + "</div>" * 100_000
+    assert H.main_text(deep) == "deep text"
+    a, b = H.parse(deep), H.parse("<div>" * 99_000 + "x")
+    pairs = []
+    assert H.match_trees(a, b, pairs) == len(pairs) == 99_001
+    began = time.time()
+    n = 60_000
+    for page in ("<a " * n, '<a href="' * n, "<b x='" * n + ">", '<a " > " ' * n, "<script " * n, "<!--" * n, "<" * n, "</x>" * n, "<div>" * n + "</p>" * n, "<span>" * n + "<li>a" * n, "<ul>" + "<li>x" * n, "<p>" * n, "&lt" * n, "<div>" * n + "<p>y" * n):
+        H.main_text(page)
+    assert time.time() - began < 60
+    many = H.parse("".join(f"<p class=a{i % 7}>{i}</p>" for i in range(20_000)))
+    others = H.parse("".join(f"<p class=b{i % 5}>{i}</p>" for i in range(20_000)))
+    assert H.match_trees(many, others, []) == 1
+    big = "<article>" + "<p>word and more words here</p>" * 330_000 + "</article>"
+    assert len(big) > 10_000_000 and H.main_text(big).count("\n") == 329_999
+
+
 def test_licences():
     assert len({d for d, _, _ in catalogue()}) >= len(KNOWN)
     mit = KNOWN["MIT"][0]
