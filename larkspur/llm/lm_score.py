@@ -1,8 +1,9 @@
-"""Language-model scores: a log-bilinear model over word classes, trained with noise-contrastive estimation.
+"""Language-model scores: a log-bilinear model over words in clusters, trained with noise-contrastive estimation.
 
-Words are predicted in two steps: the class by the log-bilinear model from the classes of the two words before, and
-the word in its class by its smoothed count. The most frequent words and the end are classes of their own; the others
-share classes by their last letters. Counts and the training of the model run over all training documents.
+A word is predicted from the two words before it in two steps, its cluster and then the word in its cluster, each by
+a normalised log-bilinear model. Words that are frequent enough have vectors of their own, however many they are up to
+MOST_WORDS; all others share a few entries by their last letters, and such an entry's words are told apart by their
+smoothed counts. Counts and the training of the model run over all training documents.
 """
 
 from __future__ import annotations
@@ -14,26 +15,33 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_of, free_shuffles, id_crc, record_batch, small_batches, store
 
-SINGLES = 151
+#: Occurrences from which a word has vectors of its own, and how many words have at most: their vectors are broadcast.
+LEAST_COUNT = 40
+MOST_WORDS = 1 << 14
 SHARED = 40
-END = SINGLES
-CLASSES = SINGLES + 1 + SHARED
-#: Context class before a text's first word.
-START = CLASSES
 WIDTH = 16
 SMOOTH = 0.1
+#: Noise clusters that a batch of tokens shares, and noise words that each token has in its cluster.
 NOISE = 32
-RATE = 0.3
+NOISE_WORDS = 4
+RATE = 1.0
+#: Tokens that stand still for a row beside those that move it: rows met once in a batch move little.
+DAMP = 300
 SHARD_BYTES = 16 << 20
-_TOGETHER = 1024
+_TOGETHER = 512
+_STEP = 8192
 _BLOCK = 4 << 20
-_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("part", pa.int32()), ("n", pa.int64())])
+_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("n", pa.int64())])
+_BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
+_VALUES = [f"v{i}" for i in range(WIDTH + 1)]
+_MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float64()), *[(c, pa.float64()) for c in _VALUES]])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -47,100 +55,204 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds
 
 
-def shared_class(word: bytes) -> int:
-    """The shared class of a word that has none of its own: by its last two bytes."""
-    return SINGLES + 1 + zlib.crc32(word[-2:]) % SHARED
+def shared_entry(word: bytes) -> int:
+    """Which of the shared entries a word without vectors of its own has: by its last two bytes."""
+    return zlib.crc32(word[-2:]) % SHARED
 
 
-def classes_of(words: pa.Array, singles: dict[bytes, int]) -> np.ndarray:
-    listed = words.to_pylist()
-    return np.fromiter((singles[w] if w in singles else shared_class(w) for w in listed), np.int64, len(listed))
+def sequences(entries: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of the texts with their ends: entry, entries of the word before and the one before that, and text.
 
-
-def sequences(classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of the texts with their ends: class, classes of the word before and the one before that, and text."""
+    end: the entry of a text's end; the number after it stands for what is before a text's first word.
+    """
     n = np.diff(bounds) + 1
     ends = np.cumsum(n)
-    token = np.full(int(n.sum()), END, np.int64)
+    token = np.full(int(n.sum()), end, np.int64)
     inner = np.ones(len(token), bool)
     inner[ends - 1] = False
-    token[inner] = classes
+    token[inner] = entries
     text = np.repeat(np.arange(len(n)), n)
     nth = np.arange(len(token)) - np.repeat(ends - n, n)
     one, two = np.roll(token, 1), np.roll(token, 2)
-    one[nth < 1] = START
-    two[nth < 2] = START
+    one[nth < 1] = end + 1
+    two[nth < 2] = end + 1
     return token, one, two, text
 
 
 @dataclass
-class LogBilinear:
-    """Target and context vectors, a matrix for either context place, and a bias for each class."""
+class Vocabulary:
+    """Entries: words of their own, then the shared ones, then the end; and their clusters.
 
-    target: np.ndarray
-    context: np.ndarray
-    places: np.ndarray
-    bias: np.ndarray
+    mass: training tokens of each entry; members: entries cluster by cluster; starts: where each cluster begins there.
+    """
+
+    words: dict[bytes, int]
+    mass: np.ndarray
+    cluster: np.ndarray
+    members: np.ndarray
+    starts: np.ndarray
 
     @classmethod
-    def fresh(cls, noise: np.ndarray, seed: int = 5) -> LogBilinear:
-        rng = np.random.default_rng(seed)
-        return cls(rng.normal(0, 0.1, (CLASSES, WIDTH)), rng.normal(0, 0.5, (CLASSES + 1, WIDTH)), np.stack([np.eye(WIDTH)] * 2) * 0.5, np.log(noise))
+    def of(cls, words: list[tuple[bytes, int]], shared: np.ndarray, ends: int) -> Vocabulary:
+        """From the words and their counts, the counts of shared entries, and that of ends.
+
+        Entries are dealt by mass to about as many clusters as each has members, the heaviest first: a frequent word
+        is a cluster of its own, and no cluster has more than twice the members of an even deal.
+        """
+        mass = np.concatenate([[n for _, n in words], shared, [ends]]).astype(np.float64)
+        order = np.argsort(-mass, kind="stable")
+        wanted = int(np.ceil(np.sqrt(len(mass))))
+        most, cluster, left, own, size, k = 2 * -(-len(mass) // wanted), np.zeros(len(mass), np.int64), mass.sum() + len(mass), 0.0, 0, 0
+        for e in order.tolist():
+            if size and (own >= left / max(1, wanted - k) or size >= most):
+                left, own, size, k = left - own, 0.0, 0, k + 1
+            cluster[e] = k
+            own, size = own + mass[e] + 1, size + 1
+        members = np.argsort(cluster, kind="stable")
+        starts = np.searchsorted(cluster[members], np.arange(k + 2))
+        return cls({w: i for i, (w, _) in enumerate(words)}, mass, cluster, members, starts)
+
+    @property
+    def end(self) -> int:
+        return len(self.mass) - 1
+
+    def entries(self, listed: list[bytes]) -> np.ndarray:
+        own, n = self.words, len(self.words)
+        return np.fromiter((own[w] if w in own else n + shared_entry(w) for w in listed), np.int64, len(listed))
+
+
+class Trainer:
+    """What training needs besides the model: where noise comes from."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        smooth = v.mass + 1
+        total = np.bincount(v.cluster, smooth)
+        self.noise = total / total.sum()
+        self.shift = np.log(NOISE * self.noise)
+        self.place = np.argsort(v.members, kind="stable")  # of each entry among the members
+        self.inside = smooth / total[v.cluster]
+        self.inside_shift = np.log(NOISE_WORDS * self.inside)
+        self.sums = np.concatenate([[0.0], np.cumsum(self.inside[v.members])])
+        self.several = np.diff(v.starts)[v.cluster] > 1
+
+    def inner_noise(self, token: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """NOISE_WORDS entries of each token's cluster, drawn by their counts."""
+        c = self.v.cluster[token]
+        lo, hi = self.v.starts[c], self.v.starts[c + 1]
+        at = self.sums[lo, None] + rng.random((len(token), NOISE_WORDS)) * (self.sums[hi] - self.sums[lo])[:, None]
+        return self.v.members[np.clip(np.searchsorted(self.sums, at, "right") - 1, lo[:, None], hi[:, None] - 1)]
+
+
+def _sums(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of the values that belong to each, and their number."""
+    order = np.argsort(where, kind="stable")
+    row = where[order]
+    starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
+    return row[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(row)))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.target, self.context, self.places, self.bias)])
+
+@dataclass
+class LogBilinear:
+    """Vectors and biases of clusters and of entries as targets, vectors of entries as contexts (with one for what is
+    before a text), and a matrix for either context place."""
+
+    clusters: np.ndarray
+    targets: np.ndarray
+    context: np.ndarray
+    places: np.ndarray
 
     @classmethod
-    def from_flat(cls, values: np.ndarray) -> LogBilinear:
-        shapes = [(CLASSES, WIDTH), (CLASSES + 1, WIDTH), (2, WIDTH, WIDTH), (CLASSES,)]
-        parts = np.split(np.asarray(values, np.float64), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        return cls(*[p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)])
-
-    def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-        """A step of noise-contrastive estimation: tell the token from NOISE classes drawn by their counts."""
-        drawn = rng.choice(CLASSES, NOISE, p=noise)
-        shift = np.log(NOISE * noise)
-        c1, c2 = self.context[one], self.context[two]
-        guess = c1 @ self.places[0] + c2 @ self.places[1]
-        own = self.target[token]
-        right = np.einsum("ij,ij->i", guess, own) + self.bias[token] - shift[token]
-        wrong = guess @ self.target[drawn].T + self.bias[drawn] - shift[drawn]
-        g_right = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        g_wrong = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
-        g_guess = g_right[:, None] * own + g_wrong @ self.target[drawn]
-        step = rate / len(token)
-        dims = np.arange(WIDTH)
-
-        def gather(where: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-            return np.bincount((where[:, None] * WIDTH + dims).ravel(), values.ravel(), rows * WIDTH).reshape(rows, WIDTH)
-
-        g_target = gather(token, g_right[:, None] * guess, CLASSES) + gather(drawn, g_wrong.T @ guess, CLASSES)
-        g_context = gather(one, g_guess @ self.places[0].T, CLASSES + 1) + gather(two, g_guess @ self.places[1].T, CLASSES + 1)
-        g_bias = np.bincount(token, g_right, CLASSES) + np.bincount(drawn, g_wrong.sum(0), CLASSES)
-        self.places[0] += step * c1.T @ g_guess
-        self.places[1] += step * c2.T @ g_guess
-        # rare classes take part in few tokens, so their vectors move by their own mean
-        self.target += rate * g_target / (np.bincount(token, minlength=CLASSES) + len(token) * NOISE * noise + 1)[:, None]
-        self.context += rate * g_context / (np.bincount(one, minlength=CLASSES + 1) + np.bincount(two, minlength=CLASSES + 1) + 1)[:, None]
-        self.bias += step * g_bias
-
-    def fit(self, batch: tuple[np.ndarray, ...], noise: np.ndarray, rate: float, seed: int) -> None:
-        token, one, two, _ = batch
+    def fresh(cls, t: Trainer, seed: int = 5) -> LogBilinear:
+        rng, n, k = np.random.default_rng(seed), len(t.v.mass), len(t.noise)
+        bias = [np.log(t.noise), np.log(t.inside)]
+        first, second = (np.concatenate([rng.normal(0, 0.1, (len(b), WIDTH)), b[:, None]], 1) for b in bias)
+        return cls(first, second, rng.normal(0, 0.5, (n + 1, WIDTH)), np.stack([np.eye(WIDTH)] * 2) * 0.5)
+
+    def copy(self) -> LogBilinear:
+        return LogBilinear(self.clusters.copy(), self.targets.copy(), self.context.copy(), self.places.copy())
+
+    def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """What a context expects, with a 1 behind for the biases."""
+        g = self.context[one] @ self.places[0] + self.context[two] @ self.places[1]
+        return np.concatenate([g, np.ones((len(g), 1))], 1)
+
+    def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, t: Trainer, rate: float, rng: np.random.Generator) -> None:
+        """A step of noise-contrastive estimation: tell each token's cluster, and the token in it, from drawn ones."""
+        g = self.guess(one, two)
+        c = t.v.cluster[token]
+        drawn = rng.choice(len(t.noise), NOISE, p=t.noise)
+        right = np.einsum("ij,ij->i", g, self.clusters[c]) - t.shift[c]
+        wrong = g @ self.clusters[drawn].T - t.shift[drawn]
+        up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
+        back = up[:, None] * self.clusters[c] + down @ self.clusters[drawn]
+        moved = [(np.concatenate([c, drawn]), np.concatenate([up[:, None] * g, down.T @ g]), self.clusters)]
+        weight = np.concatenate([np.ones(len(c)), np.full(NOISE, len(c))])
+        some = np.nonzero(t.several[token])[0]
+        if len(some):
+            own, inner = token[some], t.inner_noise(token[some], rng)
+            right = np.einsum("ij,ij->i", g[some], self.targets[own]) - t.inside_shift[own]
+            others = self.targets[inner]
+            wrong = np.einsum("ij,ikj->ik", g[some], others) - t.inside_shift[inner]
+            up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
+            down = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
+            back[some] += up[:, None] * self.targets[own] + np.einsum("ik,ikj->ij", down, others)
+            moved.append((np.concatenate([own, inner.ravel()]), np.concatenate([up[:, None] * g[some], (down[:, :, None] * g[some][:, None, :]).reshape(-1, WIDTH + 1)]), self.targets))
+        back = back[:, :WIDTH]
+        sides = [(one, back @ self.places[0].T), (two, back @ self.places[1].T)]
+        for k, where in enumerate((one, two)):
+            self.places[k] += rate / len(token) * self.context[where].T @ back
+        # rare rows take part in few tokens, so they move by their own mean
+        rows, sums, _ = _sums(moved[0][0], moved[0][1])
+        n = np.bincount(moved[0][0], weight, len(self.clusters))[rows]
+        self.clusters[rows] += rate * sums / (n + DAMP)[:, None]
+        for where, values, table in moved[1:]:
+            rows, sums, n = _sums(where, values)
+            table[rows] += rate * sums / (n + DAMP)[:, None]
+        rows, sums, n = _sums(np.concatenate([w for w, _ in sides]), np.concatenate([x for _, x in sides]))
+        self.context[rows] += rate * sums / (n + DAMP)[:, None]
+
+    def fit(self, batch: tuple[np.ndarray, ...], t: Trainer, rate: float, seed: int) -> None:
+        """One pass over tokens in an order that the seed gives, in steps that get smaller."""
+        token, one, two = batch[:3]
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(token))
         for at in range(0, len(order), _TOGETHER):
             some = order[at : at + _TOGETHER]
-            self.learn(token[some], one[some], two[some], noise, rate, rng)
-
-    def log_table(self) -> np.ndarray:
-        """log10 probabilities [before, before that, class] of all contexts, normalised, by batched products."""
-        first, second = self.context @ self.places[0], self.context @ self.places[1]
-        out = np.empty((CLASSES + 1, CLASSES + 1, CLASSES), np.float32)
-        for k in range(CLASSES + 1):
-            s = (first[k] + second) @ self.target.T + self.bias
-            s -= s.max(1, keepdims=True)
-            out[k] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        return out
+            self.learn(token[some], one[some], two[some], t, rate * (1 - 0.9 * at / len(order)), rng)
+
+    def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """log10 probabilities of entries after their contexts: batched products over all clusters, and over all
+        members of the token's cluster, normalise both steps."""
+        base = np.int64(len(v.mass) + 1)
+        pairs, which = np.unique(one * base + two, return_inverse=True)
+        g = np.empty((len(pairs), WIDTH + 1), np.float32)
+        total = np.empty(len(pairs), np.float32)
+        first = self.clusters.T.astype(np.float32)
+        for at in range(0, len(pairs), _STEP):
+            part = self.guess(pairs[at : at + _STEP] // base, pairs[at : at + _STEP] % base).astype(np.float32)
+            g[at : at + _STEP] = part
+            total[at : at + _STEP] = _log_sum(part @ first)
+        c = v.cluster[token]
+        out = np.einsum("ij,ij->i", g[which], first.T[c]) - total[which]
+        by = np.argsort(c, kind="stable")
+        edges = np.searchsorted(c[by], np.arange(len(v.starts)))
+        targets = self.targets.astype(np.float32)
+        for k in range(len(v.starts) - 1):
+            own = v.members[v.starts[k] : v.starts[k + 1]]
+            if len(own) > 1:
+                table = targets[own].T
+                for at in range(edges[k], edges[k + 1], _STEP):
+                    some = by[at : min(at + _STEP, edges[k + 1])]
+                    part = g[which[some]]
+                    out[some] += np.einsum("ij,ij->i", part, targets[token[some]]) - _log_sum(part @ table)
+        return out.astype(np.float64) / np.log(10)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(1)
+    return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
 def _count(shard: pa.Table) -> pa.Table:
@@ -148,101 +260,115 @@ def _count(shard: pa.Table) -> pa.Table:
     texts, train = shard.column("text").combine_chunks(), ~np.asarray(shard.column("held_out").combine_chunks())
     words, which, bounds = coded_words(texts)
     n = np.bincount(which, np.repeat(train, np.diff(bounds)), len(words)).astype(np.int64)
-    part = [shared_class(w) for w in words.to_pylist()]
     number = shard.column("shard")[0].as_py()
-    return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(part, pa.int32()), pa.array(n)], schema=_COUNTED)
+    return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(n)], schema=_COUNTED)
+
+
+def _average(learned: DataFrame, fresh: LogBilinear) -> LogBilinear:
+    """The model whose rows are the means of those that shards have learned, by how often they met them.
+
+    The mean is an aggregate by row; as many rows come to the driver as the model has.
+    """
+    means = learned.groupBy("part", "row").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in _VALUES])
+    model = fresh.copy()
+    tables = [model.clusters, model.targets, model.context, model.places.reshape(-1, WIDTH)]
+    for r in means.collect():
+        table = tables[r["part"]]
+        table[r["row"]] = r[2 : 2 + table.shape[1]]
+    return model
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """Score every whole text with a model of the training documents.
 
     Returns doc_id, held_out (crc32 of the id as text, modulo 10, is 0; false for a null id), n_tokens, n_known,
-    train_tokens, base_score, score. Null and empty texts are their end alone. Without training documents no token is
-    known, and base_score is 0. Repeated rows are documents of their own; other columns are ignored; an empty table
-    gives an empty one. Documents are dealt to shards of about SHARD_BYTES by a hash; the counts of words go back to
-    shards as one row per shard and word, so a frequent word makes no large group.
+    train_tokens, base_score, score. Null and empty texts are their end alone; they count, but teach the network
+    nothing. Without training documents no token is known, and base_score is 0. Repeated rows are documents of their
+    own; other columns are ignored; an empty table gives an empty one. Documents are dealt to shards of about
+    SHARD_BYTES by a hash of id and text and sorted there, so scores don't depend on how the input is cut up. Every
+    shard trains from one start on all its training documents, and the rows of their models are averaged. A frequent
+    word is one row for each shard, and its total a partial aggregate.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(id_crc() % 10 == 0, F.lit(False)).alias("held_out"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(id_crc() % 10 == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     shards = size // SHARD_BYTES + 1
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(shards)))
-    counts = dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, part int, n long")
-    same = Window.partitionBy("word")
-    counted = store(counts.withColumn("c", F.sum("n").over(same)).withColumn("lead", F.min("shard").over(same) == F.col("shard")), "words").df
-    del counts
+    blank = F.coalesce(F.col("text") == "", F.lit(True))
+    dealt = rows.where(~blank).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    counted = store(dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, n long"), "words").df
     free_shuffles(spark)  # the texts are dealt to the shards once more below
-    lead = counted.where("lead and c > 0")
-    top = lead.orderBy(F.desc("c"), "word").limit(SINGLES).select("word", "c").collect()
-    singles = {bytes(r["word"]): i for i, r in enumerate(top)}
-    mass, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for part, c, v in lead.groupBy("part").agg(F.sum("c"), F.count(F.lit(1))).collect():
-        mass[part], kinds[part] = c, v
-    n_train, v_train = int(mass.sum()) + trained, int(kinds.sum()) + (trained > 0)
-    for r in top:
-        own, part = singles[bytes(r["word"])], shared_class(bytes(r["word"]))
-        mass[own], mass[part], kinds[part] = r["c"], mass[part] - r["c"], kinds[part] - 1
-    mass[END] = trained
-    noise = (mass + 1) / (mass + 1).sum()
-    model = _train(rows.where("not held_out"), singles, noise)
-    values = spark.sparkContext.broadcast((model.flat(), singles))
-    inner = SMOOTH * (kinds + 1) + mass
-    scale = np.log10(n_train + SMOOTH * (v_train + 1)) if n_train else np.log10(SMOOTH)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    totals = store(counted.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
+    free_shuffles(spark)
+    n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n_train, v_train = n_words + trained, v_words + (trained > 0)
+    top = [(bytes(r["word"]), r["c"]) for r in totals.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(MOST_WORDS).collect()]
+    # counts and number of the words that share an entry, by the same rule as shared_entry
+    shared = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(SHARED)).cast("int")
+    mass, kinds = np.zeros(SHARED), np.zeros(SHARED)
+    for part, c, k in totals.where("c > 0").groupBy(shared.alias("part")).agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[part], kinds[part] = c, k
+    for word, c in top:
+        part = shared_entry(word)
+        mass[part], kinds[part] = mass[part] - c, kinds[part] - 1
+    vocabulary = Vocabulary.of(top, mass, trained)
+    trainer = Trainer(vocabulary)
+    fresh = LogBilinear.fresh(trainer)
+    start = spark.sparkContext.broadcast((trainer, fresh))
+
+    def train(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return _SCORED.empty_table()
-        flat, own = values.value
+            return _MADE.empty_table()
+        t, begun = start.value
+        left = left.take(pc.sort_indices(left, [("doc_id", "ascending"), ("text", "ascending")]))
         words, which, bounds = coded_words(left.column("text").combine_chunks())
-        classes = classes_of(words, own)
-        known = right.column("word").combine_chunks().cast(pa.large_binary())
-        at = np.asarray(pc.fill_null(pc.index_in(words, known), -1), np.int64)
+        entry = t.v.entries(words.to_pylist())
+        at = np.asarray(pc.fill_null(pc.index_in(words, right.column("word").combine_chunks().cast(pa.large_binary())), -1), np.int64)
         c = np.where(at >= 0, np.append(right.column("c").to_numpy(), 0)[at], 0)
-        token, one, two, doc = sequences(classes[which], bounds)
-        count = np.full(len(token), trained, np.float64)
-        count[np.delete(np.arange(len(token)), np.cumsum(np.diff(bounds) + 1) - 1)] = c[which]
-        n = len(left)
-        base = np.bincount(doc, np.log10(count + SMOOTH) - scale, n)
-        model_score = _table_of(flat)[one, two, token].astype(np.float64) + np.where(token > END, np.log10(count + SMOOTH) - np.log10(inner)[token], 0.0)
-        return pa.table([left.column("doc_id").combine_chunks(), left.column("held_out").combine_chunks(), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, count > 0, n).astype(np.int64)), pa.array(np.full(n, n_train)), pa.array(base), pa.array(np.bincount(doc, model_score, n))], schema=_SCORED)
-
-    known = counted.select("shard", "word", "c")
-    return dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _table_of(flat: np.ndarray) -> np.ndarray:
-    """The table of a model, computed once in a worker."""
-    key = zlib.crc32(flat.tobytes())
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = LogBilinear.from_flat(flat).log_table()
-    return _TABLES[key]
-
-
-def _train(train: DataFrame, singles: dict[bytes, int], noise: np.ndarray) -> LogBilinear:
-    """Every task learns from all its training documents, from one start; their models are averaged.
-
-    The average weighs tasks by their tokens. It is an aggregate by parameter, of a size that follows from the model.
-    """
-    model = LogBilinear.fresh(noise)
-    start = train.sparkSession.sparkContext.broadcast((model.flat(), singles, noise))
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, own, by = start.value
-        mine, seen = LogBilinear.from_flat(flat), 0
-        for k, block in enumerate(blocks_of(batches, "text", _BLOCK)):
-            words, which, bounds = coded_words(block.column("text").combine_chunks())
-            batch = sequences(classes_of(words, own)[which], bounds)
-            mine.fit(batch, by, RATE / (1 + k / 4), k)
-            seen += len(batch[0])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([mine.flat().tolist()], pa.list_(pa.float64())), pa.array([float(seen)])], names=["w", "n"])
-
-    parts = train.select("text").mapInArrow(go_on, "w array<double>, n double").select(F.posexplode("w").alias("k", "v"), "n")
-    mean = parts.groupBy("k").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("k").collect()
-    return LogBilinear.from_flat(np.array([r["v"] for r in mean])) if mean else model
+        ids, held = left.column("doc_id").combine_chunks(), np.asarray(left.column("held_out").combine_chunks())
+        blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which.astype(np.int32), entry.astype(np.int32), c.astype(np.int64)]
+        batches = [record_batch(_MADE, *[[x.tobytes()] for x in blob], *[[None]] * (3 + len(_VALUES)))]
+        kept = np.nonzero(~held)[0]
+        n = np.diff(bounds)
+        if len(kept):
+            inner = np.repeat(~held, n)
+            batch = sequences(entry[which[inner]], np.concatenate([[0], np.cumsum(n[kept])]), t.v.end)
+            mine = begun.copy()
+            mine.fit(batch, t, RATE, int(len(batch[0])))
+            token, one, two, _ = batch
+            seen = [np.bincount(t.v.cluster[token], minlength=len(mine.clusters)), np.bincount(token, minlength=len(mine.targets)), np.bincount(one, minlength=len(mine.context)) + np.bincount(two, minlength=len(mine.context)), np.full(2 * WIDTH, len(token))]
+            for part, (table, w) in enumerate(zip((mine.clusters, mine.targets, mine.context, mine.places.reshape(-1, WIDTH)), seen, strict=True)):
+                some = np.nonzero(w)[0]
+                values = [table[some, i] if i < table.shape[1] else np.zeros(len(some)) for i in range(WIDTH + 1)]
+                batches.append(record_batch(_MADE, *[[None] * len(some)] * len(_BLOB), np.full(len(some), part), some, w[some].astype(float), *values))
+        return pa.Table.from_batches(batches)
+
+    known = counted.join(totals, "word").select("shard", "word", "c")
+    schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w double", *[f"{c} double" for c in _VALUES]])
+    made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(train, schema), "trained").df
+    free_shuffles(spark)
+    model = _average(made.where("part is not null").select("part", "row", "w", *_VALUES), fresh)
+    inner = np.zeros(len(vocabulary.mass))
+    inner[len(top) : len(top) + SHARED] = np.log10(SMOOTH * (kinds + 1) + mass)
+    scale = np.log10(n_train + SMOOTH * (v_train + 1)) if n_train else np.log10(SMOOTH)
+    values = spark.sparkContext.broadcast((model, vocabulary, inner))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, v, within = values.value
+        for batch in batches:
+            for i in range(len(batch)):
+                kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
+                ids, some, held, bounds, which, entry, c = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in enumerate(kinds))
+                n = len(ids)
+                token, one, two, doc = sequences(entry[which].astype(np.int64), bounds, v.end)
+                count = np.full(len(token), trained, np.float64)
+                count[np.delete(np.arange(len(token)), np.cumsum(np.diff(bounds) + 1) - 1)] = c[which]
+                base = np.bincount(doc, np.log10(count + SMOOTH) - scale, n)
+                share = (token >= len(v.words)) & (token < v.end)
+                found = net.log10(token, one, two, v) + np.where(share, np.log10(count + SMOOTH) - within[token], 0.0)
+                yield record_batch(_SCORED, pa.array(ids, mask=some == 0), held.astype(bool), np.bincount(doc, minlength=n), np.bincount(doc, count > 0, n).astype(np.int64), np.full(n, n_train), base, np.bincount(doc, found, n))
+
+    full = made.where("ids is not null").select(*_BLOB).mapInArrow(score, _SCORED_SQL)
+    token, one, two, _ = sequences(np.zeros(0, np.int64), np.zeros(2, np.int64), vocabulary.end)
+    alone = [F.lit(1).cast("long").alias("n_tokens"), F.lit(int(trained > 0)).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), F.lit(float(np.log10(trained + SMOOTH) - scale)).alias("base_score"), F.lit(float(model.log10(token, one, two, vocabulary)[0])).alias("score")]
+    return full.union(rows.where(blank).select("doc_id", "held_out", *alone))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import embedding_dedup, language_id, simhash_dedup, suffix_dedup
+from larkspur.llm import embedding_dedup, language_id, lm_score, simhash_dedup, suffix_dedup
 from larkspur.llm.common import ascii_words, store
 from larkspur.llm.components import connected_components
 from larkspur.llm.decontaminate import contamination, drop_contaminated
@@ -331,6 +331,30 @@ def test_scores(awkward, nothing):
     assert score_texts(nothing).count() == 0
 
 
+def test_scores_do_not_depend_on_how_the_input_is_cut(spark, monkeypatch):
+    """Documents with an order of words that a unigram can't know: scores above the base, the same however they come."""
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 100_000)
+    rng = random.Random(3)
+    follow = {f"w{i}": [f"w{(3 * i + k) % 200}" for k in range(3)] for i in range(200)}
+
+    def text(n):
+        out = ["w1"]
+        for _ in range(n):
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, text(150)) for i in range(400)] + [(None, text(20)), (None, text(20)), (None, None), (None, None), (None, ""), (7, text(9)), (400, "rare words only here"), (401, " \n ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["base_score"])
+    one, two = (sorted(score_texts(frame.repartition(n)).collect(), key=key) for n in (1, 7))
+    assert len(one) == len(two) == len(rows)
+    assert all(a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) < 1e-3 and abs(a["base_score"] - b["base_score"]) < 1e-6 for a, b in zip(one, two))
+    held = [r for r in one if r["held_out"] and r["n_tokens"] > 100]
+    assert len(held) > 20 and np.mean([r["score"] > r["base_score"] + 3 for r in held]) > 0.95
+    blank = [r for r in one if r["n_tokens"] == 1]
+    assert len(blank) == 4 and len({r["score"] for r in blank if r["doc_id"] is None}) == 1
+
+
 # 7
 
 

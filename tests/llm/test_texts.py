@@ -14,7 +14,7 @@ from larkspur.llm.common import ascii_words
 from larkspur.llm.decontaminate import Matcher, align
 from larkspur.llm.language_id import UNKNOWN, ByteNetwork, _padded, classify, fit
 from larkspur.llm.license_scan import KNOWN, canonical_text, catalogue
-from larkspur.llm.lm_score import CLASSES, LogBilinear, coded_words, sequences
+from larkspur.llm.lm_score import LogBilinear, Trainer, Vocabulary, coded_words, sequences
 from larkspur.llm.packing import _slots, plan_sequences
 from larkspur.llm.simhash_dedup import LEAST_EQUAL_BYTES, fingerprint_of, index_positions
 from larkspur.llm.suffix_array import common_prefixes, suffix_array, window_groups
@@ -168,24 +168,60 @@ def test_network_with_one_language_or_none():
     assert classify(ByteNetwork.fresh([]), pa.array(["abc"]))[0] == [UNKNOWN]
 
 
+def small_vocabulary():
+    words = [(b"w%d" % i, 2000 // (i + 1)) for i in range(60)]
+    return Vocabulary.of(words, np.arange(40) * 3.0, 500)
+
+
+def test_clusters_hold_every_entry_once():
+    v = small_vocabulary()
+    assert sorted(v.members.tolist()) == list(range(101)) and v.starts[0] == 0 and v.starts[-1] == 101 and (np.diff(v.starts) > 0).all()
+    assert all((v.cluster[v.members[a:b]] == k).all() for k, (a, b) in enumerate(zip(v.starts, v.starts[1:]))) and v.cluster[0] == 0
+    t = Trainer(v)
+    tokens = np.repeat(np.arange(101), 50)
+    drawn = t.inner_noise(tokens, np.random.default_rng(0))
+    assert (v.cluster[drawn] == v.cluster[tokens][:, None]).all() and abs(t.noise.sum() - 1) < 1e-9
+    empty = Vocabulary.of([], np.zeros(40), 0)
+    assert len(empty.mass) == 41 and empty.end == 40
+
+
 def test_bilinear_model_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    classes = np.tile([3, 9, 27], 2000)
-    batch = sequences(classes, np.array([0, len(classes)]))
-    noise = np.full(CLASSES, 1 / CLASSES)
-    model = LogBilinear.fresh(noise)
-    before = model.log_table()[3, 27, 9]
+    v = small_vocabulary()
+    t = Trainer(v)
+    model = LogBilinear.fresh(t)
+    batch = sequences(np.tile([3, 20, 55], 3000), np.array([0, 9000]), v.end)
+    ask = lambda e: model.log10(np.array([e]), np.array([20]), np.array([3]), v)[0]
+    before = ask(55)
     for k in range(5):
-        model.fit(batch, noise, 0.3, k)
-    table = model.log_table()
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(2), 1, atol=1e-4)
-    assert table[3, 27, 9] > before + 0.5
-    assert np.allclose(LogBilinear.from_flat(model.flat()).flat(), model.flat()) and rng is not None
+        model.fit(batch, t, 0.3, k)
+    assert ask(55) > before + 0.5
+    token, one, two = np.tile(np.arange(101), 4), np.repeat([3, 20, 100, 101], 101), np.repeat([7, 3, 101, 101], 101)
+    told = model.log10(token, one, two, v)
+    assert np.allclose((10.0 ** told.reshape(4, 101)).sum(1), 1, atol=1e-4)
+    for i in range(0, len(token), 17):  # the same from the definition, one token at a time
+        g = np.append(model.context[one[i]] @ model.places[0] + model.context[two[i]] @ model.places[1], 1)
+        c = v.cluster[token[i]]
+        own = v.members[v.starts[c] : v.starts[c + 1]]
+        first, second = np.exp(model.clusters @ g), np.exp(model.targets[own] @ g)
+        p = first[c] / first.sum() * np.exp(model.targets[token[i]] @ g) / second.sum()
+        assert abs(told[i] - np.log10(p)) < 1e-4
+
+
+def test_gradients_raise_the_objective():
+    """A step on few tokens raises their probability against the noise, on average."""
+    v = small_vocabulary()
+    t, rng = Trainer(v), np.random.default_rng(1)
+    token, one, two = rng.integers(0, 101, 400), rng.integers(0, 101, 400), rng.integers(0, 101, 400)
+    model = LogBilinear.fresh(t)
+    before = model.log10(token, one, two, v).mean()
+    for _ in range(30):
+        model.learn(token, one, two, t, 0.3, rng)
+    assert model.log10(token, one, two, v).mean() > before + 0.05
 
 
 def test_sequences_start_and_end():
-    token, one, two, text = sequences(np.array([5, 6]), np.array([0, 0, 2]))
-    assert text.tolist() == [0, 1, 1, 1] and one[0] == CLASSES and two[2] == CLASSES and two[3] == 5 and token[0] == token[3]
+    token, one, two, text = sequences(np.array([5, 6]), np.array([0, 0, 2]), 9)
+    assert text.tolist() == [0, 1, 1, 1] and one[0] == 10 and two[2] == 10 and two[3] == 5 and token[0] == token[3] == 9
 
 
 def test_alignment():
