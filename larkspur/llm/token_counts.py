@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.shared import file_system
+
 from .common import ascii_words, blocks_of, path_exists, record_batch, small_batches
 from .tokens import WordIds, tokenizer_path
 
@@ -65,11 +68,14 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 class TokenRollup:
     """A ledger of committed batches in a shared folder; the totals are sums over it.
 
-    A batch is summed by key before it is written, so its size follows the number of keys. Its folder counts once
-    Spark's writer has put the marker of success there: a batch that broke off isn't seen and can be sent again, one
-    that is there isn't applied twice. Null sources and languages are keys like others.
+    A batch is summed by key before it is written, so its size follows the number of keys. It is written beside the
+    ledger and renamed into it, which happens as a whole or not at all: a batch that broke off isn't seen and can be
+    sent again, one that is there isn't applied twice, and of two writers of one batch one wins (on file systems whose
+    renames are atomic). Null sources and languages are keys like others. compact() replaces batches by their sum.
     """
 
+    _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -78,31 +84,69 @@ class TokenRollup:
             raise ValueError(f"a batch id has letters, digits, '_', '-' and '.' only: {batch_id!r}")
         return f"{self.path}/batch={batch_id}"
 
+    def _names(self, folder: str) -> list[str]:
+        files, where = file_system(self.spark, folder)
+        return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The newest sum of batches, and the ids of the batches in it."""
+        done = [n for n in self._names(self.path) if n.startswith("snapshot=")]
+        if not done:
+            return None, set()
+        newest = f"{self.path}/{max(done)}"
+        return newest, {r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{newest}/ids").collect()}
+
     def is_committed(self, batch_id: str) -> bool:
-        return path_exists(self.spark, f"{self._folder(batch_id)}/_SUCCESS")
+        return path_exists(self.spark, self._folder(batch_id)) or batch_id in self._snapshot()[1]
+
+    def _move(self, source: str, target: str) -> bool:
+        """Rename a folder unless the target is there; what came second goes."""
+        files, where = file_system(self.spark, target)
+        mine = file_system(self.spark, source)[1]
+        moved = not files.exists(where) and bool(files.rename(mine, where))
+        # a rename onto a folder that another writer has just made puts ours inside it
+        inside = file_system(self.spark, f"{target}/{source.rsplit('/', 1)[-1]}")[1]
+        if files.exists(inside):
+            files.delete(inside, True)
+            moved = False
+        files.delete(mine, True)
+        return moved
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch of deltas once; False if it was there."""
         if self.is_committed(batch_id):
             return False
-        sums = deltas.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        sums.coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
+        pending = f"{self.path}-pending/{uuid.uuid4().hex}"
+        deltas.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).write.parquet(pending)
+        files, root = file_system(self.spark, self.path)
+        files.mkdirs(root)
+        return self._move(pending, self._folder(batch_id))
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(root)]
-        ids = sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
-        return [i for i in ids if self.is_committed(i)]
+        return sorted({n.removeprefix("batch=") for n in self._names(self.path) if n.startswith("batch=")} | self._snapshot()[1])
+
+    def _sums(self) -> tuple[DataFrame, set[str]]:
+        snapshot, inside = self._snapshot()
+        here = {n.removeprefix("batch=") for n in self._names(self.path) if n.startswith("batch=")}
+        folders = [f"{snapshot}/sums"] * (snapshot is not None) + [self._folder(i) for i in sorted(here - inside)]
+        rows = self.spark.read.schema(self._SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self._SCHEMA)
+        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]), here | inside
+
+    def compact(self) -> None:
+        """Write the sum of all batches with their ids, then delete what it replaces. One writer at a time."""
+        sums, ids = self._sums()
+        old = self._names(self.path)
+        pending = f"{self.path}-pending/{uuid.uuid4().hex}"
+        sums.write.parquet(f"{pending}/sums")
+        self.spark.createDataFrame([(i,) for i in sorted(ids)], "batch_id string").write.parquet(f"{pending}/ids")
+        number = 1 + max((int(n.removeprefix("snapshot=")) for n in old if n.startswith("snapshot=")), default=0)
+        if not self._move(pending, f"{self.path}/snapshot={number:012d}"):
+            raise RuntimeError("another writer has compacted this ledger")
+        for name in old:
+            files, where = file_system(self.spark, f"{self.path}/{name}")
+            files.delete(where, True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars over all committed batches; keys without documents go."""
-        schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
-        folders = [self._folder(i) for i in self.batches()]
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
+        return self._sums()[0].where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")

@@ -278,12 +278,35 @@ def test_rollups_by_deltas(spark, awkward, nothing, tmp_path):
     assert now[("s", "it", "w")]["n_tokens"] == 5 and now[("s", "en", "w")]["n_docs"] == want[("s", "en", "w", "docs")] - 2
     rollup.commit("four", deletes(rows.where("doc_id <> 4 and doc_id <> 9")))
     assert {k[1] for k in {(t["source"], t["lang"], t["tokenizer"]) for t in rollup.totals().collect()}} == {"it"}
-    (tmp_path / "r" / "batch=broken").mkdir()
-    assert rollup.batches() == ["four", "one", "three", "two"]
+    (tmp_path / "r-pending" / "broken").mkdir(parents=True)  # a batch that broke off while it was written
+    assert rollup.batches() == ["four", "one", "three", "two"] and not rollup.is_committed("broken")
+    before = sorted(map(str, rollup.totals().collect()))
+    for _ in range(2):
+        rollup.compact()
+        assert sorted(map(str, rollup.totals().collect())) == before and rollup.batches() == ["four", "one", "three", "two"]
+    assert not rollup.commit("one", inserts(rows)) and rollup.commit("five", inserts(rows.where("doc_id = 4")))
+    rollup.commit("six", deletes(rows.where("doc_id = 4")))
+    assert sorted(map(str, rollup.totals().collect())) == before
+    assert rollup._move(f"file://{tmp_path}/nowhere", f"{rollup.path}/batch=six") is False
     with pytest.raises(ValueError):
         rollup.commit("../x", inserts(rows))
 
 
+def test_rollup_of_words_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from larkspur.llm.queries import ORACLES, token_rollup_words
+
+    rows = [(1, "a b  c\u00a0d", "en", "s", 7), (2, None, "en", "s", 0), (3, "", None, "s", 0), (4, "x\ty\x0bz", None, None, 5), (5, "é", "fr", "s", 1), (6, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sorted(map(str, (r.asDict().items() for r in token_rollup_words(spark, f"file://{tmp_path}").collect())))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(ORACLES["token_rollup_words"])
+    names = [d[0] for d in found.description]
+    assert got == sorted(str(dict(zip(names, r)).items()) for r in found.fetchall())
+
+
 # 5
 
 
