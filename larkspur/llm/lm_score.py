@@ -27,16 +27,16 @@ SHARED = 40
 WIDTH = 16
 SMOOTH = 0.1
 #: Noise clusters that a batch of tokens shares, and noise words that each token has in its cluster.
-NOISE = 32
-NOISE_WORDS = 4
+NOISE = 16
+NOISE_WORDS = 2
 RATE = 1.0
 #: Tokens that stand still for a row beside those that move it: rows met once in a batch move little.
 DAMP = 300
 SHARD_BYTES = 16 << 20
-_TOGETHER = 512
+_TOGETHER = 1024
 _STEP = 8192
 _BLOCK = 4 << 20
-_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("n", pa.int64())])
+_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
 _VALUES = [f"v{i}" for i in range(WIDTH + 1)]
 _MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float64()), *[(c, pa.float64()) for c in _VALUES]])
@@ -129,10 +129,11 @@ class Trainer:
         smooth = v.mass + 1
         total = np.bincount(v.cluster, smooth)
         self.noise = total / total.sum()
-        self.shift = np.log(NOISE * self.noise)
+        self.shift = np.log(NOISE * self.noise).astype(np.float32)
+        self.drawn = np.cumsum(self.noise)
         self.place = np.argsort(v.members, kind="stable")  # of each entry among the members
         self.inside = smooth / total[v.cluster]
-        self.inside_shift = np.log(NOISE_WORDS * self.inside)
+        self.inside_shift = np.log(NOISE_WORDS * self.inside).astype(np.float32)
         self.sums = np.concatenate([[0.0], np.cumsum(self.inside[v.members])])
         self.several = np.diff(v.starts)[v.cluster] > 1
 
@@ -149,7 +150,12 @@ def _sums(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(where, kind="stable")
     row = where[order]
     starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
-    return row[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(row)))
+    return row[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
+
+
+def _unsure(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)): what is missing to certainty."""
+    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
 
 
 @dataclass
@@ -167,7 +173,8 @@ class LogBilinear:
         rng, n, k = np.random.default_rng(seed), len(t.v.mass), len(t.noise)
         bias = [np.log(t.noise), np.log(t.inside)]
         first, second = (np.concatenate([rng.normal(0, 0.1, (len(b), WIDTH)), b[:, None]], 1) for b in bias)
-        return cls(first, second, rng.normal(0, 0.5, (n + 1, WIDTH)), np.stack([np.eye(WIDTH)] * 2) * 0.5)
+        tables = first, second, rng.normal(0, 0.5, (n + 1, WIDTH)), np.stack([np.eye(WIDTH)] * 2) * 0.5
+        return cls(*[x.astype(np.float32) for x in tables])
 
     def copy(self) -> LogBilinear:
         return LogBilinear(self.clusters.copy(), self.targets.copy(), self.context.copy(), self.places.copy())
@@ -175,42 +182,41 @@ class LogBilinear:
     def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """What a context expects, with a 1 behind for the biases."""
         g = self.context[one] @ self.places[0] + self.context[two] @ self.places[1]
-        return np.concatenate([g, np.ones((len(g), 1))], 1)
+        return np.concatenate([g, np.ones((len(g), 1), np.float32)], 1)
 
     def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, t: Trainer, rate: float, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation: tell each token's cluster, and the token in it, from drawn ones."""
         g = self.guess(one, two)
         c = t.v.cluster[token]
-        drawn = rng.choice(len(t.noise), NOISE, p=t.noise)
-        right = np.einsum("ij,ij->i", g, self.clusters[c]) - t.shift[c]
-        wrong = g @ self.clusters[drawn].T - t.shift[drawn]
-        up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
-        back = up[:, None] * self.clusters[c] + down @ self.clusters[drawn]
-        moved = [(np.concatenate([c, drawn]), np.concatenate([up[:, None] * g, down.T @ g]), self.clusters)]
-        weight = np.concatenate([np.ones(len(c)), np.full(NOISE, len(c))])
+        drawn = np.minimum(np.searchsorted(t.drawn, rng.random(NOISE), "right"), len(t.drawn) - 1)
+        own = self.clusters[c]
+        up = _unsure(np.einsum("ij,ij->i", g, own) - t.shift[c])
+        others = self.clusters[drawn]
+        down = _unsure(t.shift[drawn] - g @ others.T)
+        back = up[:, None] * own - down @ others
+        rows, sums, n = _sums(c, up[:, None] * g)
+        step = np.zeros_like(self.clusters)
+        step[rows] = sums
+        np.subtract.at(step, drawn, down.T @ g)
+        met = (np.bincount(drawn, minlength=len(step)) * len(c)).astype(np.float32)
+        met[rows] += n
+        self.clusters += rate * step / (met + DAMP)[:, None]
         some = np.nonzero(t.several[token])[0]
         if len(some):
-            own, inner = token[some], t.inner_noise(token[some], rng)
-            right = np.einsum("ij,ij->i", g[some], self.targets[own]) - t.inside_shift[own]
-            others = self.targets[inner]
-            wrong = np.einsum("ij,ikj->ik", g[some], others) - t.inside_shift[inner]
-            up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(wrong, -30, 30)))
-            back[some] += up[:, None] * self.targets[own] + np.einsum("ik,ikj->ij", down, others)
-            moved.append((np.concatenate([own, inner.ravel()]), np.concatenate([up[:, None] * g[some], (down[:, :, None] * g[some][:, None, :]).reshape(-1, WIDTH + 1)]), self.targets))
+            mine, inner, near = token[some], t.inner_noise(token[some], rng), g[some]
+            own, others = self.targets[mine], self.targets[inner]
+            up = _unsure(np.einsum("ij,ij->i", near, own) - t.inside_shift[mine])
+            down = _unsure(t.inside_shift[inner] - np.einsum("ij,ikj->ik", near, others))
+            back[some] += up[:, None] * own - np.einsum("ik,ikj->ij", down, others)
+            weight = np.concatenate([up[:, None], -down], 1)
+            rows, sums, n = _sums(np.concatenate([mine[:, None], inner], 1).ravel(), (weight[:, :, None] * near[:, None, :]).reshape(-1, WIDTH + 1))
+            self.targets[rows] += rate * sums / (n + DAMP)[:, None]
         back = back[:, :WIDTH]
-        sides = [(one, back @ self.places[0].T), (two, back @ self.places[1].T)]
+        before = np.concatenate([back @ self.places[0].T, back @ self.places[1].T])
         for k, where in enumerate((one, two)):
             self.places[k] += rate / len(token) * self.context[where].T @ back
-        # rare rows take part in few tokens, so they move by their own mean
-        rows, sums, _ = _sums(moved[0][0], moved[0][1])
-        n = np.bincount(moved[0][0], weight, len(self.clusters))[rows]
-        self.clusters[rows] += rate * sums / (n + DAMP)[:, None]
-        for where, values, table in moved[1:]:
-            rows, sums, n = _sums(where, values)
-            table[rows] += rate * sums / (n + DAMP)[:, None]
-        rows, sums, n = _sums(np.concatenate([w for w, _ in sides]), np.concatenate([x for _, x in sides]))
+        # rare rows take part in few tokens, so rows move by their own mean, damped
+        rows, sums, n = _sums(np.concatenate([one, two]), before)
         self.context[rows] += rate * sums / (n + DAMP)[:, None]
 
     def fit(self, batch: tuple[np.ndarray, ...], t: Trainer, rate: float, seed: int) -> None:
@@ -220,7 +226,7 @@ class LogBilinear:
         order = rng.permutation(len(token))
         for at in range(0, len(order), _TOGETHER):
             some = order[at : at + _TOGETHER]
-            self.learn(token[some], one[some], two[some], t, rate * (1 - 0.9 * at / len(order)), rng)
+            self.learn(token[some], one[some], two[some], t, np.float32(rate * (1 - 0.9 * at / len(order))), rng)
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary) -> np.ndarray:
         """log10 probabilities of entries after their contexts: batched products over all clusters, and over all
@@ -255,13 +261,29 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
+def _in_order(shard: pa.Table) -> pa.Table:
+    """A shard's documents sorted by id and text, so that its words have the same numbers each time."""
+    return shard.take(pc.sort_indices(shard, [("doc_id", "ascending"), ("text", "ascending")]))
+
+
 def _count(shard: pa.Table) -> pa.Table:
-    """Distinct words of a shard's documents with their counts in its training documents."""
+    """Distinct words of a shard's documents with their numbers there and their counts in its training documents."""
+    shard = _in_order(shard)
     texts, train = shard.column("text").combine_chunks(), ~np.asarray(shard.column("held_out").combine_chunks())
     words, which, bounds = coded_words(texts)
     n = np.bincount(which, np.repeat(train, np.diff(bounds)), len(words)).astype(np.int64)
     number = shard.column("shard")[0].as_py()
-    return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(n)], schema=_COUNTED)
+    return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n)], schema=_COUNTED)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(cell: pa.Scalar, kind: type) -> np.ndarray:
+    raw = cell.as_py()
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 def _average(learned: DataFrame, fresh: LogBilinear) -> LogBilinear:
@@ -296,9 +318,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shards = size // SHARD_BYTES + 1
     blank = F.coalesce(F.col("text") == "", F.lit(True))
     dealt = rows.where(~blank).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    counted = store(dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, n long"), "words").df
+    counted = store(dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, at int, n long"), "words")
     free_shuffles(spark)  # the texts are dealt to the shards once more below
-    totals = store(counted.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
+    totals = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
+    free_shuffles(spark)
+    known = store(counted.df.join(totals, "word").select("shard", "at", "c"), "counts").df
+    counted.drop()
     free_shuffles(spark)
     n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n_train, v_train = n_words + trained, v_words + (trained > 0)
@@ -320,14 +345,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
         if not len(left):
             return _MADE.empty_table()
         t, begun = start.value
-        left = left.take(pc.sort_indices(left, [("doc_id", "ascending"), ("text", "ascending")]))
+        left = _in_order(left)
         words, which, bounds = coded_words(left.column("text").combine_chunks())
-        entry = t.v.entries(words.to_pylist())
-        at = np.asarray(pc.fill_null(pc.index_in(words, right.column("word").combine_chunks().cast(pa.large_binary())), -1), np.int64)
-        c = np.where(at >= 0, np.append(right.column("c").to_numpy(), 0)[at], 0)
+        entry, c = t.v.entries(words.to_pylist()), np.zeros(len(words), np.int64)
+        c[right.column("at").to_numpy()] = right.column("c").to_numpy()
+        often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
+        rank = np.argsort(often, kind="stable")
+        which, entry, c = rank[which], entry[often], c[often]
         ids, held = left.column("doc_id").combine_chunks(), np.asarray(left.column("held_out").combine_chunks())
         blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which.astype(np.int32), entry.astype(np.int32), c.astype(np.int64)]
-        batches = [record_batch(_MADE, *[[x.tobytes()] for x in blob], *[[None]] * (3 + len(_VALUES)))]
+        batches = [record_batch(_MADE, *[[_packed(x)] for x in blob], *[[None]] * (3 + len(_VALUES)))]
         kept = np.nonzero(~held)[0]
         n = np.diff(bounds)
         if len(kept):
@@ -343,7 +370,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 batches.append(record_batch(_MADE, *[[None] * len(some)] * len(_BLOB), np.full(len(some), part), some, w[some].astype(float), *values))
         return pa.Table.from_batches(batches)
 
-    known = counted.join(totals, "word").select("shard", "word", "c")
     schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w double", *[f"{c} double" for c in _VALUES]])
     made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(train, schema), "trained").df
     free_shuffles(spark)
@@ -358,7 +384,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
-                ids, some, held, bounds, which, entry, c = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in enumerate(kinds))
+                ids, some, held, bounds, which, entry, c = (_unpacked(batch.column(k)[i], kind) for k, kind in enumerate(kinds))
                 n = len(ids)
                 token, one, two, doc = sequences(entry[which].astype(np.int64), bounds, v.end)
                 count = np.full(len(token), trained, np.float64)
