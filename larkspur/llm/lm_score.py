@@ -224,8 +224,9 @@ class LogBilinear:
         token, one, two = batch[:3]
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(token))
-        for at in range(0, len(order), _TOGETHER):
-            some = order[at : at + _TOGETHER]
+        size = min(_TOGETHER, max(64, len(order) // 256))  # a small shard has many steps too
+        for at in range(0, len(order), size):
+            some = order[at : at + size]
             self.learn(token[some], one[some], two[some], t, np.float32(rate * (1 - 0.9 * at / len(order))), rng)
 
     def log10(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary) -> np.ndarray:
