@@ -32,7 +32,7 @@ NOISE_WORDS = 2
 RATE = 1.0
 #: Tokens that stand still for a row beside those that move it: rows met once in a batch move little.
 DAMP = 300
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 10 << 20
 _TOGETHER = 1024
 _STEP = 8192
 _BLOCK = 4 << 20
@@ -67,7 +67,7 @@ def sequences(entries: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.nda
     """
     n = np.diff(bounds) + 1
     ends = np.cumsum(n)
-    token = np.full(int(n.sum()), end, np.int64)
+    token = np.full(int(n.sum()), end, np.int32)
     inner = np.ones(len(token), bool)
     inner[ends - 1] = False
     token[inner] = entries
@@ -233,7 +233,7 @@ class LogBilinear:
         """log10 probabilities of entries after their contexts: batched products over all clusters, and over all
         members of the token's cluster, normalise both steps."""
         base = np.int64(len(v.mass) + 1)
-        pairs, which = np.unique(one * base + two, return_inverse=True)
+        pairs, which = np.unique(one.astype(np.int64) * base + two, return_inverse=True)
         g = np.empty((len(pairs), WIDTH + 1), np.float32)
         total = np.empty(len(pairs), np.float32)
         first = self.clusters.T.astype(np.float32)
@@ -348,13 +348,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
         t, begun = start.value
         left = _in_order(left)
         words, which, bounds = coded_words(left.column("text").combine_chunks())
-        entry, c = t.v.entries(words.to_pylist()), np.zeros(len(words), np.int64)
+        entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.zeros(len(words), np.int64)
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
         often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
         rank = np.argsort(often, kind="stable")
-        which, entry, c = rank[which], entry[often], c[often]
+        which, entry, c = rank[which].astype(np.int32), entry[often], c[often]
         ids, held = left.column("doc_id").combine_chunks(), np.asarray(left.column("held_out").combine_chunks())
-        blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which.astype(np.int32), entry.astype(np.int32), c.astype(np.int64)]
+        del left, right, words, rank, often
+        blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which, entry, c]
         batches = [record_batch(_MADE, *[[_packed(x)] for x in blob], *[[None]] * (3 + len(_VALUES)))]
         kept = np.nonzero(~held)[0]
         n = np.diff(bounds)
@@ -387,7 +388,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
                 ids, some, held, bounds, which, entry, c = (_unpacked(batch.column(k)[i], kind) for k, kind in enumerate(kinds))
                 n = len(ids)
-                token, one, two, doc = sequences(entry[which].astype(np.int64), bounds, v.end)
+                token, one, two, doc = sequences(entry[which], bounds, v.end)
                 count = np.full(len(token), trained, np.float64)
                 count[np.delete(np.arange(len(token)), np.cumsum(np.diff(bounds) + 1) - 1)] = c[which]
                 base = np.bincount(doc, np.log10(count + SMOOTH) - scale, n)
