@@ -32,14 +32,14 @@ NOISE_WORDS = 2
 RATE = 1.0
 #: Tokens that stand still for a row beside those that move it: rows met once in a batch move little.
 DAMP = 300
-SHARD_BYTES = 10 << 20
+SHARD_BYTES = 8 << 20
 _TOGETHER = 1024
 _STEP = 8192
 _BLOCK = 4 << 20
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
 _VALUES = [f"v{i}" for i in range(WIDTH + 1)]
-_MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float64()), *[(c, pa.float64()) for c in _VALUES]])
+_MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float32()), *[(c, pa.float32()) for c in _VALUES]])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -242,7 +242,10 @@ class LogBilinear:
             g[at : at + _STEP] = part
             total[at : at + _STEP] = _log_sum(part @ first)
         c = v.cluster[token]
-        out = np.einsum("ij,ij->i", g[which], first.T[c]) - total[which]
+        out = np.empty(len(token), np.float32)
+        for at in range(0, len(token), _STEP):
+            some = slice(at, at + _STEP)
+            out[some] = np.einsum("ij,ij->i", g[which[some]], first.T[c[some]]) - total[which[some]]
         by = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[by], np.arange(len(v.starts)))
         targets = self.targets.astype(np.float32)
@@ -292,7 +295,8 @@ def _average(learned: DataFrame, fresh: LogBilinear) -> LogBilinear:
 
     The mean is an aggregate by row; as many rows come to the driver as the model has.
     """
-    means = learned.groupBy("part", "row").agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in _VALUES])
+    weight = F.col("w").cast("double")
+    means = learned.groupBy("part", "row").agg(*[(F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in _VALUES])
     model = fresh.copy()
     tables = [model.clusters, model.targets, model.context, model.places.reshape(-1, WIDTH)]
     for r in means.collect():
@@ -323,7 +327,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)  # the texts are dealt to the shards once more below
     totals = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
     free_shuffles(spark)
-    known = store(counted.df.join(totals, "word").select("shard", "at", "c"), "counts").df
+    # a word that no other shard's training documents have is known to its shard
+    known = store(counted.df.join(totals, "word").where("c <> n").select("shard", "at", "c"), "counts").df
     counted.drop()
     free_shuffles(spark)
     n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -348,12 +353,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
         t, begun = start.value
         left = _in_order(left)
         words, which, bounds = coded_words(left.column("text").combine_chunks())
-        entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.zeros(len(words), np.int64)
+        held = np.asarray(left.column("held_out").combine_chunks())
+        entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.bincount(which, np.repeat(~held, np.diff(bounds)), len(words)).astype(np.int64)
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
         often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
         rank = np.argsort(often, kind="stable")
         which, entry, c = rank[which].astype(np.int32), entry[often], c[often]
-        ids, held = left.column("doc_id").combine_chunks(), np.asarray(left.column("held_out").combine_chunks())
+        ids = left.column("doc_id").combine_chunks()
         del left, right, words, rank, often
         blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which, entry, c]
         batches = [record_batch(_MADE, *[[_packed(x)] for x in blob], *[[None]] * (3 + len(_VALUES)))]
@@ -368,11 +374,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
             seen = [np.bincount(t.v.cluster[token], minlength=len(mine.clusters)), np.bincount(token, minlength=len(mine.targets)), np.bincount(one, minlength=len(mine.context)) + np.bincount(two, minlength=len(mine.context)), np.full(2 * WIDTH, len(token))]
             for part, (table, w) in enumerate(zip((mine.clusters, mine.targets, mine.context, mine.places.reshape(-1, WIDTH)), seen, strict=True)):
                 some = np.nonzero(w)[0]
-                values = [table[some, i] if i < table.shape[1] else np.zeros(len(some)) for i in range(WIDTH + 1)]
-                batches.append(record_batch(_MADE, *[[None] * len(some)] * len(_BLOB), np.full(len(some), part), some, w[some].astype(float), *values))
+                values = [table[some, i] if i < table.shape[1] else np.zeros(len(some), np.float32) for i in range(WIDTH + 1)]
+                batches.append(record_batch(_MADE, *[[None] * len(some)] * len(_BLOB), np.full(len(some), part), some, w[some].astype(np.float32), *values))
         return pa.Table.from_batches(batches)
 
-    schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w double", *[f"{c} double" for c in _VALUES]])
+    schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w float", *[f"{c} float" for c in _VALUES]])
     made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(train, schema), "trained").df
     free_shuffles(spark)
     model = _average(made.where("part is not null").select("part", "row", "w", *_VALUES), fresh)

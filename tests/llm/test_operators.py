@@ -17,7 +17,7 @@ from larkspur.llm.common import ascii_words, store
 from larkspur.llm.components import connected_components
 from larkspur.llm.decontaminate import contamination, drop_contaminated
 from larkspur.llm.embedding_dedup import embedding_groups
-from larkspur.llm.html_extract import extract_main_text
+from larkspur.llm.html_extract import extract_main_text, main_text
 from larkspur.llm.language_id import identify, keep_identified
 from larkspur.llm.license_scan import scan_licenses
 from larkspur.llm.lm_score import score_texts
@@ -320,6 +320,19 @@ def test_pages(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrappers_decide_and_may_be_of_any_size(spark, monkeypatch):
+    """Boilerplate without telling names: only the wrapper knows it; joined or broadcast, the result is the same."""
+    page = "<html><body><div><span>Site {h}</span></div><div><p>Text {n} of the page</p><p>All rights belong to {h}</p></div><div>End of {h}</div></body></html>"
+    rows = [(10 * h + n, f"http://h{h}.org/{n}", page.format(h=h, n=n)) for h in range(3) for n in range(6)] + [(99, "http://lone.org/", page.format(h=9, n=1)), (100, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()}
+    assert all(got[10 * h + n] == f"Text {n} of the page" for h in range(3) for n in range(6)) and got[99].startswith("Site 9") and got[100] == ""
+    plain = {i: main_text(html) for i, _, html in rows}
+    assert sum(got[i] != plain[i] for i in got) == 18
+    monkeypatch.setattr("larkspur.llm.html_extract.BROADCAST_BYTES", -1)
+    assert {r["page_id"]: r["text"] for r in extract_main_text(frame).collect()} == got
+
+
 def test_pages_of_a_host_with_two_layouts(spark):
     one = "<html><body><div class=a><p>Hello from one</p><div class=b><h1>T{0}</h1><p>Own {0}</p></div>{1}</div></body></html>"
     two = "<html><body><section class=c><div>Hello from two</div><table><tr><td>Own {0}</td></tr></table></section>{1}</body></html>"
