@@ -22,7 +22,7 @@ from .common import blocks_of, free_shuffles, id_crc, record_batch, small_batche
 
 #: Occurrences from which a word has vectors of its own, and how many words have at most: their vectors are broadcast.
 LEAST_COUNT = 40
-MOST_WORDS = 1 << 14
+MOST_WORDS = 1 << 12
 SHARED = 40
 WIDTH = 16
 SMOOTH = 0.1
@@ -35,6 +35,8 @@ DAMP = 300
 SHARD_BYTES = 8 << 20
 _TOGETHER = 1024
 _STEP = 8192
+#: A word's number in its shard stands above its count in one number.
+_COUNT_BITS = 40
 _BLOCK = 4 << 20
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
@@ -328,7 +330,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     totals = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
     free_shuffles(spark)
     # a word that no other shard's training documents have is known to its shard
-    known = store(counted.df.join(totals, "word").where("c <> n").select("shard", "at", "c"), "counts").df
+    known = store(counted.df.join(totals, "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told")), "counts").df
     counted.drop()
     free_shuffles(spark)
     n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -355,7 +357,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
         words, which, bounds = coded_words(left.column("text").combine_chunks())
         held = np.asarray(left.column("held_out").combine_chunks())
         entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.bincount(which, np.repeat(~held, np.diff(bounds)), len(words)).astype(np.int64)
-        c[right.column("at").to_numpy()] = right.column("c").to_numpy()
+        told = right.column("told").to_numpy()
+        c[told >> _COUNT_BITS] = told & ((1 << _COUNT_BITS) - 1)
         often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
         rank = np.argsort(often, kind="stable")
         which, entry, c = rank[which].astype(np.int32), entry[often], c[often]
