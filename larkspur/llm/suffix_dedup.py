@@ -30,7 +30,7 @@ _CHOICES = SPAN - GRAM + 1
 #: Contexts of an anchor beyond which they are dealt to several shards.
 CROWD = 10_000
 #: Bytes of contexts in a shard, about, and windows in a range of digests in which crowded shards are merged, about.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 RANGE_WINDOWS = 100_000
 #: Parts in which the contexts of a hot anchor are compared before those that are first in their part meet.
 PARTS = 64
@@ -200,18 +200,21 @@ def _search_shard(table: pa.Table, range_bits: int, salt: bytes) -> Iterator[pa.
     valid = np.zeros(len(raw), bool)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         valid[a : max(a, b - SPAN + 1)] = True  # a stretch shorter than a window has none
-    doc, row = np.repeat(table.column("doc_id").to_numpy(), size), np.repeat(table.column("row").to_numpy(), size)
-    place = np.repeat(table.column("start").to_numpy() - bounds[:-1], size) + np.arange(len(raw))
+    which = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    docs, rows, starts = (table.column(c).to_numpy() for c in ("doc_id", "row", "start"))
     at, group = window_groups(raw, valid, SPAN)
-    order, late = _not_first(group, doc[at], row[at], place[at])
-    cut = at[order[late]]
+    own = which[at]
+    del which, valid
+    doc, row, place = docs[own], rows[own], starts[own] - bounds[own] + at
+    order, late = _not_first(group, doc, row, place)
+    cut = order[late]
     found = _merge_starts(doc[cut], row[cut], place[cut])
     nothing = [None] * len(found[0])
     yield record_batch(_FOUND, *found, nothing, nothing)
     if table.column("crowded")[0].as_py():
-        kept = at[order[~late]]
+        kept = order[~late]
         run = np.empty(len(kept), _RUN)
-        run["a"], run["b"] = digests(raw.tobytes(), kept, kept + SPAN, salt).T
+        run["a"], run["b"] = digests(raw.tobytes(), at[kept], at[kept] + SPAN, salt).T
         run["doc_id"], run["row"], run["start"] = doc[kept], row[kept], place[kept]
         run = run[np.lexsort((run["b"], run["a"]))]
         edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits) if range_bits else np.zeros(0, np.uint64)
