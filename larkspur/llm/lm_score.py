@@ -22,13 +22,13 @@ from .common import blocks_of, free_shuffles, id_crc, record_batch, small_batche
 
 #: Occurrences from which a word has vectors of its own, and how many words have at most: their vectors are broadcast.
 LEAST_COUNT = 40
-MOST_WORDS = 1 << 12
+MOST_WORDS = 1 << 14
 SHARED = 40
 WIDTH = 16
 SMOOTH = 0.1
 #: Noise clusters that a batch of tokens shares, and noise words that each token has in its cluster.
-NOISE = 16
-NOISE_WORDS = 2
+NOISE = 32
+NOISE_WORDS = 4
 RATE = 1.0
 #: Tokens that stand still for a row beside those that move it: rows met once in a batch move little.
 DAMP = 300
