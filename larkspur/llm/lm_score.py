@@ -147,9 +147,14 @@ class Trainer:
         return self.v.members[np.clip(np.searchsorted(self.sums, at, "right") - 1, lo[:, None], hi[:, None] - 1)]
 
 
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """A stable order of numbers; those under 65,536 are sorted as 16 bits, by radix."""
+    return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
+
+
 def _sums(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of the values that belong to each, and their number."""
-    order = np.argsort(where, kind="stable")
+    order = _order(where)
     row = where[order]
     starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
     return row[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
@@ -248,7 +253,7 @@ class LogBilinear:
         for at in range(0, len(token), _STEP):
             some = slice(at, at + _STEP)
             out[some] = np.einsum("ij,ij->i", g[which[some]], first.T[c[some]]) - total[which[some]]
-        by = np.argsort(c, kind="stable")
+        by = _order(c)
         edges = np.searchsorted(c[by], np.arange(len(v.starts)))
         targets = self.targets.astype(np.float32)
         for k in range(len(v.starts) - 1):
