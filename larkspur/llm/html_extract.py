@@ -6,8 +6,9 @@ import html as entities
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from hashlib import blake2b
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,11 @@ APART_OUTSIDE = {"header", "footer", "masthead", "topbar", "toolbar", "site-head
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style xmp noembed noframes iframe".split()}
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
-#: Pairs of siblings that an alignment weighs at most; longer unlike stretches of siblings stay unaligned.
-PAIRS = 4_000_000
+#: Cells of a table that an alignment holds at once; larger tables are worked through by parts, with the same result.
+CELLS = 4_000_000
+#: Pairs of shapes from which their sizes are worked out together, for shapes with so few children.
+TOGETHER = 256
+FEW_KIDS = 64
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _APART_WORD = re.compile(r"[\s_-]+")
@@ -224,71 +228,153 @@ class Shapes:
             hi += 1
         return lo, hi
 
-    def weights(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
-        """Sizes of the matches of two lists of shapes, all known by now, by pairs."""
+    def partners(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int, list[int], list[int]]:
+        """The middle of two lists, and the places there of shapes whose label the other middle has too."""
+        lo, hi = self.middle(xs, ys)
+        labels, end_x, end_y = self.labels, len(xs) - hi, len(ys) - hi
+        both = {labels[k] for k in xs[lo:end_x]} & {labels[k] for k in ys[lo:end_y]}
+        if not both:
+            return lo, hi, [], []
+        return lo, hi, [i for i in range(lo, end_x) if labels[xs[i]] in both], [j for j in range(lo, end_y) if labels[ys[j]] in both]
+
+    def weights(self, xs: list[int], ys: list[int]) -> Generator[tuple[int, int] | Generator, object, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Sizes of the matches of distinct shapes of two lists, and which of them each place has. Asks for what it lacks."""
         ones, which = np.unique(xs, return_inverse=True)
         twos, other = np.unique(ys, return_inverse=True)
-        small = np.array([[self.size_known(a, b) for b in twos.tolist()] for a in ones.tolist()], np.int64).reshape(len(ones), len(twos))
-        return small[which][:, other]
-
-    def size_known(self, a: int, b: int) -> int:
-        if a == b:
-            return self.sizes[a]
-        return self.matched[a, b] if self.labels[a] == self.labels[b] else 0
+        small = np.zeros((len(ones), len(twos)), np.int32)
+        groups = defaultdict(lambda: ([], []))
+        for side, shapes in enumerate((ones.tolist(), twos.tolist())):
+            for place, shape in enumerate(shapes):
+                groups[self.labels[shape]][side].append((place, shape))
+        for left, right in groups.values():
+            if len(left) * len(right) >= TOGETHER:
+                few = [(j, q) for j, q in right if len(self.kids[q]) <= FEW_KIDS]
+                if few:
+                    yield self.batch(left, few, small)
+                right = [(j, q) for j, q in right if len(self.kids[q]) > FEW_KIDS]
+            for i, p in left:
+                for j, q in right:
+                    known = self.sizes[p] if p == q else self.matched.get((p, q))
+                    small[i, j] = (yield p, q) if known is None else known
+        return small, which, other
+
+    def batch(self, left: list[tuple[int, int]], right: list[tuple[int, int]], small: np.ndarray) -> Generator[Generator, tuple, None]:
+        """Put the sizes of the matches of shapes of one label into a table: each shape of the left with all of the right
+        at once, whose children are aligned side by side."""
+        lists = [self.kids[q] for _, q in right]
+        places = np.array([j for j, _ in right])
+        later = sorted({k for kids in lists for k in kids})
+        number = {k: i for i, k in enumerate(later)}
+        table = np.full((len(lists), max(map(len, lists))), len(later))
+        for i, kids in enumerate(lists):
+            table[i, : len(kids)] = [number[k] for k in kids]
+        at = 0
+        while at < len(left):
+            earlier, some = set(), at
+            while some < len(left) and (some == at or len(earlier | set(self.kids[left[some][1]])) * len(later) <= CELLS):
+                earlier |= set(self.kids[left[some][1]])
+                some += 1
+            own, place = np.zeros((len(earlier), len(later) + 1), np.int32), {k: i for i, k in enumerate(sorted(earlier))}
+            if earlier and later:
+                own[:, :-1] = (yield self.weights(sorted(earlier), later))[0]
+            for i, p in left[at:some]:
+                row = np.zeros((len(lists), table.shape[1] + 1), np.int32)
+                for k in self.kids[p]:
+                    row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + own[place[k]][table]), axis=1)
+                small[i, places] = 1 + row[:, -1]
+            at = some
+
+    def parts(self, xs: list[int], ys: list[int]) -> list[slice]:
+        """Stretches of the first list whose weights are held at once."""
+        ones, twos = len(set(xs)), len(set(ys))
+        step = len(xs) if ones * twos <= CELLS else max(1, CELLS // twos)
+        return [slice(at, at + step) for at in range(0, len(xs), step)]
+
+    def sizing(self, x: int, y: int) -> Generator[tuple[int, int] | Generator, object, int]:
+        """Simple tree matching of two unlike shapes of one label. Asks for the sizes of pairs that aren't known."""
+        xs, ys = self.kids[x], self.kids[y]
+        lo, hi, left, right = self.partners(xs, ys)
+        total = 1 + sum(self.sizes[k] for k in xs[:lo]) + sum(self.sizes[k] for k in xs[len(xs) - hi :])
+        if left:
+            xs, ys = [xs[i] for i in left], [ys[j] for j in right]
+            row = np.zeros(len(ys) + 1, np.int64)
+            for part in self.parts(xs, ys):
+                small, which, other = yield from self.weights(xs[part], ys)
+                for i in which.tolist():
+                    row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + small[i][other]))
+            total += int(row[-1])
+        if len(self.matched) >= self.MOST:  # only saves work: who asks gets the answer
+            self.matched.clear()
+        self.matched[x, y] = total
+        return total
+
+    def answer(self, task: Generator):
+        """What a task returns. Tasks wait on a stack for the pairs and tasks that they ask for, so depth is no matter."""
+        stack, got = [task], None
+        while stack:
+            try:
+                wanted = stack[-1].send(got)
+            except StopIteration as done:
+                stack.pop()
+                got = done.value
+            else:
+                stack.append(self.sizing(*wanted) if isinstance(wanted, tuple) else wanted)
+                got = None
+        return got
 
     def size(self, a: int, b: int) -> int:
         """Simple tree matching: the size of the largest top-down match of two shapes that keeps order.
 
-        The roots must have one label; their children are aligned by the sizes of their own matches. Pairs wait on a
-        stack for the pairs that they need, so depth is no matter.
+        The roots must have one label; their children are aligned by the sizes of their own matches.
         """
-        stack = [(a, b)]
-        while stack:
-            x, y = stack[-1]
-            if x == y or self.labels[x] != self.labels[y] or (x, y) in self.matched:
-                stack.pop()
-                continue
-            xs, ys = self.kids[x], self.kids[y]
-            lo, hi = self.middle(xs, ys)
-            total = 1 + sum(self.sizes[k] for k in xs[:lo]) + sum(self.sizes[k] for k in xs[len(xs) - hi :])
-            xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
-            if xs and ys and len(xs) * len(ys) <= PAIRS:
-                need = [(p, q) for p in set(xs) for q in set(ys) if p != q and self.labels[p] == self.labels[q] and (p, q) not in self.matched]
-                if need:
-                    stack.extend(need)
-                    continue
-                row = np.zeros(len(ys) + 1, np.int64)
-                for own in self.weights(xs, ys):
-                    row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + own))
-                total += int(row[-1])
-            self.matched[x, y] = total
-            stack.pop()
-        return self.size_known(a, b)
+        if a == b:
+            return self.sizes[a]
+        if self.labels[a] != self.labels[b]:
+            return 0
+        known = self.matched.get((a, b))
+        return self.answer(self.sizing(a, b)) if known is None else known
+
+    def filled(self, first: np.ndarray, xs: list[int], ys: list[int]) -> Iterator[np.ndarray]:
+        """Rows of the table of best sums below a first one."""
+        row = first
+        for part in self.parts(xs, ys):
+            small, which, other = self.answer(self.weights(xs[part], ys))
+            for i in which.tolist():
+                below = np.empty_like(row)
+                below[0] = 0
+                below[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + small[i][other]))
+                row = below
+                yield row
 
     def aligned(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
-        """Places of two lists of shapes that a largest match pairs."""
-        lo, hi = self.middle(xs, ys)
-        pairs = [(k, k) for k in range(lo)]
-        inner_x, inner_y = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
-        if inner_x and inner_y and len(inner_x) * len(inner_y) <= PAIRS:
-            for p in set(inner_x):
-                for q in set(inner_y):
-                    self.size(p, q)
-            own = self.weights(inner_x, inner_y)
-            best = np.zeros((len(inner_x) + 1, len(inner_y) + 1), np.int32)
-            for i, w in enumerate(own):
-                best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + w))
-            i, j, back = len(inner_x), len(inner_y), []
+        """Places of two lists of shapes that a largest match pairs.
+
+        A table of more than CELLS is filled once from the top, of which every so many rows are kept, and then again
+        from each of these while the match is followed from the end.
+        """
+        lo, hi, left, right = self.partners(xs, ys)
+        pairs, back = [(k, k) for k in range(lo)], []
+        if left:
+            inner_x, inner_y = [xs[i] for i in left], [ys[j] for j in right]
+            i, j = len(inner_x), len(inner_y)
+            step = max(isqrt(i) + 1, CELLS // (j + 1))
+            kept = [np.zeros(j + 1, np.int32)]
+            if i > step:
+                last = (i - 1) // step * step
+                kept += [row for k, row in enumerate(self.filled(kept[0], inner_x[:last], inner_y), 1) if k % step == 0]
             while i and j:
-                if best[i, j] == best[i - 1, j]:
-                    i -= 1
-                elif best[i, j] == best[i, j - 1]:
-                    j -= 1
-                else:
-                    back.append((lo + i - 1, lo + j - 1))
-                    i, j = i - 1, j - 1
-            pairs += reversed(back)
-        return pairs + [(len(xs) - k, len(ys) - k) for k in range(hi, 0, -1)]
+                top = (i - 1) // step * step
+                first = kept[top // step][: j + 1]
+                best = [first, *self.filled(first, inner_x[top:i], inner_y[:j])]
+                while i > top and j:
+                    if best[i - top][j] == best[i - top - 1][j]:
+                        i -= 1
+                    elif best[i - top][j] == best[i - top][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        back.append((left[i], right[j]))
+        return pairs + back[::-1] + [(len(xs) - k, len(ys) - k) for k in range(hi, 0, -1)]
 
 
 _SHAPES = Shapes()
@@ -302,15 +388,16 @@ def match_trees(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None,
     shapes.name(b)
     if a.label != b.label:
         return 0
-    if pairs is not None:
-        stack = [(a, b)]
-        while stack:
-            x, y = stack.pop()
-            pairs.append((x, y))
-            xs, ys = x.elements(), y.elements()
-            if xs and ys:
-                stack.extend((xs[i], ys[j]) for i, j in reversed(shapes.aligned(tuple(k.shape for k in xs), tuple(k.shape for k in ys))))
-    return shapes.size(a.shape, b.shape)
+    if pairs is None:
+        return shapes.size(a.shape, b.shape)
+    before, stack = len(pairs), [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        pairs.append((x, y))
+        xs, ys = x.elements(), y.elements()
+        if xs and ys:
+            stack.extend((xs[i], ys[j]) for i, j in reversed(shapes.aligned(tuple(k.shape for k in xs), tuple(k.shape for k in ys))))
+    return len(pairs) - before
 
 
 def numbered(root: Node) -> list[Node]:

@@ -299,6 +299,38 @@ def test_tree_matching_against_the_plain_recursion():
     assert H.match_trees(one, two, []) == 5
 
 
+def test_long_stretches_of_unlike_siblings_are_aligned(monkeypatch):
+    """Siblings of more than 4 million pairs: as large a match as the plain table, in parts or as a whole."""
+    rng = random.Random(9)
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<ul><li>{}</li><li>x</li></ul>", "<h2><b>{}</b></h2>"]
+    a, b = (H.parse(first + "".join(rng.choice(kinds).format(i) for i in range(2100)) + last) for first, last in (("<div>1</div>", "<hr>"), ("<hr>", "<div>1</div>")))
+    assert len(a.elements()) * len(b.elements()) > 4_000_000
+    weigh = {(x.shape, y.shape): brute_match(x, y) for t in (a, b) if H._SHAPES.name(t) is None for x in a.elements() for y in b.elements()[:60]}
+    row = [0] * (len(b.elements()) + 1)
+    for x in a.elements():
+        above, row = row, [0]
+        for j, y in enumerate(b.elements()):
+            row.append(max(above[j + 1], row[j], above[j] + weigh.get((x.shape, y.shape), 0)))
+    whole = []
+    assert H.match_trees(a, b, whole) == 1 + row[-1] == len(whole) == H.match_trees(a, b)
+    monkeypatch.setattr(H, "CELLS", 7)
+    monkeypatch.setattr(H.Shapes, "MOST", 3)
+    pairs = []
+    assert H.match_trees(a, b, pairs, H.Shapes()) == len(pairs) == H.match_trees(a, b, None, H.Shapes())
+    assert [(id(x), id(y)) for x, y in pairs] == [(id(x), id(y)) for x, y in whole]
+    rows = lambda n: H.parse("".join("<ul>" + "".join(rng.choice(["<li>x", "<li><b>y</b>", "<p>z</p>", "<ul><li>x<li>y</ul>"]) for _ in range(rng.randint(0, 6))) + "</ul>" for _ in range(n)))
+    for _ in range(20):
+        a, b = rows(rng.randint(0, 25)), rows(rng.randint(0, 25))
+        found = []
+        for cells, together, few in ((4_000_000, 256, 64), (4_000_000, 1, 64), (50, 1, 3), (9, 10_000, 0)):
+            for name, value in (("CELLS", cells), ("TOGETHER", together), ("FEW_KIDS", few)):
+                monkeypatch.setattr(H, name, value)
+            pairs = []
+            assert H.match_trees(a, b, pairs, H.Shapes()) == H.match_trees(a, b, None, H.Shapes()) == brute_match(a, b) == len(pairs)
+            found.append([(id(x), id(y)) for x, y in pairs])
+        assert found[0] == found[1] == found[2] == found[3]
+
+
 def test_hostile_pages_take_linear_time_and_no_recursion():
     import time
 
