@@ -41,6 +41,8 @@ APART_OUTSIDE = {"header", "footer", "masthead", "topbar", "toolbar", "site-head
 RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style xmp noembed noframes iframe".split()}
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
+#: A whole tag of common form; whatever else is a tag is found step by step. The bounds keep a failed try short.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,40}+)(?=[\s/>])((?:[^>\"']{0,200}+(?:\"[^\"]{0,200}+\"|'[^']{0,200}+')){0,8}+[^>\"']{0,200}+)>")
 #: Cells of a table that an alignment holds at once; larger tables are worked through by parts, with the same result.
 CELLS = 4_000_000
 #: Pairs of shapes from which their sizes are worked out together, for shapes with so few children.
@@ -71,10 +73,12 @@ class Node:
         self.label = f"{tag}.{marks[0]}" if marks else tag
 
     def elements(self) -> list[Node]:
-        return [k for k in self.kids if not isinstance(k, str)]
+        return [k for k in self.kids if k.__class__ is not str]
 
     def own_text(self) -> str:
         """Its texts and those of inline elements inside, as one line."""
+        if len(self.kids) < 2 and (not self.kids or self.kids[0].__class__ is str):
+            return " ".join(self.kids[0].split()) if self.kids else ""
         out, stack = [], [*reversed(self.kids)]
         while stack:
             k = stack.pop()
@@ -85,6 +89,16 @@ class Node:
         return " ".join("".join(out).split())
 
 
+class Page(Node):
+    """A page as a whole: the element around all others, and which numbering of shapes its elements have."""
+
+    __slots__ = ("named",)
+
+    def __init__(self):
+        super().__init__("#page")
+        self.named = None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
     """(kind, name, attributes, text) of a page in one pass: kind is text, open or close.
 
@@ -100,6 +114,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
             return
         if start > at:
             yield "text", "", "", page[at:start]
+        if quotes and (whole := _TAG.match(page, start)):
+            ending, tag, attributes = whole.groups()
+            tag, at = tag.lower(), whole.end()
+            yield ("close" if ending else "open"), tag, attributes, ""
+            if tag in RAW and not ending:
+                close = RAW[tag].search(page, at)
+                yield "close", tag, "", ""
+                at = close.end() if close else n
+            continue
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = end + 3 if end >= 0 else n
@@ -143,9 +166,8 @@ class _Open:
         self.stack.append(node)
 
     def cut(self, at: int) -> None:
-        for node in reversed(self.stack[at:]):
-            self.where[node.tag].pop()
-        del self.stack[at:]
+        while len(self.stack) > at:
+            self.where[self.stack.pop().tag].pop()
 
     def top(self, tags: set[str]) -> int:
         return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
@@ -162,19 +184,19 @@ _P_SCOPE = {"td", "th", "table", "article", "section", "div", "button", "li"}
 
 def parse(page: str | None) -> Node:
     """A tree of a page; open ends, stray ends and missing ends are mended as browsers do in simple cases."""
-    root = Node("#page")
+    root = Page()
     opened = _Open(root)
-    stack = opened.stack
+    stack, where = opened.stack, opened.where
     for kind, tag, attributes, text in tokens(page or ""):
         if kind == "text":
             stack[-1].kids.append(entities.unescape(text))
         elif kind == "close":
-            if at := opened.top({tag}):
-                opened.cut(at)
+            if places := where.get(tag):
+                opened.cut(places[-1])
         elif tag == "br":
             stack[-1].kids.append(" ")
         else:
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and where.get("p"):
                 opened.close({"p"}, _P_SCOPE)
             if tag in SIBLINGS:
                 opened.close(SIBLINGS[tag], SCOPES[tag])
@@ -194,6 +216,7 @@ class Shapes:
         self.clear()
 
     def clear(self) -> None:
+        self.mark = object()
         self.known: dict[tuple, int] = {}
         self.labels: list[str] = []
         self.kids: list[tuple[int, ...]] = []
@@ -202,13 +225,18 @@ class Shapes:
 
     def name(self, root: Node) -> None:
         """Give every element of a tree the number of its shape, children before parents."""
+        if root.__class__ is Page:
+            if root.named is self.mark:
+                return
+            root.named = self.mark
         order, stack = [], [root]
         while stack:
             node = stack.pop()
-            order.append(node)
-            stack.extend(node.elements())
-        for node in reversed(order):
-            kids = tuple(k.shape for k in node.elements())
+            inner = [k for k in node.kids if k.__class__ is not str]
+            order.append((node, inner))
+            stack += inner
+        for node, inner in reversed(order):
+            kids = tuple([k.shape for k in inner])
             key = node.label, kids
             if (number := self.known.get(key)) is None:
                 number = self.known[key] = len(self.labels)
@@ -357,6 +385,22 @@ class Shapes:
         if left:
             inner_x, inner_y = [xs[i] for i in left], [ys[j] for j in right]
             i, j = len(inner_x), len(inner_y)
+            if i * j < TOGETHER:  # a small table is made quickest without arrays
+                best = [[0] * (j + 1)]
+                for p in inner_x:
+                    above, row = best[-1], [0]
+                    for k, q in enumerate(inner_y):
+                        row.append(max(above[k + 1], row[k], above[k] + self.size(p, q)))
+                    best.append(row)
+                while i and j:
+                    if best[i][j] == best[i - 1][j]:
+                        i -= 1
+                    elif best[i][j] == best[i][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        back.append((left[i], right[j]))
+                return pairs + back[::-1] + [(len(xs) - k, len(ys) - k) for k in range(hi, 0, -1)]
             step = max(isqrt(i) + 1, CELLS // (j + 1))
             kept = [np.zeros(j + 1, np.int32)]
             if i > step:
@@ -394,9 +438,13 @@ def match_trees(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None,
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        xs, ys = x.elements(), y.elements()
-        if xs and ys:
-            stack.extend((xs[i], ys[j]) for i, j in reversed(shapes.aligned(tuple(k.shape for k in xs), tuple(k.shape for k in ys))))
+        kids, others = shapes.kids[x.shape], shapes.kids[y.shape]
+        if kids and others:
+            xs, ys = x.elements(), y.elements()
+            if x.shape == y.shape:
+                stack.extend(zip(reversed(xs), reversed(ys), strict=True))
+            else:
+                stack.extend([(xs[i], ys[j]) for i, j in reversed(shapes.aligned(kids, others))])
     return len(pairs) - before
 
 
@@ -407,7 +455,7 @@ def numbered(root: Node) -> list[Node]:
         node = stack.pop()
         node.number = len(out)
         out.append(node)
-        stack.extend(reversed(node.elements()))
+        stack += [k for k in reversed(node.kids) if k.__class__ is not str]
     return out
 
 
@@ -415,6 +463,11 @@ def _digest(*parts: bytes) -> int:
     return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "big", signed=True)
 
 
+#: Paths worked out before, by the path above and a label.
+_PATHS: dict[tuple[int, str], int] = {}
+_MOST_PATHS = 20_000
+
+
 def outline(root: Node) -> tuple[int, list[tuple[Node, int, int]]]:
     """The layout of a page, and its blocks with text: (block, path, path and text).
 
@@ -423,13 +476,16 @@ def outline(root: Node) -> tuple[int, list[tuple[Node, int, int]]]:
     """
     layout, found, stack = set(), [], [(root, 0, 0)]
     while stack:
-        node, path, depth = stack.pop()
-        path = zlib.crc32(b"/" + _DIGITS.sub("0", node.label).encode("utf-8", "surrogatepass"), path)
+        node, above, depth = stack.pop()
+        if (path := _PATHS.get((above, node.label))) is None:
+            if len(_PATHS) >= _MOST_PATHS:
+                _PATHS.clear()
+            path = _PATHS[above, node.label] = zlib.crc32(b"/" + _DIGITS.sub("0", node.label).encode("utf-8", "surrogatepass"), above)
         if node.tag in SECTIONS and depth <= LAYOUT_DEPTH:
             layout.add(path)
         if node.tag in BLOCKS and (text := node.own_text()):
             found.append((node, path, _digest(b"%d" % path, text.encode("utf-8", "surrogatepass"))))
-        stack.extend((k, path, depth + 1) for k in node.elements())
+        stack.extend([(k, path, depth + 1) for k in node.kids if k.__class__ is not str])
     return _digest(*(b"%d" % x for x in sorted(layout))), found
 
 

@@ -351,6 +351,19 @@ def test_hostile_pages_take_linear_time_and_no_recursion():
     assert len(big) > 10_000_000 and H.main_text(big).count("\n") == 329_999
 
 
+def test_tags_of_common_and_other_forms(monkeypatch):
+    """Tags read as a whole give what the steps give."""
+    long = "x" * 300
+    pages = ["<p>a</p >b<BR/>", f"<a href='{long}' title=\">\">x</a>", f"<{long}>y</{long}>", '<p t="a>b" u=\'"\'>z</p>', '<a href="q>x</a>', "<a" + " b='c'" * 12 + ">d", '<q"w>e', "<script a='>'>f</p></script >g", "<a/b>h<i", "<p " + "y" * 500 + ">k"]
+    common = H._TAG
+    for page in pages:
+        whole = list(H.tokens(page))
+        with monkeypatch.context() as m:
+            m.setattr(H, "_TAG", H.re.compile("(?!)"))
+            assert list(H.tokens(page)) == whole
+    assert common.match(pages[3]) and not common.match(pages[1]) and not common.match(pages[5])
+
+
 def test_licences():
     assert len({d for d, _, _ in catalogue()}) >= len(KNOWN)
     mit = KNOWN["MIT"][0]
