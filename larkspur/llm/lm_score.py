@@ -35,10 +35,12 @@ DAMP = 300
 SHARD_BYTES = 8 << 20
 _TOGETHER = 1024
 _STEP = 8192
-#: A word's number in its shard stands above its count in one number.
+#: A word's number in its shard stands above its count in one number; so many of these a task packs at once.
 _COUNT_BITS = 40
+_TOLD = 1 << 20
 _BLOCK = 4 << 20
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
+_CELLS = pa.schema([("shard", pa.int64()), ("told", pa.binary())])
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
 _VALUES = [f"v{i}" for i in range(WIDTH + 1)]
 _MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float32()), *[(c, pa.float32()) for c in _VALUES]])
@@ -152,12 +154,20 @@ def _order(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
-def _sums(where: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of the values that belong to each, and their number."""
+def _sums(where: np.ndarray, values: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of the values that belong to each, and their number.
+
+    weight: factors of values of which several rows in a run share one; the values are then one for each run.
+    """
     order = _order(where)
     row = where[order]
     starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
-    return row[starts], np.add.reduceat(values[order], starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
+    if weight is None:
+        own = values[order]
+    else:
+        own = values[order // (len(where) // len(values))]
+        own *= weight[order, None]
+    return row[starts], np.add.reduceat(own, starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
 
 
 def _unsure(x: np.ndarray) -> np.ndarray:
@@ -188,12 +198,18 @@ class LogBilinear:
 
     def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """What a context expects, with a 1 behind for the biases."""
-        g = self.context[one] @ self.places[0] + self.context[two] @ self.places[1]
-        return np.concatenate([g, np.ones((len(g), 1), np.float32)], 1)
+        return self.expected(self.context[one], self.context[two])
+
+    def expected(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """guess from the vectors of the context."""
+        g = np.ones((len(one), WIDTH + 1), np.float32)
+        np.add(one @ self.places[0], two @ self.places[1], out=g[:, :WIDTH])
+        return g
 
     def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, t: Trainer, rate: float, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation: tell each token's cluster, and the token in it, from drawn ones."""
-        g = self.guess(one, two)
+        seen = self.context[one], self.context[two]
+        g = self.expected(*seen)
         c = t.v.cluster[token]
         drawn = np.minimum(np.searchsorted(t.drawn, rng.random(NOISE), "right"), len(t.drawn) - 1)
         own = self.clusters[c]
@@ -216,12 +232,12 @@ class LogBilinear:
             down = _unsure(t.inside_shift[inner] - np.einsum("ij,ikj->ik", near, others))
             back[some] += up[:, None] * own - np.einsum("ik,ikj->ij", down, others)
             weight = np.concatenate([up[:, None], -down], 1)
-            rows, sums, n = _sums(np.concatenate([mine[:, None], inner], 1).ravel(), (weight[:, :, None] * near[:, None, :]).reshape(-1, WIDTH + 1))
+            rows, sums, n = _sums(np.concatenate([mine[:, None], inner], 1).ravel(), near, weight.ravel())
             self.targets[rows] += rate * sums / (n + DAMP)[:, None]
         back = back[:, :WIDTH]
         before = np.concatenate([back @ self.places[0].T, back @ self.places[1].T])
-        for k, where in enumerate((one, two)):
-            self.places[k] += rate / len(token) * self.context[where].T @ back
+        for k, vectors in enumerate(seen):
+            self.places[k] += rate / len(token) * vectors.T @ back
         # rare rows take part in few tokens, so rows move by their own mean, damped
         rows, sums, n = _sums(np.concatenate([one, two]), before)
         self.context[rows] += rate * sums / (n + DAMP)[:, None]
@@ -268,8 +284,10 @@ class LogBilinear:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of the rows' exponentials; x is overwritten."""
     top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(1))
 
 
 def _in_order(shard: pa.Table) -> pa.Table:
@@ -297,6 +315,41 @@ def _unpacked(cell: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
+def _pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts that shards are told, a cell for a shard: steps from number to number, and counts, byte by byte."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        shard, told = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("shard", "told"))
+        order = np.argsort(told, kind="stable")
+        order = order[_order(shard[order])]
+        shard, told = shard[order], told[order]
+        starts = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0]
+        cells = []
+        for own in np.split(told, starts[1:]):
+            steps = np.diff(own >> _COUNT_BITS, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+            counts = (own & ((1 << _COUNT_BITS) - 1)).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].T
+            cells.append(_packed(np.concatenate([steps, counts])))
+        return record_batch(_CELLS, shard[starts], cells)
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= _TOLD:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def _told(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Words' numbers and counts in a cell of _pack_counts."""
+    planes = _unpacked(cell, np.uint8).reshape(9, -1)
+    wide = np.concatenate([planes[4:], np.zeros((3, planes.shape[1]), np.uint8)])
+    steps, counts = np.ascontiguousarray(planes[:4].T).view("<i4").ravel(), np.ascontiguousarray(wide.T).view("<i8").ravel()
+    return np.cumsum(steps, dtype=np.int64), counts
+
+
 def _average(learned: DataFrame, fresh: LogBilinear) -> LogBilinear:
     """The model whose rows are the means of those that shards have learned, by how often they met them.
 
@@ -332,10 +385,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     dealt = rows.where(~blank).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     counted = store(dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, at int, n long"), "words")
     free_shuffles(spark)  # the texts are dealt to the shards once more below
-    totals = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals").df
+    summed = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals")
+    totals = summed.df
     free_shuffles(spark)
     # a word that no other shard's training documents have is known to its shard
-    known = store(counted.df.join(totals, "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told")), "counts").df
+    told = counted.df.join(totals, "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told"))
+    known = store(told.mapInArrow(_pack_counts, "shard long, told binary"), "counts").df
     counted.drop()
     free_shuffles(spark)
     n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -349,6 +404,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for word, c in top:
         part = shared_entry(word)
         mass[part], kinds[part] = mass[part] - c, kinds[part] - 1
+    summed.drop()
+    free_shuffles(spark)
     vocabulary = Vocabulary.of(top, mass, trained)
     trainer = Trainer(vocabulary)
     fresh = LogBilinear.fresh(trainer)
@@ -362,8 +419,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         words, which, bounds = coded_words(left.column("text").combine_chunks())
         held = np.asarray(left.column("held_out").combine_chunks())
         entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.bincount(which, np.repeat(~held, np.diff(bounds)), len(words)).astype(np.int64)
-        told = right.column("told").to_numpy()
-        c[told >> _COUNT_BITS] = told & ((1 << _COUNT_BITS) - 1)
+        for cell in right.column("told"):
+            at, n = _told(cell)
+            c[at] = n
         often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
         rank = np.argsort(often, kind="stable")
         which, entry, c = rank[which].astype(np.int32), entry[often], c[often]

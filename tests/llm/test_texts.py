@@ -14,6 +14,7 @@ from larkspur.llm.common import ascii_words
 from larkspur.llm.decontaminate import Matcher, align
 from larkspur.llm.language_id import UNKNOWN, ByteNetwork, _padded, classify, fit
 from larkspur.llm.license_scan import KNOWN, canonical_text, catalogue
+from larkspur.llm import lm_score
 from larkspur.llm.lm_score import LogBilinear, Trainer, Vocabulary, coded_words, sequences
 from larkspur.llm.packing import _slots, plan_sequences
 from larkspur.llm.simhash_dedup import LEAST_EQUAL_BYTES, fingerprint_of, index_positions
@@ -299,6 +300,32 @@ def test_tree_matching_against_the_plain_recursion():
     assert H.match_trees(one, two, []) == 5
 
 
+def test_counts_told_to_shards_are_packed_whole(monkeypatch):
+    """A shard's words and counts come out of its cells as they went in, in a quarter of the bytes."""
+    rng = np.random.default_rng(4)
+    rows = [(shard, int(at), int(c)) for shard in (0, 3, 70_000) for at, c in zip(rng.permutation(5000), rng.zipf(1.5, 5000).clip(1, (1 << 40) - 1))]
+    rows += [(9, (1 << 23) - 1, (1 << 40) - 1), (9, 0, 1)]
+    rng.shuffle(rows)
+    shard, at, c = (np.array(x, np.int64) for x in zip(*rows))
+    table = pa.table({"shard": shard, "told": (at << 40) + c})
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(lm_score, "_TOLD", most)
+        cells = [(s, cell) for b in lm_score._pack_counts(iter(table.to_batches(max_chunksize=64))) for s, cell in zip(b.column("shard").to_pylist(), b.column("told"))]
+        got = sorted((s, int(i), int(n)) for s, cell in cells for i, n in zip(*lm_score._told(cell)))
+        assert got == sorted(map(tuple, np.stack([shard, at, c], 1).tolist()))
+        if most > len(rows):
+            assert len(cells) == 4 and sum(len(cell.as_py()) for _, cell in cells) < 16 * len(rows) / 4
+    assert list(lm_score._pack_counts(iter([]))) == []
+
+
+def test_steps_of_training_equal_those_without_shared_copies():
+    """Sums of weighted values are those of values multiplied beforehand."""
+    rng = np.random.default_rng(6)
+    near, weight, where = rng.normal(size=(300, 17)).astype(np.float32), rng.normal(size=(300, 5)).astype(np.float32), rng.integers(0, 90, 1500)
+    one, two = lm_score._sums(where, (weight[:, :, None] * near[:, None, :]).reshape(-1, 17)), lm_score._sums(where, near, weight.ravel())
+    assert all((a == b).all() for a, b in zip(one, two))
+
+
 def test_long_stretches_of_unlike_siblings_are_aligned(monkeypatch):
     """Siblings of more than 4 million pairs: as large a match as the plain table, in parts or as a whole."""
     rng = random.Random(9)
