@@ -38,6 +38,8 @@ _STEP = 8192
 #: A word's number in its shard stands above its count in one number; so many of these a task packs at once.
 _COUNT_BITS = 40
 _TOLD = 1 << 20
+#: Marks from which the search for a drawn number begins.
+_GUIDES = 1 << 16
 _BLOCK = 4 << 20
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 _CELLS = pa.schema([("shard", pa.int64()), ("told", pa.binary())])
@@ -140,13 +142,24 @@ class Trainer:
         self.inside_shift = np.log(NOISE_WORDS * self.inside).astype(np.float32)
         self.sums = np.concatenate([[0.0], np.cumsum(self.inside[v.members])])
         self.several = np.diff(v.starts)[v.cluster] > 1
+        self.steps = np.append(self.sums, np.inf)
+        self.scale = _GUIDES / self.sums[-1]
+        self.guide = np.searchsorted(self.sums, np.arange(_GUIDES) / self.scale, "right").astype(np.int32)
+
+    def places(self, at: np.ndarray) -> np.ndarray:
+        """np.searchsorted(self.sums, at, "right"), quicker: begun a little before the place, found by a few steps."""
+        found = self.guide.take((at * self.scale).astype(np.int64) - 1, mode="clip")
+        while (low := self.steps.take(found) <= at).any():
+            found += low
+        return found
 
     def inner_noise(self, token: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """NOISE_WORDS entries of each token's cluster, drawn by their counts."""
-        c = self.v.cluster[token]
-        lo, hi = self.v.starts[c], self.v.starts[c + 1]
-        at = self.sums[lo, None] + rng.random((len(token), NOISE_WORDS)) * (self.sums[hi] - self.sums[lo])[:, None]
-        return self.v.members[np.clip(np.searchsorted(self.sums, at, "right") - 1, lo[:, None], hi[:, None] - 1)]
+        c = self.v.cluster.take(token)
+        lo, hi = self.v.starts.take(c), self.v.starts.take(c + 1)
+        low = self.sums.take(lo)
+        at = low[:, None] + rng.random((len(token), NOISE_WORDS)) * (self.sums.take(hi) - low)[:, None]
+        return self.v.members.take(np.minimum(np.maximum(self.places(at) - 1, lo[:, None]), hi[:, None] - 1))
 
 
 def _order(numbers: np.ndarray) -> np.ndarray:
@@ -160,13 +173,13 @@ def _sums(where: np.ndarray, values: np.ndarray, weight: np.ndarray | None = Non
     weight: factors of values of which several rows in a run share one; the values are then one for each run.
     """
     order = _order(where)
-    row = where[order]
+    row = where.take(order)
     starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
     if weight is None:
-        own = values[order]
+        own = values.take(order, axis=0)  # several times as quick as values[order]
     else:
-        own = values[order // (len(where) // len(values))]
-        own *= weight[order, None]
+        own = values.take(order // (len(where) // len(values)), axis=0)
+        own *= weight.take(order)[:, None]
     return row[starts], np.add.reduceat(own, starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
 
 
@@ -198,7 +211,7 @@ class LogBilinear:
 
     def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """What a context expects, with a 1 behind for the biases."""
-        return self.expected(self.context[one], self.context[two])
+        return self.expected(self.context.take(one, axis=0), self.context.take(two, axis=0))
 
     def expected(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """guess from the vectors of the context."""
@@ -208,11 +221,11 @@ class LogBilinear:
 
     def learn(self, token: np.ndarray, one: np.ndarray, two: np.ndarray, t: Trainer, rate: float, rng: np.random.Generator) -> None:
         """A step of noise-contrastive estimation: tell each token's cluster, and the token in it, from drawn ones."""
-        seen = self.context[one], self.context[two]
+        seen = self.context.take(one, axis=0), self.context.take(two, axis=0)
         g = self.expected(*seen)
         c = t.v.cluster[token]
         drawn = np.minimum(np.searchsorted(t.drawn, rng.random(NOISE), "right"), len(t.drawn) - 1)
-        own = self.clusters[c]
+        own = self.clusters.take(c, axis=0)
         up = _unsure(np.einsum("ij,ij->i", g, own) - t.shift[c])
         others = self.clusters[drawn]
         down = _unsure(t.shift[drawn] - g @ others.T)
@@ -226,21 +239,22 @@ class LogBilinear:
         self.clusters += rate * step / (met + DAMP)[:, None]
         some = np.nonzero(t.several[token])[0]
         if len(some):
-            mine, inner, near = token[some], t.inner_noise(token[some], rng), g[some]
-            own, others = self.targets[mine], self.targets[inner]
+            mine, near = token[some], g.take(some, axis=0)
+            inner = t.inner_noise(mine, rng)
+            own, others = self.targets.take(mine, axis=0), self.targets.take(inner, axis=0)
             up = _unsure(np.einsum("ij,ij->i", near, own) - t.inside_shift[mine])
             down = _unsure(t.inside_shift[inner] - np.einsum("ij,ikj->ik", near, others))
             back[some] += up[:, None] * own - np.einsum("ik,ikj->ij", down, others)
             weight = np.concatenate([up[:, None], -down], 1)
             rows, sums, n = _sums(np.concatenate([mine[:, None], inner], 1).ravel(), near, weight.ravel())
-            self.targets[rows] += rate * sums / (n + DAMP)[:, None]
+            self.targets[rows] = self.targets.take(rows, axis=0) + rate * sums / (n + DAMP)[:, None]
         back = back[:, :WIDTH]
         before = np.concatenate([back @ self.places[0].T, back @ self.places[1].T])
         for k, vectors in enumerate(seen):
             self.places[k] += rate / len(token) * vectors.T @ back
         # rare rows take part in few tokens, so rows move by their own mean, damped
         rows, sums, n = _sums(np.concatenate([one, two]), before)
-        self.context[rows] += rate * sums / (n + DAMP)[:, None]
+        self.context[rows] = self.context.take(rows, axis=0) + rate * sums / (n + DAMP)[:, None]
 
     def fit(self, batch: tuple[np.ndarray, ...], t: Trainer, rate: float, seed: int) -> None:
         """One pass over tokens in an order that the seed gives, in steps that get smaller."""
@@ -259,7 +273,8 @@ class LogBilinear:
         pairs, which = np.unique(one.astype(np.int64) * base + two, return_inverse=True)
         g = np.empty((len(pairs), WIDTH + 1), np.float32)
         total = np.empty(len(pairs), np.float32)
-        first = self.clusters.T.astype(np.float32)
+        clusters = self.clusters.astype(np.float32)
+        first = clusters.T
         for at in range(0, len(pairs), _STEP):
             part = self.guess(pairs[at : at + _STEP] // base, pairs[at : at + _STEP] % base).astype(np.float32)
             g[at : at + _STEP] = part
@@ -268,7 +283,7 @@ class LogBilinear:
         out = np.empty(len(token), np.float32)
         for at in range(0, len(token), _STEP):
             some = slice(at, at + _STEP)
-            out[some] = np.einsum("ij,ij->i", g[which[some]], first.T[c[some]]) - total[which[some]]
+            out[some] = np.einsum("ij,ij->i", g.take(which[some], axis=0), clusters.take(c[some], axis=0)) - total[which[some]]
         by = _order(c)
         edges = np.searchsorted(c[by], np.arange(len(v.starts)))
         targets = self.targets.astype(np.float32)
@@ -278,8 +293,8 @@ class LogBilinear:
                 table = targets[own].T
                 for at in range(edges[k], edges[k + 1], _STEP):
                     some = by[at : min(at + _STEP, edges[k + 1])]
-                    part = g[which[some]]
-                    out[some] += np.einsum("ij,ij->i", part, targets[token[some]]) - _log_sum(part @ table)
+                    part = g.take(which.take(some), axis=0)
+                    out[some] += np.einsum("ij,ij->i", part, targets.take(token.take(some), axis=0)) - _log_sum(part @ table)
         return out.astype(np.float64) / np.log(10)
 
 
@@ -389,7 +404,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     totals = summed.df
     free_shuffles(spark)
     # a word that no other shard's training documents have is known to its shard
-    told = counted.df.join(totals, "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told"))
+    told = counted.df.join(totals.hint("shuffle_hash"), "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told"))
     known = store(told.mapInArrow(_pack_counts, "shard long, told binary"), "counts").df
     counted.drop()
     free_shuffles(spark)

@@ -324,6 +324,10 @@ def test_steps_of_training_equal_those_without_shared_copies():
     near, weight, where = rng.normal(size=(300, 17)).astype(np.float32), rng.normal(size=(300, 5)).astype(np.float32), rng.integers(0, 90, 1500)
     one, two = lm_score._sums(where, (weight[:, :, None] * near[:, None, :]).reshape(-1, 17)), lm_score._sums(where, near, weight.ravel())
     assert all((a == b).all() for a, b in zip(one, two))
+    for counts in ([5], [40] * 900, [10**9, *range(1, 3000), 10**7], [1] * 70_000):
+        t = Trainer(Vocabulary.of([(b"w%d" % i, c) for i, c in enumerate(counts)], np.zeros(lm_score.SHARED), 3))
+        at = np.concatenate([rng.random(3000) * t.sums[-1], t.sums, np.nextafter(t.sums, 0), np.nextafter(t.sums, 1e9)]).clip(0)
+        assert (t.places(at) == np.searchsorted(t.sums, at, "right")).all()
 
 
 def test_long_stretches_of_unlike_siblings_are_aligned(monkeypatch):
