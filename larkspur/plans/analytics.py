@@ -47,6 +47,36 @@ def overlapping(spans: DataFrame, others: DataFrame, key: str = "doc_id") -> Dat
     return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
 
 
+#: Names that are compared with as many others under one key, and pairs that a task has to do with.
+BLOCK_NAMES = 512
+TASK_PAIRS = 4_000_000
+#: Characters up to which a beginning that all names of a group share is looked for.
+_SHARED = 256
+
+
+def name_distances(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """All pairs of a group's rows, the smaller key first: a_key, b_key and the distance of their names.
+
+    There are as many rows as pairs, so the work is quadratic in a group. It is dealt out by pairs of blocks of names,
+    however large a group is. What all names of a group begin with doesn't count in a distance and is left out of it.
+    """
+    own = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(name).alias("_n")).where("_g is not null and _k is not null")
+    length = f"least(length(lo), length(hi), {_SHARED})"
+    same = f"if({length} > 0, size(filter(sequence(1, {length}), i -> left(lo, i) = left(hi, i))), 0)"  # all others lie between lo and hi
+    groups = own.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_n").alias("lo"), F.max("_n").alias("hi"))
+    groups = groups.select(F.col("_g").alias("_h"), "n", F.expr(f"coalesce({same}, 0)").alias("same"), F.expr(f"cast(ceil(n / {BLOCK_NAMES}) as int)").alias("blocks"))
+    pairs = groups.agg(F.sum(F.expr("n * (n - 1D) / 2"))).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -int(-pairs // TASK_PAIRS))
+    told = own.join(groups, F.col("_g") == F.col("_h")).select("_g", "_k", F.expr("substring(_n, same + 1)").alias("_n"), "blocks", F.expr("cast(pmod(xxhash64(_k), blocks) as int)").alias("block"))
+    sides = {"a": ("block", "x", "sequence(block, blocks - 1)"), "b": ("x", "block", "sequence(0, block)")}
+    a, b = [
+        told.withColumn("x", F.explode(F.expr(others))).select(*[F.col(c).alias(f"{side}_{n}") for c, n in (("_g", "g"), (first, "i"), (second, "j"), ("_k", "k"), ("_n", "n"))]).repartition(parts, f"{side}_g", f"{side}_i", f"{side}_j")
+        for side, (first, second, others) in sides.items()
+    ]
+    met = a.join(b.hint("merge"), F.expr("a_g = b_g and a_i = b_i and a_j = b_j and if(a_i = a_j, a_k < b_k, a_k <> b_k)"))
+    return met.select(F.least("a_k", "b_k").alias("a_key"), F.greatest("a_k", "b_k").alias("b_key"), F.levenshtein("a_n", "b_n").cast("long").alias("distance"))
+
+
 def dispositions(spark: SparkSession, profiles: list[Profile]) -> DataFrame:
     rows = [r for p in profiles for r in p.rows()]
     return spark.createDataFrame(rows, "profile string, entity_type string, action string, confidence_threshold double, parameters map<string,string>")

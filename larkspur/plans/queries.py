@@ -373,10 +373,7 @@ _PEOPLE = "concat(case when c_custkey % 3 = 0 then 'Dr. ' else '' end, case c_cu
 
 @query("select a.s_suppkey as a_key, b.s_suppkey as b_key, levenshtein(a.s_name, b.s_name) as distance from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
 def name_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    return pairs.select(F.col("a.s_suppkey").alias("a_key"), F.col("b.s_suppkey").alias("b_key"), F.levenshtein("a.s_name", "b.s_name").cast("long").alias("distance"))
+    return analytics.name_distances(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_name")
 
 
 @query(f"select c_custkey, lower(array_to_string(list_transform(string_split({_PEOPLE}, ' '), lambda w: w[1]), '')) as initials from customer")
