@@ -86,6 +86,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined if how in ("left_anti", "left_semi") else joined.drop(*own.values())
 
 
+#: Tasks for each core, and bytes that a task gets at most while there are fewer tasks than shuffle partitions.
+_TASKS, _TASK_BYTES = 3, 32 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to all cores: a Parquet file of few row groups is read by as few tasks, however dear a row is."""
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(_TASKS * spark.sparkContext.defaultParallelism, min(-(-size // _TASK_BYTES), most)))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, with as many underscores behind as it takes to be none of the columns'."""
     while name.lower() in {c.lower() for c in columns}:

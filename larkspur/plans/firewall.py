@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import actions, spans
-from larkspur.functions.shared import join_null_safe, store, unused
+from larkspur.functions.shared import dealt, join_null_safe, store, unused
 from larkspur.operators import tokens, vault
 from larkspur.operators.backends import LABELS, WITH_RECOGNIZERS, SpanPlugin, check_backend, merge_backends, missing_models, recognizers
 from larkspur.operators.grammar import Tagger
@@ -179,14 +179,14 @@ class Firewall:
         """Rewrite messages. now: the time that expiry counts from; registry: tokens of earlier runs.
 
         Returns the columns of the messages, sanitized_text and trace (which replace columns of these names). Messages
-        are stored once with their spans; numbering and rewriting read them from there. A span that gets a pseudonym
+        are dealt out to all cores and stored once with their spans; numbering and rewriting read them from there. A span that gets a pseudonym
         but for which no token is found becomes [TYPE]: the original never goes out.
         """
         checked = self._checked(messages)
         names = [c for c in messages.columns if c not in ("sanitized_text", "trace")]
         # columns that are only passed on go by numbers inside, so that none can meet a name of ours
         inner = {c: f"_c{i}" for i, c in enumerate(names) if c not in [*KEY, "text"]}
-        rows = checked.select(*KEY, "text", self._language(checked), *[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+        rows = dealt(checked).select(*KEY, "text", self._language(checked), *[F.col(f"`{c}`").alias(n) for c, n in inner.items()])
         detected = self._detected(rows).withColumn("_row", F.monotonically_increasing_id()).withColumn("_tokened", F.exists("spans", lambda s: s["entity_type"].isin(self._tokened())))
         kept_rows = store(detected, "detected").df
         some = kept_rows.where("_tokened")
@@ -234,7 +234,7 @@ class Firewall:
         """
         kind, lang = rows.schema[column].dataType, [c for c in ("lang",) if c in rows.columns]
         number = unused("_payload", rows.columns)
-        own = store(rows.withColumn(number, F.monotonically_increasing_id()), "payloads").df
+        own = store(dealt(rows).withColumn(number, F.monotonically_increasing_id()), "payloads").df
         listed = own.select(F.col(number).alias("_payload"), *KEY, *lang, F.posexplode(leaves(F.col(column), kind)).alias("_at", "text"))
         made = self.anonymize(listed.select("_payload", *CONTEXT, F.struct("msg_seq", "_at").alias("msg_seq"), *lang, "text"), now, registry)
         # equal strings of a payload are rewritten alike, so a map from the old to the new text restores the shape
