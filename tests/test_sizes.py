@@ -1,9 +1,13 @@
 """Steps whose work must stay spread out, and right, however large or uneven their tables are."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import names
-from larkspur.plans import analytics
+from larkspur.functions.shared import store
+from larkspur.plans import analytics, firewall
 
 
 def test_pairs_of_a_large_group_are_dealt_out(spark, monkeypatch):
@@ -16,3 +20,35 @@ def test_pairs_of_a_large_group_are_dealt_out(spark, monkeypatch):
     assert sorted(((r.a_key, r.b_key, r.distance) for r in rows), key=str) == sorted(whole, key=str)
     per_part = [sum(r.part == p for r in rows) for p in {r.part for r in rows}]
     assert len(per_part) > 8 and max(per_part) < len(rows) / 4
+
+
+@pytest.fixture
+def parts(monkeypatch):
+    """How many rows each task gave to a table that was stored, by the table's name."""
+    found = {}
+
+    def put(df, name):
+        made = store(df.withColumn("_part", F.spark_partition_id()), name)
+        found[name] = sorted(r["count"] for r in made.df.groupBy("_part").count().collect())
+        return replace(made, df=made.df.drop("_part"))
+
+    monkeypatch.setattr(firewall, "store", put)
+    return found
+
+
+def few_tasks(spark, n):
+    """Messages that one task reads."""
+    return spark.range(n).coalesce(1).select(F.lit("t").alias("tenant_id"), F.lit("c").alias("case_id"), F.col("id").cast("string").alias("thread_id"), F.col("id").alias("msg_seq"), F.concat(F.lit("mail u"), "id", F.lit("@x.org")).alias("text"))
+
+
+def test_strings_of_payloads_are_dealt_out(spark, parts):
+    rows = few_tasks(spark, 600).select("tenant_id", "case_id", "thread_id", "msg_seq", F.struct("text").alias("payload"))
+    done, _ = firewall.Firewall.create(language="en", token_scope="thread").anonymize_payload(rows, "payload")
+    assert [r.n for r in done.groupBy("payload.text").agg(F.count("*").alias("n")).collect()] == [600]
+    assert all(len(parts[name]) >= 4 and parts[name][-1] < 300 for name in ("payloads", "detected"))
+
+
+def test_messages_are_dealt_out(spark, parts):
+    made = firewall.Firewall.create(language="en", token_scope="thread").anonymize(few_tasks(spark, 600))
+    assert made.vault.select("original").distinct().count() == 600
+    assert len(parts["detected"]) >= 4 and parts["detected"][-1] < 300
