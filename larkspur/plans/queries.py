@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import actions, names, spans
+from larkspur.functions.shared import dealt
 from larkspur.operators import backends, tokens, vault
 from larkspur.operators.languages import resolve_languages
 from larkspur.operators.rehydrate import rehydrate, rehydrate_chunks
@@ -119,7 +120,8 @@ def _messages(docs: DataFrame) -> DataFrame:
 def span_dedupe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All patterns of each document's locale, overlaps resolved: spans by language, type and source."""
     found = Firewall.create().with_spans(_messages(table(spark, sf_dir, "documents")), filtered=False)
-    return found.select("locale", F.explode("spans").alias("s")).groupBy("locale", "s.entity_type", "s.source").agg(F.count(F.lit(1)).alias("n_spans"), F.avg("s.confidence").alias("mean_confidence"))
+    kinds = F.transform("spans", lambda s: F.struct(s["entity_type"], s["source"], s["confidence"]))  # not the column itself: its size would be tested first, by detecting again
+    return found.select("locale", F.explode(kinds).alias("s")).groupBy("locale", "s.entity_type", "s.source").agg(F.count(F.lit(1)).alias("n_spans"), F.avg("s.confidence").alias("mean_confidence"))
 
 
 _RANKS_SQL = """select * from (values ('PHONE_NUMBER', 100), ('EMAIL', 100), ('SSN', 100), ('IBAN', 100), ('CREDIT_CARD', 100), ('IP_ADDRESS', 100), ('URL', 100), ('SECRET', 100), ('DOI', 100), ('PMID', 100),
@@ -441,9 +443,11 @@ def remote_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recognizer_counts(language: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("Ana G. llamó el "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" al +34"), F.lit(600000000) + F.col("o_orderkey"), F.lit(", DNI "), F.lpad(F.col("o_orderkey").cast("string"), 8, "1"), F.lit("Z")).alias("text"), F.lit("GLOBAL").alias("locale"))
-        found = rows.withColumn("spans", F.expr(spans.dedupe_sql(spans.detect_sql(backends.recognizers(language), locales=[]))))
-        return found.select(F.explode("spans").alias("s")).groupBy("s.entity_type").agg(F.count(F.lit(1)).alias("n_spans"))
+        orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+        rows = orders.select(F.concat(F.lit("Ana G. llamó el "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" al +34"), F.lit(600000000) + F.col("o_orderkey"), F.lit(", DNI "), F.lpad(F.col("o_orderkey").cast("string"), 8, "1"), F.lit("Z")).alias("text"), F.lit("GLOBAL").alias("locale"))
+        # explode gets an expression: of a column Spark would first test the size, and so detect three times over
+        types = F.transform(F.expr(spans.dedupe_sql(spans.detect_sql(backends.recognizers(language), locales=[]))), lambda s: s["entity_type"])
+        return rows.select(F.explode(types).alias("entity_type")).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_spans"))
 
     return run
 

@@ -1,5 +1,6 @@
 """Steps whose work must stay spread out, and right, however large or uneven their tables are."""
 
+import os
 from dataclasses import replace
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names
 from larkspur.functions.shared import store
-from larkspur.plans import analytics, firewall
+from larkspur.plans import analytics, firewall, queries
+
+SF = os.environ.get("LARKSPUR_TEST_DATA", "/root/testdata/sf0.001")
 
 
 def test_pairs_of_a_large_group_are_dealt_out(spark, monkeypatch):
@@ -52,3 +55,11 @@ def test_messages_are_dealt_out(spark, parts):
     made = firewall.Firewall.create(language="en", token_scope="thread").anonymize(few_tasks(spark, 600))
     assert made.vault.select("original").distinct().count() == 600
     assert len(parts["detected"]) >= 4 and parts["detected"][-1] < 300
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data on this machine")
+@pytest.mark.parametrize("name", ["spanish_recognizers", "universal_recognizers", "span_dedupe_counts"])
+def test_detection_is_planned_once(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Filter" in line.split("(")[0]] == []
+    assert "Generate" in plan and ("Repartition" in plan or name == "span_dedupe_counts")
