@@ -13,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of, record_batch, small_batches, store
+from .common import blocks_of, give_back, record_batch, small_batches, store
 from .tokens import WordIds, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-_BLOCK = 8 << 20
+#: Bytes of text whose ids are found at once: that takes about 20 times as much memory in a worker.
+_BLOCK = 2 << 20
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PLACED = pa.schema([*list(_PIECES)[:5], ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _SHIFT = 40
@@ -28,6 +29,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Cut every document's ids, with the end id, into pieces; part and nth number the pieces of a length in a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words, part, seen = WordIds(path), TaskContext.get().partitionId(), defaultdict(int)
         for block in blocks_of(batches, "text", _BLOCK):
             ids, bounds = words.texts(block.column("text").combine_chunks())
