@@ -38,14 +38,18 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "or
     """Number rows from 1 within keys. One key may hold most rows: it is cut into ranges that are numbered apart.
 
     The order columns must tell rows of a key apart. A range's numbers start behind the counts of the ranges before.
-    The ranges are stored, since a second run of the shuffle might cut them elsewhere.
+    The ranges are stored, since a second run of the shuffle might cut them elsewhere. Only a key that is the first or
+    last of a range can be in several: there are two for each range at most, so their counts are broadcast.
     """
     ranged = store(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges").df
+    key = F.struct(*keys)
+    edges = ranged.groupBy("_range").agg(F.array(F.min(key), F.max(key)).alias("_edges")).select(F.explode("_edges").alias("_edge")).select("_edge.*").distinct()
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys, "_range").count().select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    counts = join_null_safe(ranged.select(*keys, "_range"), F.broadcast(edges), keys, "left_semi").groupBy(*keys, "_range").count()
+    offsets = counts.select(*keys, "_range", F.sum("count").over(before).alias("_before")).where("_before is not null")
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    joined = join_null_safe(ranged, offsets, [*keys, "_range"])
-    return joined.withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("long")).drop("_range", "_before")
+    joined = join_null_safe(ranged, F.broadcast(offsets), [*keys, "_range"], "left")
+    return joined.withColumn(name, (F.row_number().over(inside) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_before")
 
 
 def resolve_exact(mentions: DataFrame, scope: str = "tenant", registry: DataFrame | None = None) -> DataFrame:

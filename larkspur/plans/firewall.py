@@ -152,11 +152,14 @@ class Firewall:
         return [t for t in self.profile.dispositions if self.profile.should_pseudonymize(t)]
 
     def _tokens(self, mentions: DataFrame, registry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(the registry, mentions with their tokens). Persons match fuzzily if a plug-in can find them."""
+        """(the registry, mentions with their tokens), stored. Persons match fuzzily if a plug-in can find them.
+
+        The registry is stored before the mentions look their tokens up, else values would be numbered twice.
+        """
         scope = self.profile.token_scope
         fuzzy = bool(self.plugins) or "PERSON" in self.catalog.entity_types() or self.backend in WITH_RECOGNIZERS
         exact = mentions.where("entity_type <> 'PERSON'") if fuzzy else mentions
-        known = tokens.resolve_exact(exact, scope, registry)
+        known = store(tokens.resolve_exact(exact, scope, registry), "registry").df
         named = mentions.withColumn("scope", tokens.scope_key(scope)).withColumn("canonical", tokens.canonical())
         told = join_null_safe(named.where("entity_type <> 'PERSON'") if fuzzy else named, known.select(*tokens.REGISTRY, "canonical", "token"), [*tokens.REGISTRY, "canonical"])
         if fuzzy:
@@ -164,8 +167,8 @@ class Firewall:
             persons = join_null_safe(named.drop("canonical").where("entity_type = 'PERSON'"), people.select("tenant_id", "scope", "text", "canonical", "token"), ["tenant_id", "scope", "text"])
             told = told.unionByName(persons.select(*told.columns))
             found = people.select(*known.columns).distinct()
-            known = known.unionByName(found if registry is None else join_null_safe(found, registry.select("tenant_id", "scope", "token"), ["tenant_id", "scope", "token"], "left_anti"))
-        return known, told
+            known = store(known.unionByName(found if registry is None else join_null_safe(found, registry.select("tenant_id", "scope", "token"), ["tenant_id", "scope", "token"], "left_anti")), "registry").df
+        return known, store(told, "told").df
 
     def _expiry(self, now: int) -> Column:
         """When a mention's vault row expires: by the ttl_seconds of its type's disposition, else by the firewall's."""
@@ -191,7 +194,6 @@ class Firewall:
         kept_rows = store(detected, "detected").df
         some = kept_rows.where("_tokened")
         known, told = self._tokens(store(self.mentions(some, "_row"), "mentions").df, registry)
-        known, told = store(known, "registry").df, store(told, "told").df
         given = told.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("start", "token"))).alias("_tokens"))
         none = F.lit(None).cast("map<int,string>").alias("_tokens")
         rows = some.join(given, "_row", "left").unionByName(kept_rows.where("not _tokened").select("*", none))

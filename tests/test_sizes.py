@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import names
 from larkspur.functions.shared import store
+from larkspur.operators import tokens
 from larkspur.plans import analytics, firewall, queries
 
 SF = os.environ.get("LARKSPUR_TEST_DATA", "/root/testdata/sf0.001")
@@ -57,6 +58,27 @@ def test_messages_are_dealt_out(spark, parts):
     assert len(parts["detected"]) >= 4 and parts["detected"][-1] < 300
 
 
+def test_values_are_numbered_once(spark, monkeypatch):
+    plans = {}
+
+    def put(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(firewall, "store", put)
+    firewall.Firewall.create(language="en", token_scope="thread").anonymize(few_tasks(spark, 20))
+    assert "Window" in plans["registry"] and "Window" not in plans["told"]
+
+
+def test_numbers_go_on_from_range_to_range(spark):
+    """Keys of many ranges, of one and with nulls; only counts of keys at the edges of ranges are looked up."""
+    rows = [(k, j, n) for k, j, many in (("a", "x", 3), ("b", None, 700), ("b", "y", 1), (None, None, 400), (None, "x", 2)) for n in range(many)]
+    made = tokens.numbered(spark.createDataFrame(rows, "k string, j string, n int").repartition(8), ["k", "j"], ["n"])
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(((*r, r[2] + 1) for r in rows), key=str)
+    joins = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("strategy=broadcast" in line for line in joins)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data on this machine")
 @pytest.mark.parametrize("name", ["spanish_recognizers", "universal_recognizers", "span_dedupe_counts"])
 def test_detection_is_planned_once(spark, name):
