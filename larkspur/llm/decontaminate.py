@@ -28,12 +28,20 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
 #: Text of benchmark items that goes to the workers at once; larger benchmarks are searched in as many rounds as they have blocks.
 BLOCK_BYTES = 8 << 20
+#: Cells of score rows that are filled at once: alignments of like size are made together.
+ALIGN_CELLS = 1 << 15
 _WORDS = re.compile(r"\w+")
+#: For texts in ASCII: capitals to small letters, and what is in no word to blanks.
+_PLAIN = bytes(ord(chr(c).lower()) if _WORDS.match(chr(c)) and c < 128 else 32 for c in range(256))
 _MIX = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    if text.isascii():  # the same several times as quick
+        return text.encode().translate(_PLAIN).decode().split()
+    return _WORDS.findall(text.lower())
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -51,6 +59,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """align for each of many pairs (item, passage), those of like size together.
+
+    What fills the shorter ones up matches nothing, and so never scores above the best that is before it.
+    """
+    out: list[tuple[int, int]] = [(0, -1)] * len(pairs)
+    order = sorted((k for k, (item, passage) in enumerate(pairs) if len(item) and len(passage)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])), reverse=True)
+    while order:
+        n = max(1, ALIGN_CELLS // (len(pairs[order[0]][1]) + 1))
+        some, order = order[:n], order[n:]
+        width, height = len(pairs[some[0]][1]), max(len(pairs[k][0]) for k in some)
+        items, passages = np.full((height, len(some), 1), -1, np.int64), np.full((len(some), width), -2, np.int64)
+        for r, k in enumerate(some):
+            items[: len(pairs[k][0]), r, 0] = pairs[k][0]
+            passages[r, : len(pairs[k][1])] = pairs[k][1]
+        slope = GAP * np.arange(width + 1, dtype=np.int32)
+        row, best, end, each = np.zeros((len(some), width + 1), np.int32), np.zeros(len(some), np.int32), np.full(len(some), -1), np.arange(len(some))
+        step = np.zeros_like(row)
+        for word in items:
+            same = np.where(passages == word, np.int32(MATCH), np.int32(MISMATCH))
+            same += row[:, :-1]
+            np.maximum(same, row[:, 1:] + np.int32(GAP), out=same)
+            np.maximum(same, 0, out=step[:, 1:])
+            step -= slope
+            np.maximum.accumulate(step, axis=1, out=row)
+            row += slope
+            top = row.argmax(1)
+            score = row[each, top]
+            up = score > best
+            best[up], end[up] = score[up], top[up] - 1
+        for k, b, e in zip(some, best.tolist(), end.tolist(), strict=True):
+            out[k] = (b, e)
+    return out
+
+
 class Matcher:
     """The items of one block of a benchmark, with their seeds: (item_id, text, how often the benchmark has it).
 
@@ -113,8 +156,11 @@ class Matcher:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(_MIX)) >> np.uint64(self.shift)).view(np.int64)
 
-    def _candidates(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, first word of a stretch) for the stretches of an item's reach in which its seeds weigh enough."""
+    def _candidates(self, coded: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, first word of a stretch) for the stretches of an item's reach in which its seeds weigh enough.
+
+        stop: where each word's text ends; a stretch ends there at the latest.
+        """
         none = np.zeros(0, np.int64)
         n = len(coded)
         if n < 2:
@@ -135,7 +181,7 @@ class Matcher:
         weight, where = 2 - (marks & 1), marks >> 1
         item = where // n
         total = np.concatenate([[0], np.cumsum(weight)])
-        end = np.searchsorted(where, np.minimum(where + self.reach[item], (item + 1) * n))
+        end = np.searchsorted(where, np.minimum(where + self.reach[item], item * n + stop[where % n]))
         enough = total[end] - total[:-1] >= self.least[item]
         return item[enough], where[enough] % n
 
@@ -150,48 +196,66 @@ class Matcher:
         return found
 
     def matches(self, text: str | None) -> list[tuple[int | None, float, int, int, int]]:
-        """(item_id, score, first and last word of the passage, how often) of the items that a whole text contains.
+        """matches_all of one text."""
+        return self.matches_all([text])[0]
+
+    def matches_all(self, texts: list[str | None]) -> list[list[tuple[int | None, float, int, int, int]]]:
+        """For each text (item_id, score, first and last word of the passage, how often) of the items that it contains.
 
         The score is that of the best alignment with the whole text, as a share of a whole copy's. It counts from
         THRESHOLD and LEAST_SCORE on: every alignment that counts has seeds enough, and lies within the item's reach
         of each of them.
         """
-        if not text or not (self.items or self.short):
-            return []
-        words = words_of(text)
-        found = self._short_copies(words) if self.short else []
-        if not self.items:
-            return found
-        coded = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        found: list[list[tuple[int | None, float, int, int, int]]] = []
+        tried: list[tuple[int, int, np.ndarray, int]] = []
+        coded, size = [], 0
+        for text in texts:
+            words = words_of(text)
+            found.append(self._short_copies(words) if self.short else [])
+            if self.items:
+                coded.append(np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words)))
+                size += len(words)
+                if size >= SLICE or len(found) == len(texts):
+                    tried += self._passages(coded, len(found) - len(coded))
+                    coded, size = [], 0
+        best: dict[tuple[int, int], tuple[int, int, np.ndarray, int]] = {}
+        for (score, end), (k, i, passage, a) in zip(align_all([(self.items[i][1], passage) for _, i, passage, _ in tried]), tried, strict=True):
+            if score >= self.scores[i] and score > best.get((k, i), (0,))[0]:
+                best[k, i] = (score, end, passage, a)
+        backs = align_all([(self.items[i][1][::-1], passage[: end + 1][::-1]) for (_, i), (_, end, passage, _) in best.items()])
+        for ((k, i), (score, end, _, a)), (_, back) in zip(best.items(), backs, strict=True):
+            item_id, item = self.items[i]
+            found[k].append((item_id, score / (MATCH * len(item)), a + end - back, a + end, self.often[i]))
+        return found
+
+    def _passages(self, coded: list[np.ndarray], at: int) -> list[tuple[int, int, np.ndarray, int]]:
+        """(text, item, words, place of the first) of the passages in which an alignment may be that counts.
+
+        at: the number of the first text. The texts are searched as one, with two unknown words between them, so that no pair is of two texts.
+        """
+        sizes = np.array([len(x) for x in coded], np.int64)
+        ends = np.cumsum(sizes + 2) - 2
+        own = np.repeat(np.arange(len(coded)), sizes + 2)
+        stop = ends[own]
+        words = np.concatenate([y for x in coded for y in (x, np.zeros(2, np.int64))])
         over = int(self.reach.max()) + 2
         step = max(SLICE, over)
-        passages: dict[int, list[list[int]]] = defaultdict(list)
-        for start in range(0, len(coded), step):
-            for i, place in zip(*(x.tolist() for x in self._candidates(coded[start : start + step + over])), strict=True):
-                reach = int(self.reach[i])
-                a, b = max(0, start + place - reach), min(len(coded), start + place + reach + 2)
-                last = passages[i]
+        passages: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
+        for start in range(0, len(words), step):
+            some = slice(start, start + step + over)
+            n = len(words[some])
+            items, places = self._candidates(words[some], np.minimum(stop[some] - start, n))
+            texts = own[start + places]
+            first = (ends - sizes)[texts]
+            low, high = np.maximum(first, start + places - self.reach[items]), np.minimum(ends[texts], start + places + self.reach[items] + 2)
+            for k, i, a, b in zip(*(x.tolist() for x in (texts, items, low - first, high - first)), strict=True):
+                last = passages[k, i]
                 if last and a <= last[-1][1]:
                     last[-1][1] = max(last[-1][1], b)
                     last[-1][0] = min(last[-1][0], a)
                 else:
                     last.append([a, b])
-        for i, spans in passages.items():
-            item_id, item = self.items[i]
-            score, (a, _), end = self._best(item, coded, spans)
-            if score >= self.scores[i]:
-                _, back = align(item[::-1], coded[a : a + end + 1][::-1])
-                found.append((item_id, score / (MATCH * len(item)), a + end - back, a + end, self.often[i]))
-        return found
-
-    @staticmethod
-    def _best(item: np.ndarray, coded: np.ndarray, spans: list[list[int]]) -> tuple[int, tuple[int, int], int]:
-        best = (0, (0, 0), -1)
-        for a, b in spans:
-            score, end = align(item, coded[a:b])
-            if score > best[0]:
-                best = (score, (a, b), end)
-        return best
+        return [(at + k, i, coded[k][a:b], a) for (k, i), spans in passages.items() for a, b in spans]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:
@@ -204,7 +268,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Matcher]:
         yield Matcher(sorted(((r["item_id"], r["text"], r["often"]) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
 
 
-def _in_rounds(rows: DataFrame, benchmark: DataFrame, search: Callable[[DataFrame, Callable[[str | None], list]], DataFrame]) -> DataFrame:
+def _in_rounds(rows: DataFrame, benchmark: DataFrame, search: Callable[[DataFrame, Callable[[list[str | None]], list[list]]], DataFrame]) -> DataFrame:
     """Apply a search to the rows for each block of the benchmark; between rounds the rows are stored.
 
     So a worker holds one block at a time, however large the benchmark.
@@ -214,7 +278,7 @@ def _in_rounds(rows: DataFrame, benchmark: DataFrame, search: Callable[[DataFram
     block = next(blocks)
     while block:
         held = rows.sparkSession.sparkContext.broadcast(block)
-        rows = search(rows, lambda text, held=held: held.value.matches(text))
+        rows = search(rows, lambda texts, held=held: held.value.matches_all(texts))
         block = next(blocks, None)
         if block:
             after = store(rows, "searched")
@@ -248,13 +312,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *none)
     schema = rows.schema
 
-    def search(rows: DataFrame, matches: Callable[[str | None], list]) -> DataFrame:
+    def search(rows: DataFrame, matches: Callable[[list[str | None]], list[list]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 old = zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)
                 out = []
-                for text, (n, item, score, first, last) in zip(batch.column(1).to_pylist(), old, strict=True):
-                    hits = matches(text)
+                for hits, (n, item, score, first, last) in zip(matches(batch.column(1).to_pylist()), old, strict=True):
                     best = min([*hits, *([(item, score, first, last, 0)] if n else [])], key=_order, default=(None, 0.0, None, None, 0))
                     out.append((n + sum(h[4] for h in hits), *best[:4]))
                 if out:
@@ -271,11 +334,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows without a benchmark item, with all their columns; no row moves."""
     small_batches(docs.sparkSession)
 
-    def search(rows: DataFrame, matches: Callable[[str | None], list]) -> DataFrame:
+    def search(rows: DataFrame, matches: Callable[[list[str | None]], list[list]]) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not matches(t) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not hits for hits in matches(texts)], pa.bool_()))
 
         return change_rows(rows, keep)
 

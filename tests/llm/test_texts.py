@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from larkspur.llm import html_extract as H
 from larkspur.llm.common import ascii_words
-from larkspur.llm.decontaminate import Matcher, align
+from larkspur.llm.decontaminate import Matcher, align, align_all, words_of
 from larkspur.llm.language_id import UNKNOWN, ByteNetwork, _padded, classify, fit
 from larkspur.llm.license_scan import KNOWN, canonical_text, catalogue
 from larkspur.llm import lm_score
@@ -434,3 +434,26 @@ def test_short_items_and_lone_phrases():
     assert ids("a red green blue b") == [(3, 1, 3, 1)] and ids("a red green x blue") == []
     assert ids("this is the capital of a country") == [] and ids("what is the capital of new rome") == [(4, 0, 6, 1)]
     assert ids("and on and on it goes") == [(None, 1, 3, 1)]
+
+
+def test_alignments_made_together_are_those_made_apart(monkeypatch):
+    monkeypatch.setattr("larkspur.llm.decontaminate.ALIGN_CELLS", 300)
+    rng = np.random.default_rng(3)
+    pairs = [(rng.integers(1, 6, rng.integers(0, 30)), rng.integers(0, 6, rng.integers(0, 80))) for _ in range(300)]
+    assert align_all(pairs) == [align(*p) for p in pairs]
+
+
+def test_words_of_plain_texts():
+    plain = "".join(map(chr, range(128))) * 2 + " A_b9\x1cC\x00d"
+    assert words_of(plain) == words_of(plain + " é")[:-1]
+
+
+def test_many_texts_are_searched_as_each(monkeypatch):
+    """Texts of a batch are aligned together, in far fewer steps than words: each has a passage that is tried."""
+    made = []
+    monkeypatch.setattr("larkspur.llm.decontaminate.align_all", lambda pairs: made.append(len(pairs)) or align_all(pairs))
+    m = Matcher([(1, "one two three four five six seven", 1), (2, "red green", 1), (3, "alpha beta gamma delta", 2)])
+    texts = ["x one two three four five six seven", None, "", "red green alpha beta gamma delta alpha beta", "nothing", "one two three zero five six seven"] * 20
+    found = m.matches_all(texts)
+    assert len(made) == 2 and made[0] >= 60
+    assert found == [m.matches(t) for t in texts] and [len(f) for f in found[:6]] == [1, 0, 0, 2, 0, 1]
