@@ -34,7 +34,9 @@ RATE = 1.0
 DAMP = 300
 SHARD_BYTES = 8 << 20
 _TOGETHER = 1024
-_STEP = 8192
+_STEP = 2048
+#: Exponents within this need no shift: their sums over all entries are far from the ends of single precision.
+_SAFE = 60
 #: A word's number in its shard stands above its count in one number; so many of these a task packs at once.
 _COUNT_BITS = 40
 _TOLD = 1 << 20
@@ -174,18 +176,23 @@ def _sums(where: np.ndarray, values: np.ndarray, weight: np.ndarray | None = Non
     """
     order = _order(where)
     row = where.take(order)
-    starts = np.nonzero(np.append(True, row[1:] != row[:-1]))[0]
-    if weight is None:
-        own = values.take(order, axis=0)  # several times as quick as values[order]
-    else:
-        own = values.take(order // (len(where) // len(values)), axis=0)
-        own *= weight.take(order)[:, None]
-    return row[starts], np.add.reduceat(own, starts, axis=0), np.diff(np.append(starts, len(row))).astype(np.float32)
+    new = np.append(True, row[1:] != row[:-1])
+    starts = np.nonzero(new)[0]
+    number = np.empty(len(row), np.int64)
+    number[order] = np.cumsum(new) - 1
+    factors = None if weight is None else weight.reshape(len(values), -1)
+    sums = np.empty((len(starts), values.shape[1]), values.dtype)
+    for k, column in enumerate(np.ascontiguousarray(values.T)):  # counting is several times as quick as adding rows up
+        sums[:, k] = np.bincount(number, column if factors is None else (factors * column[:, None]).ravel(), len(starts))
+    return row[starts], sums, np.diff(np.append(starts, len(row))).astype(np.float32)
 
 
 def _unsure(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(x)): what is missing to certainty."""
-    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
+    """1 / (1 + exp(x)): what is missing to certainty. x is overwritten."""
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -300,6 +307,8 @@ class LogBilinear:
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of the rows' exponentials; x is overwritten."""
+    if len(x) and x.max() < _SAFE and x.min() > -_SAFE:
+        return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(1)
     x -= top[:, None]
     return top + np.log(np.exp(x, out=x).sum(1))

@@ -457,3 +457,19 @@ def test_many_texts_are_searched_as_each(monkeypatch):
     found = m.matches_all(texts)
     assert len(made) == 2 and made[0] >= 60
     assert found == [m.matches(t) for t in texts] and [len(f) for f in found[:6]] == [1, 0, 0, 2, 0, 1]
+
+
+def test_sums_keep_small_values_beside_large_ones():
+    where = np.array([7] + [3] * 3 + [7] * 500)
+    values = np.ones((len(where), 2), np.float32)
+    values[0] = 1e8
+    rows, sums, n = lm_score._sums(where, values)
+    assert rows.tolist() == [3, 7] and n.tolist() == [3, 501]
+    assert sums.dtype == np.float32 and sums[:, 0].tolist() == [3, np.float32(1e8 + 500)]
+
+
+def test_log_sums_of_any_size():
+    rng = np.random.default_rng(2)
+    for scale in (1, 20, 500):
+        x = rng.normal(0, scale, (50, 30)).astype(np.float32)
+        assert np.allclose(lm_score._log_sum(x.copy()), np.logaddexp.reduce(x.astype(np.float64), axis=1), rtol=1e-5, atol=1e-5)
