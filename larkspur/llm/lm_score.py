@@ -9,7 +9,7 @@ smoothed counts. Counts and the training of the model run over all training docu
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, free_shuffles, id_crc, record_batch, small_batches, store
+from .common import free_shuffles, give_back, id_crc, record_batch, small_batches, store
 
 #: Occurrences from which a word has vectors of its own, and how many words have at most: their vectors are broadcast.
 LEAST_COUNT = 40
@@ -42,7 +42,9 @@ _COUNT_BITS = 40
 _TOLD = 1 << 20
 #: Marks from which the search for a drawn number begins.
 _GUIDES = 1 << 16
-_BLOCK = 4 << 20
+#: Bytes of text that are split into words at once, and tokens that are scored at once: a worker holds little besides numbers.
+_BLOCK = 1 << 20
+_SCORED_AT_ONCE = 1 << 18
 _COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
 _CELLS = pa.schema([("shard", pa.int64()), ("told", pa.binary())])
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
@@ -54,13 +56,33 @@ _SCORED_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train
 
 def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (A-Z in lower case), the number of each word of all texts in them, and the texts' n+1 bounds."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // _BLOCK
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(held)) + 1, [len(texts)]]).tolist()
+    listed, numbers, sizes = [], [], []
+    for at, end in zip(edges, edges[1:]):
+        words, which, n = _coded_block(texts.slice(at, end - at))
+        listed.append(words)
+        numbers.append(which)
+        sizes.append(n)
+    of_all = pa.chunked_array(listed, pa.large_string()).combine_chunks().dictionary_encode()
+    place = of_all.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    first = 0
+    for k, words in enumerate(listed):
+        numbers[k] = place[first : first + len(words)].take(numbers[k])
+        first += len(words)
+    return of_all.dictionary.cast(pa.large_binary()), np.concatenate(numbers), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _coded_block(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of a few texts, the number of each word in them, and the texts' numbers of words."""
+    own = pa.concat_arrays([texts])  # a copy from the first byte on: Arrow 23 lowers large strings of a slice wrongly
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(own.fill_null("").cast(pa.large_string())))
     flat = lists.flatten()
     full = np.asarray(pc.not_equal(pc.binary_length(flat), 0))
     bounds = lists.offsets.to_numpy()
-    bounds = np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]]
+    n = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]])
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    return coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), n
 
 
 def shared_entry(word: bytes) -> int:
@@ -79,11 +101,10 @@ def sequences(entries: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.nda
     inner = np.ones(len(token), bool)
     inner[ends - 1] = False
     token[inner] = entries
-    text = np.repeat(np.arange(len(n)), n)
-    nth = np.arange(len(token)) - np.repeat(ends - n, n)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    firsts = ends - n
     one, two = np.roll(token, 1), np.roll(token, 2)
-    one[nth < 1] = end + 1
-    two[nth < 2] = end + 1
+    one[firsts] = two[firsts] = two[firsts[n > 1] + 1] = end + 1
     return token, one, two, text
 
 
@@ -124,9 +145,15 @@ class Vocabulary:
     def end(self) -> int:
         return len(self.mass) - 1
 
-    def entries(self, listed: list[bytes]) -> np.ndarray:
-        own, n = self.words, len(self.words)
-        return np.fromiter((own[w] if w in own else n + shared_entry(w) for w in listed), np.int64, len(listed))
+    def entries(self, listed: list[bytes] | pa.Array) -> np.ndarray:
+        listed = listed if isinstance(listed, pa.Array) else pa.array(listed, pa.large_binary())
+        found = pc.index_in(listed, value_set=pa.array(list(self.words), pa.large_binary()))
+        other = np.asarray(found.is_null())
+        entry = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tails = pc.binary_slice(listed.filter(pa.array(other)), -2).dictionary_encode()  # few, and all that shared_entry looks at
+        shared = np.array([shared_entry(w) for w in tails.dictionary.to_pylist()], np.int64)
+        entry[other] = len(self.words) + shared.take(tails.indices.to_numpy(zero_copy_only=False)) if len(shared) else 0
+        return entry
 
 
 class Trainer:
@@ -151,8 +178,12 @@ class Trainer:
     def places(self, at: np.ndarray) -> np.ndarray:
         """np.searchsorted(self.sums, at, "right"), quicker: begun a little before the place, found by a few steps."""
         found = self.guide.take((at * self.scale).astype(np.int64) - 1, mode="clip")
-        while (low := self.steps.take(found) <= at).any():
-            found += low
+        low = np.flatnonzero(self.steps.take(found) <= at)
+        flat, at = found.reshape(-1), at.reshape(-1)
+        while len(low):  # those that are there already rest
+            nearer = flat.take(low) + 1
+            flat[low] = nearer
+            low = low[self.steps.take(nearer) <= at.take(low)]
         return found
 
     def inner_noise(self, token: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -169,22 +200,40 @@ def _order(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
+def _counted(number: np.ndarray, values: np.ndarray, size: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """The sums of the values that belong to each number, by column: counting is several times as quick as adding rows up.
+
+    weight: factors of values, a row for each; the values of a row then belong to a row of numbers.
+    """
+    sums = np.empty((values.shape[1], size), values.dtype)
+    if weight is not None:
+        number, weight = np.ascontiguousarray(number.reshape(weight.shape).T).ravel(), np.ascontiguousarray(weight.T)
+    for k, column in enumerate(np.ascontiguousarray(values.T)):
+        sums[k] = np.bincount(number, column if weight is None else (weight * column).ravel(), size)
+    return sums
+
+
 def _sums(where: np.ndarray, values: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of the values that belong to each, and their number.
 
     weight: factors of values of which several rows in a run share one; the values are then one for each run.
     """
-    order = _order(where)
-    row = where.take(order)
-    new = np.append(True, row[1:] != row[:-1])
-    starts = np.nonzero(new)[0]
-    number = np.empty(len(row), np.int64)
-    number[order] = np.cumsum(new) - 1
-    factors = None if weight is None else weight.reshape(len(values), -1)
-    sums = np.empty((len(starts), values.shape[1]), values.dtype)
-    for k, column in enumerate(np.ascontiguousarray(values.T)):  # counting is several times as quick as adding rows up
-        sums[:, k] = np.bincount(number, column if factors is None else (factors * column[:, None]).ravel(), len(starts))
-    return row[starts], sums, np.diff(np.append(starts, len(row))).astype(np.float32)
+    met = np.zeros(int(where.max()) + 1, bool)
+    met[where] = True
+    rows = np.flatnonzero(met)
+    number = np.empty(len(met), np.int64)
+    number[rows] = np.arange(len(rows))
+    number = number.take(where)
+    sums = _counted(number, values, len(rows), None if weight is None else weight.reshape(len(values), -1))
+    return rows, sums.T, np.bincount(number).astype(np.float32)
+
+
+def _move(table: np.ndarray, rows: np.ndarray, sums: np.ndarray, n: np.ndarray, rate: float) -> None:
+    """Rows move by their own mean, damped: rare rows take part in few tokens. sums is overwritten."""
+    sums *= (rate / (n + DAMP))[:, None]
+    moved = table.take(rows, axis=0)
+    moved += sums
+    table[rows] = moved
 
 
 def _unsure(x: np.ndarray) -> np.ndarray:
@@ -230,38 +279,41 @@ class LogBilinear:
         """A step of noise-contrastive estimation: tell each token's cluster, and the token in it, from drawn ones."""
         seen = self.context.take(one, axis=0), self.context.take(two, axis=0)
         g = self.expected(*seen)
-        c = t.v.cluster[token]
+        c = t.v.cluster.take(token)
         drawn = np.minimum(np.searchsorted(t.drawn, rng.random(NOISE), "right"), len(t.drawn) - 1)
         own = self.clusters.take(c, axis=0)
-        up = _unsure(np.einsum("ij,ij->i", g, own) - t.shift[c])
-        others = self.clusters[drawn]
-        down = _unsure(t.shift[drawn] - g @ others.T)
-        back = up[:, None] * own - down @ others
-        rows, sums, n = _sums(c, up[:, None] * g)
-        step = np.zeros_like(self.clusters)
-        step[rows] = sums
-        np.subtract.at(step, drawn, down.T @ g)
-        met = (np.bincount(drawn, minlength=len(step)) * len(c)).astype(np.float32)
-        met[rows] += n
-        self.clusters += rate * step / (met + DAMP)[:, None]
-        some = np.nonzero(t.several[token])[0]
+        up = _unsure(np.einsum("ij,ij->i", g, own) - t.shift.take(c))
+        others = self.clusters.take(drawn, axis=0)
+        against = -others
+        against[:, WIDTH] += t.shift.take(drawn)  # g has a 1 there
+        down = _unsure(g @ against.T)
+        back = up[:, None] * own
+        back -= down @ others
+        step = _counted(c, g, len(self.clusters), up[:, None])
+        which = np.zeros((NOISE, len(self.clusters)), np.float32)
+        which[np.arange(NOISE), drawn] = 1
+        step -= (g.T @ down) @ which
+        met = np.bincount(drawn, minlength=len(self.clusters)) * len(c) + np.bincount(c, minlength=len(self.clusters))
+        step *= rate / (met + DAMP).astype(np.float32)
+        self.clusters += step.T
+        some = np.flatnonzero(t.several.take(token))
         if len(some):
-            mine, near = token[some], g.take(some, axis=0)
+            mine, near = token.take(some), g.take(some, axis=0)
             inner = t.inner_noise(mine, rng)
             own, others = self.targets.take(mine, axis=0), self.targets.take(inner, axis=0)
-            up = _unsure(np.einsum("ij,ij->i", near, own) - t.inside_shift[mine])
-            down = _unsure(t.inside_shift[inner] - np.einsum("ij,ikj->ik", near, others))
-            back[some] += up[:, None] * own - np.einsum("ik,ikj->ij", down, others)
+            up = _unsure(np.einsum("ij,ij->i", near, own) - t.inside_shift.take(mine))
+            down = _unsure(t.inside_shift.take(inner) - np.einsum("ij,ikj->ik", near, others))
+            own *= up[:, None]
+            own -= np.einsum("ik,ikj->ij", down, others)
+            own += back.take(some, axis=0)
+            back[some] = own
             weight = np.concatenate([up[:, None], -down], 1)
-            rows, sums, n = _sums(np.concatenate([mine[:, None], inner], 1).ravel(), near, weight.ravel())
-            self.targets[rows] = self.targets.take(rows, axis=0) + rate * sums / (n + DAMP)[:, None]
-        back = back[:, :WIDTH]
-        before = np.concatenate([back @ self.places[0].T, back @ self.places[1].T])
+            _move(self.targets, *_sums(np.concatenate([mine[:, None], inner], 1).ravel(), near, weight.ravel()), rate)
+        back = np.ascontiguousarray(back[:, :WIDTH])
+        before = np.concatenate([p @ back.T for p in self.places], 1)
         for k, vectors in enumerate(seen):
             self.places[k] += rate / len(token) * vectors.T @ back
-        # rare rows take part in few tokens, so rows move by their own mean, damped
-        rows, sums, n = _sums(np.concatenate([one, two]), before)
-        self.context[rows] = self.context.take(rows, axis=0) + rate * sums / (n + DAMP)[:, None]
+        _move(self.context, *_sums(np.concatenate([one, two]), before.T), rate)
 
     def fit(self, batch: tuple[np.ndarray, ...], t: Trainer, rate: float, seed: int) -> None:
         """One pass over tokens in an order that the seed gives, in steps that get smaller."""
@@ -281,11 +333,12 @@ class LogBilinear:
         g = np.empty((len(pairs), WIDTH + 1), np.float32)
         total = np.empty(len(pairs), np.float32)
         clusters = self.clusters.astype(np.float32)
-        first = clusters.T
+        first, reach, longest = clusters.T, _longest(clusters), 0.0
         for at in range(0, len(pairs), _STEP):
             part = self.guess(pairs[at : at + _STEP] // base, pairs[at : at + _STEP] % base).astype(np.float32)
             g[at : at + _STEP] = part
-            total[at : at + _STEP] = _log_sum(part @ first)
+            longest = max(longest, own := _longest(part))
+            total[at : at + _STEP] = _log_sum(part @ first, own * reach)
         c = v.cluster[token]
         out = np.empty(len(token), np.float32)
         for at in range(0, len(token), _STEP):
@@ -298,22 +351,35 @@ class LogBilinear:
             own = v.members[v.starts[k] : v.starts[k + 1]]
             if len(own) > 1:
                 table = targets[own].T
+                most = longest * _longest(table.T)
                 for at in range(edges[k], edges[k + 1], _STEP):
                     some = by[at : min(at + _STEP, edges[k + 1])]
                     part = g.take(which.take(some), axis=0)
-                    out[some] += np.einsum("ij,ij->i", part, targets.take(token.take(some), axis=0)) - _log_sum(part @ table)
+                    out[some] += np.einsum("ij,ij->i", part, targets.take(token.take(some), axis=0)) - _log_sum(part @ table, most)
         return out.astype(np.float64) / np.log(10)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of the rows' exponentials; x is overwritten."""
-    if len(x) and x.max() < _SAFE and x.min() > -_SAFE:
+def _longest(rows: np.ndarray) -> float:
+    """The length of the longest row: products of two rows are no larger than those of their lengths."""
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
+
+
+def _log_sum(x: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """Logarithms of the sums of the rows' exponentials; x is overwritten. most: a bound of its entries, if known."""
+    if most < _SAFE or len(x) and x.max() < _SAFE and x.min() > -_SAFE:
         return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
     top = x.max(1)
     x -= top[:, None]
     return top + np.log(np.exp(x, out=x).sum(1))
 
 
+def _tidy(work: Callable, *given):
+    """What the work makes of a shard; the worker then gives back what that took. Workers wait for others and are reused."""
+    out = work(*given)
+    give_back()
+    return out
+
+
 def _in_order(shard: pa.Table) -> pa.Table:
     """A shard's documents sorted by id and text, so that its words have the same numbers each time."""
     return shard.take(pc.sort_indices(shard, [("doc_id", "ascending"), ("text", "ascending")]))
@@ -324,7 +390,7 @@ def _count(shard: pa.Table) -> pa.Table:
     shard = _in_order(shard)
     texts, train = shard.column("text").combine_chunks(), ~np.asarray(shard.column("held_out").combine_chunks())
     words, which, bounds = coded_words(texts)
-    n = np.bincount(which, np.repeat(train, np.diff(bounds)), len(words)).astype(np.int64)
+    n = np.bincount(which[np.repeat(train, np.diff(bounds))], minlength=len(words))
     number = shard.column("shard")[0].as_py()
     return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n)], schema=_COUNTED)
 
@@ -407,7 +473,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shards = size // SHARD_BYTES + 1
     blank = F.coalesce(F.col("text") == "", F.lit(True))
     dealt = rows.where(~blank).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    counted = store(dealt.groupBy("shard").applyInArrow(_count, "word binary, shard long, at int, n long"), "words")
+    counted = store(dealt.groupBy("shard").applyInArrow(lambda shard: _tidy(_count, shard), "word binary, shard long, at int, n long"), "words")
     free_shuffles(spark)  # the texts are dealt to the shards once more below
     summed = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals")
     totals = summed.df
@@ -442,13 +508,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
         left = _in_order(left)
         words, which, bounds = coded_words(left.column("text").combine_chunks())
         held = np.asarray(left.column("held_out").combine_chunks())
-        entry, c = t.v.entries(words.to_pylist()).astype(np.int32), np.bincount(which, np.repeat(~held, np.diff(bounds)), len(words)).astype(np.int64)
+        entry, c = t.v.entries(words).astype(np.int32), np.bincount(which[np.repeat(~held, np.diff(bounds))], minlength=len(words))
         for cell in right.column("told"):
             at, n = _told(cell)
             c[at] = n
         often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
         rank = np.argsort(often, kind="stable")
-        which, entry, c = rank[which].astype(np.int32), entry[often], c[often]
+        which, entry, c = rank.astype(np.int32).take(which), entry[often], c[often]
         ids = left.column("doc_id").combine_chunks()
         del left, right, words, rank, often
         blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which, entry, c]
@@ -457,10 +523,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         n = np.diff(bounds)
         if len(kept):
             inner = np.repeat(~held, n)
-            batch = sequences(entry[which[inner]], np.concatenate([[0], np.cumsum(n[kept])]), t.v.end)
+            batch = sequences(entry.take(which[inner]), np.concatenate([[0], np.cumsum(n[kept])]), t.v.end)[:3]
+            del which, inner
             mine = begun.copy()
             mine.fit(batch, t, RATE, int(len(batch[0])))
-            token, one, two, _ = batch
+            token, one, two = batch
             seen = [np.bincount(t.v.cluster[token], minlength=len(mine.clusters)), np.bincount(token, minlength=len(mine.targets)), np.bincount(one, minlength=len(mine.context)) + np.bincount(two, minlength=len(mine.context)), np.full(2 * WIDTH, len(token))]
             for part, (table, w) in enumerate(zip((mine.clusters, mine.targets, mine.context, mine.places.reshape(-1, WIDTH)), seen, strict=True)):
                 some = np.nonzero(w)[0]
@@ -469,7 +536,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches(batches)
 
     schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w float", *[f"{c} float" for c in _VALUES]])
-    made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(train, schema), "trained").df
+    made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda left, right: _tidy(train, left, right), schema), "trained").df
     free_shuffles(spark)
     model = _average(made.where("part is not null").select("part", "row", "w", *_VALUES), fresh)
     inner = np.zeros(len(vocabulary.mass))
@@ -477,20 +544,28 @@ def score_texts(docs: DataFrame) -> DataFrame:
     scale = np.log10(n_train + SMOOTH * (v_train + 1)) if n_train else np.log10(SMOOTH)
     values = spark.sparkContext.broadcast((model, vocabulary, inner))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score_shard(cells: list[pa.Scalar]) -> pa.RecordBatch:
         net, v, within = values.value
+        kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
+        ids, some, held, bounds, which, entry, c = (_unpacked(cell, kind) for cell, kind in zip(cells, kinds, strict=True))
+        word, one, two, doc = sequences(which, bounds, len(entry))  # words by their numbers in the shard, as contexts too
+        entry, c = np.append(entry, [v.end, v.end + 1]).astype(np.int32), np.append(c, trained)
+        own = np.log10(c + SMOOTH)
+        share = (entry[:-1] >= len(v.words)) & (entry[:-1] < v.end)
+        inside = np.where(share, own - within.take(entry[:-1]), 0.0)
+        own, met = own - scale, (c > 0).astype(np.float64)
+        base, known, found = (np.zeros(len(ids)) for _ in range(3))
+        for at in range(0, len(word), _SCORED_AT_ONCE):
+            w, before, first, d = (x[at : at + _SCORED_AT_ONCE] for x in (word, one, two, doc))
+            told = net.log10(entry.take(w), entry.take(before), entry.take(first), v)
+            for total, parts in ((base, own.take(w)), (known, met.take(w)), (found, told + inside.take(w))):
+                total += np.bincount(d, parts, len(ids))
+        return record_batch(_SCORED, pa.array(ids, mask=some == 0), held.astype(bool), np.diff(bounds) + 1, known.astype(np.int64), np.full(len(ids), n_train), base, found)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
-                ids, some, held, bounds, which, entry, c = (_unpacked(batch.column(k)[i], kind) for k, kind in enumerate(kinds))
-                n = len(ids)
-                token, one, two, doc = sequences(entry[which], bounds, v.end)
-                count = np.full(len(token), trained, np.float64)
-                count[np.delete(np.arange(len(token)), np.cumsum(np.diff(bounds) + 1) - 1)] = c[which]
-                base = np.bincount(doc, np.log10(count + SMOOTH) - scale, n)
-                share = (token >= len(v.words)) & (token < v.end)
-                found = net.log10(token, one, two, v) + np.where(share, np.log10(count + SMOOTH) - within[token], 0.0)
-                yield record_batch(_SCORED, pa.array(ids, mask=some == 0), held.astype(bool), np.bincount(doc, minlength=n), np.bincount(doc, count > 0, n).astype(np.int64), np.full(n, n_train), base, np.bincount(doc, found, n))
+                yield _tidy(score_shard, [column[i] for column in batch.columns])
 
     full = made.where("ids is not null").select(*_BLOB).mapInArrow(score, _SCORED_SQL)
     token, one, two, _ = sequences(np.zeros(0, np.int64), np.zeros(2, np.int64), vocabulary.end)

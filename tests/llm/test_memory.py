@@ -1,12 +1,16 @@
 """Workers must not hold much more than their texts."""
 
+import subprocess
+import sys
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
-from larkspur.llm import packing
+from larkspur.llm import lm_score, packing
 from larkspur.llm.common import blocks_of
+from larkspur.llm.lm_score import LogBilinear, Trainer, Vocabulary, coded_words, sequences
 from larkspur.llm.tokens import WordIds, tokenizer_path
 
 
@@ -21,3 +25,41 @@ def test_packing_finds_ids_of_little_text_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 << 20
+
+
+def test_words_of_a_shard_take_little_besides_their_numbers():
+    """Texts are split block by block: their words are never all held with their offsets."""
+    code = """
+import numpy as np, pyarrow as pa
+from larkspur.llm.lm_score import coded_words
+rng = np.random.default_rng(3)
+texts = pa.array([" ".join(f"w{x} É" for x in rng.integers(0, 3000, 2000)) for _ in range(1000)])
+words, which, bounds = coded_words(texts)
+assert len(words) == 3001 and bounds[-1] == len(which) == 4_000_000
+print(pa.default_memory_pool().max_memory() / texts.nbytes)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], timeout=120)
+    assert float(run.stdout) < 2.5
+
+
+def test_words_of_blocks_and_slices_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [None if i % 50 == 7 else " " * (i % 3) + " ".join(f"É{x}A" for x in rng.integers(0, 300, i % 90)) for i in range(400)]
+    whole = coded_words(pa.array(texts, pa.string()))
+    assert whole[0].to_pylist() == list(dict.fromkeys(w for t in texts if t for w in t.encode().lower().split()))
+    for block in (1, 100, 5000):
+        monkeypatch.setattr(lm_score, "_BLOCK", block)
+        words, which, bounds = coded_words(pa.array(["x", *texts, "y"], pa.string()).slice(1, 400))
+        assert words == whole[0] and (which == whole[1]).all() and (bounds == whole[2]).all()
+
+
+def test_scores_of_some_tokens_at_once_are_those_of_all():
+    rng = np.random.default_rng(5)
+    v = Vocabulary.of([(b"w%d" % i, 5000 - i) for i in range(3000)], np.arange(40) * 3.0, 500)
+    model = LogBilinear.fresh(Trainer(v))
+    token, one, two, _ = sequences(rng.integers(0, v.end, 20_000), np.arange(0, 20_001, 100), v.end)
+    whole = model.log10(token, one, two, v)
+    parts = np.concatenate([model.log10(token[a : a + 777], one[a : a + 777], two[a : a + 777], v) for a in range(0, len(token), 777)])
+    assert np.abs(whole - parts).max() < 1e-5
+    listed = [b"w7", b"", b"q", b"zz", b"long word", b"w2999", b"w3000"]
+    assert v.entries(listed).tolist() == [v.words.get(w, 3000 + lm_score.shared_entry(w)) for w in listed]
