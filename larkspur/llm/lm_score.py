@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, give_back, id_crc, record_batch, small_batches, store
+from .common import free_shuffles, give_back, id_crc, record_batch, small_batches, spread, store
 
 #: Occurrences from which a word has vectors of its own, and how many words have at most: their vectors are broadcast.
 LEAST_COUNT = 40
@@ -45,9 +45,11 @@ _GUIDES = 1 << 16
 #: Bytes of text that are split into words at once, and tokens that are scored at once: a worker holds little besides numbers.
 _BLOCK = 1 << 20
 _SCORED_AT_ONCE = 1 << 18
-_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64())])
+_COUNTED = pa.schema([("word", pa.binary()), ("shard", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("texts", pa.list_(pa.binary()))])
 _CELLS = pa.schema([("shard", pa.int64()), ("told", pa.binary())])
+#: What the scores need of a shard, and the types that the numbers have there.
 _BLOB = ["ids", "some", "held", "bounds", "which", "entry", "c"]
+_KINDS = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
 _VALUES = [f"v{i}" for i in range(WIDTH + 1)]
 _MADE = pa.schema([*[(c, pa.binary()) for c in _BLOB], ("part", pa.int32()), ("row", pa.int32()), ("w", pa.float32()), *[(c, pa.float32()) for c in _VALUES]])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -208,8 +210,11 @@ def _counted(number: np.ndarray, values: np.ndarray, size: int, weight: np.ndarr
     sums = np.empty((values.shape[1], size), values.dtype)
     if weight is not None:
         number, weight = np.ascontiguousarray(number.reshape(weight.shape).T).ravel(), np.ascontiguousarray(weight.T)
-    for k, column in enumerate(np.ascontiguousarray(values.T)):
-        sums[k] = np.bincount(number, column if weight is None else (weight * column).ravel(), size)
+    columns = np.ascontiguousarray(values.T)
+    if weight is not None:
+        columns = (weight * columns[:, None]).reshape(len(columns), -1)
+    for k, column in enumerate(columns.astype(np.float64)):
+        sums[k] = np.bincount(number, column, size)
     return sums
 
 
@@ -386,13 +391,26 @@ def _in_order(shard: pa.Table) -> pa.Table:
 
 
 def _count(shard: pa.Table) -> pa.Table:
-    """Distinct words of a shard's documents with their numbers there and their counts in its training documents."""
+    """Distinct words of a shard's documents with their numbers there and their counts in its training documents, and a
+    row with the documents: the first five of _BLOB, the words' lengths and the words."""
     shard = _in_order(shard)
-    texts, train = shard.column("text").combine_chunks(), ~np.asarray(shard.column("held_out").combine_chunks())
-    words, which, bounds = coded_words(texts)
-    n = np.bincount(which[np.repeat(train, np.diff(bounds))], minlength=len(words))
-    number = shard.column("shard")[0].as_py()
-    return pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n)], schema=_COUNTED)
+    number, ids, held = shard.column("shard")[0].as_py(), shard.column("doc_id").combine_chunks(), np.asarray(shard.column("held_out").combine_chunks())
+    words, which, bounds = coded_words(shard.column("text").combine_chunks())
+    often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
+    rank = np.empty(len(words), np.int32)
+    rank[often] = np.arange(len(words))
+    words, which = words.take(pa.array(often)), rank.take(which)
+    n = _in_training(which, bounds, held, len(words))
+    sizes, data = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32), words.buffers()[2]
+    data = np.frombuffer(b"" if data is None else data, np.uint8)[: int(sizes.sum())]
+    blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which, sizes, data]
+    counted = pa.table([words.cast(pa.binary()), pa.array([number] * len(words), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(n), pa.nulls(len(words), _COUNTED.field("texts").type)], schema=_COUNTED)
+    return pa.concat_tables([counted, pa.Table.from_batches([record_batch(_COUNTED, [None], [number], [None], [None], [[_packed(x) for x in blob]])])])
+
+
+def _in_training(which: np.ndarray, bounds: np.ndarray, held: np.ndarray, words: int) -> np.ndarray:
+    """How often each word is in the documents that aren't held out."""
+    return np.bincount(which[np.repeat(~held, np.diff(bounds))], minlength=words)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -473,15 +491,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shards = size // SHARD_BYTES + 1
     blank = F.coalesce(F.col("text") == "", F.lit(True))
     dealt = rows.where(~blank).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    counted = store(dealt.groupBy("shard").applyInArrow(lambda shard: _tidy(_count, shard), "word binary, shard long, at int, n long"), "words")
-    free_shuffles(spark)  # the texts are dealt to the shards once more below
-    summed = store(counted.df.groupBy("word").agg(F.sum("n").alias("c")), "totals")
+    counted = store(dealt.groupBy("shard").applyInArrow(lambda shard: _tidy(_count, shard), "word binary, shard long, at int, n long, texts array<binary>"), "words")
+    free_shuffles(spark)
+    summed = store(counted.df.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "totals")
     totals = summed.df
     free_shuffles(spark)
     # a word that no other shard's training documents have is known to its shard
     told = counted.df.join(totals.hint("shuffle_hash"), "word").where("c <> n").select("shard", (F.shiftleft(F.col("at").cast("long"), _COUNT_BITS) + F.col("c")).alias("told"))
     known = store(told.mapInArrow(_pack_counts, "shard long, told binary"), "counts").df
-    counted.drop()
     free_shuffles(spark)
     n_words, v_words = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n_train, v_train = n_words + trained, v_words + (trained > 0)
@@ -505,20 +522,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
         if not len(left):
             return _MADE.empty_table()
         t, begun = start.value
-        left = _in_order(left)
-        words, which, bounds = coded_words(left.column("text").combine_chunks())
-        held = np.asarray(left.column("held_out").combine_chunks())
-        entry, c = t.v.entries(words).astype(np.int32), np.bincount(which[np.repeat(~held, np.diff(bounds))], minlength=len(words))
+        *given, sizes, data = left.column("texts")[0].values
+        _, _, held, bounds, which = (_unpacked(cell, kind) for cell, kind in zip(given, _KINDS))
+        held, offsets = held.astype(bool), np.concatenate([[0], np.cumsum(_unpacked(sizes, np.int32), dtype=np.int64)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(_unpacked(data, np.uint8))])
+        entry, c = t.v.entries(words).astype(np.int32), _in_training(which, bounds, held, len(words))
         for cell in right.column("told"):
             at, n = _told(cell)
             c[at] = n
-        often = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")  # small numbers pack well
-        rank = np.argsort(often, kind="stable")
-        which, entry, c = rank.astype(np.int32).take(which), entry[often], c[often]
-        ids = left.column("doc_id").combine_chunks()
-        del left, right, words, rank, often
-        blob = [ids.fill_null(0).to_numpy(), np.asarray(ids.is_valid()).astype(np.uint8), held.astype(np.uint8), bounds.astype(np.int64), which, entry, c]
-        batches = [record_batch(_MADE, *[[_packed(x)] for x in blob], *[[None]] * (3 + len(_VALUES)))]
+        batches = [record_batch(_MADE, *[[cell.as_py()] for cell in given], [_packed(entry)], [_packed(c)], *[[None]] * (3 + len(_VALUES)))]
+        del left, right, given, data, words, offsets, c
         kept = np.nonzero(~held)[0]
         n = np.diff(bounds)
         if len(kept):
@@ -536,7 +549,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches(batches)
 
     schema = ", ".join([*[f"{c} binary" for c in _BLOB], "part int, row int, w float", *[f"{c} float" for c in _VALUES]])
-    made = store(dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(lambda left, right: _tidy(train, left, right), schema), "trained").df
+    texts, parts = counted.df.where("texts is not null").select("shard", "texts"), max(1, min(shards, spread(spark)))
+    made = store(texts.repartition(parts, "shard").groupBy("shard").cogroup(known.repartition(parts, "shard").groupBy("shard")).applyInArrow(lambda left, right: _tidy(train, left, right), schema), "trained").df
+    counted.drop()
     free_shuffles(spark)
     model = _average(made.where("part is not null").select("part", "row", "w", *_VALUES), fresh)
     inner = np.zeros(len(vocabulary.mass))
@@ -546,8 +561,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def score_shard(cells: list[pa.Scalar]) -> pa.RecordBatch:
         net, v, within = values.value
-        kinds = (np.int64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
-        ids, some, held, bounds, which, entry, c = (_unpacked(cell, kind) for cell, kind in zip(cells, kinds, strict=True))
+        ids, some, held, bounds, which, entry, c = (_unpacked(cell, kind) for cell, kind in zip(cells, _KINDS, strict=True))
         word, one, two, doc = sequences(which, bounds, len(entry))  # words by their numbers in the shard, as contexts too
         entry, c = np.append(entry, [v.end, v.end + 1]).astype(np.int32), np.append(c, trained)
         own = np.log10(c + SMOOTH)

@@ -63,3 +63,24 @@ def test_scores_of_some_tokens_at_once_are_those_of_all():
     assert np.abs(whole - parts).max() < 1e-5
     listed = [b"w7", b"", b"q", b"zz", b"long word", b"w2999", b"w3000"]
     assert v.entries(listed).tolist() == [v.words.get(w, 3000 + lm_score.shared_entry(w)) for w in listed]
+
+
+def test_documents_of_a_shard_are_kept_whole_beside_its_words():
+    """The row with a shard's documents gives the words, in their order, that the texts have; white space has none."""
+    texts = ["b a a", "É b\tB", " ", "a", "c c c c c"]
+    ids, held = [3, None, 4, 5, 6], [False, False, True, True, False]
+    shard = pa.table({"shard": pa.array([9] * 5, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "held_out": held, "text": texts})
+    for some in (shard, shard.slice(2, 1)):
+        out = lm_score._count(some.combine_chunks())
+        listed, last = out.slice(0, len(out) - 1).to_pylist(), out.slice(len(out) - 1)
+        assert [r["at"] for r in listed] == list(range(len(listed))) and all(r["texts"] is None for r in listed) and last["word"].to_pylist() == [None]
+        cells = list(last.combine_chunks()["texts"][0].values)
+        known, valid, out_held, bounds, which, sizes, data = (lm_score._unpacked(c, k) for c, k in zip(cells, (*lm_score._KINDS[:5], np.int32, np.uint8)))
+        ends = np.cumsum(sizes)
+        words = [bytes(data[e - n : e]) for e, n in zip(ends, sizes)]
+        assert words == [r["word"] for r in listed]
+        found = {int(i) if v else None: (bool(h), [words[w] for w in which[a:b]]) for i, v, h, a, b in zip(known, valid, out_held, bounds, bounds[1:])}
+        own = {r["doc_id"]: (r["held_out"], r["text"].encode().lower().split()) for r in some.to_pylist()}
+        assert found == own
+        train = [w for h, t in own.values() if not h for w in t]
+        assert all(r["n"] == train.count(r["word"]) for r in listed)
